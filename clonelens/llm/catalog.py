@@ -35,6 +35,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(_table(spark, sf_dir, "pages"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_report
+
+    small_batches(spark)
+    return quality_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -47,6 +54,7 @@ def queries() -> dict[str, Query]:
         "op4_decontamination": op4_decontamination,
         "op5_url_filter": op5_url_filter,
         "op6_warc": op6_warc,
+        "op9_quality": op9_quality,
         "op10_packing": op10_packing,
     }
     return found
