@@ -80,11 +80,9 @@ def write_archive(pages: DataFrame, min_bytes: int = 0) -> Archive:
     records = told.select("page_id", "address", "response", F.when(F.col("response"), plain).otherwise(again).alias("header"))
     base = f"{shared_dir(spark)}/clonelens/warc-{uuid.uuid4().hex}"
     records.write.parquet(f"{base}/records")
-    # one page per address brings the bytes: a semi-join on the page, then one row per address
-    bytes_of = pages.select("page_id", payload.alias("payload")).withColumn("address", F.sha2("payload", 256))
-    keepers = newest.select("address", F.col("response_id").alias("page_id"))
-    once = bytes_of.join(keepers.hint("shuffle_hash"), (bytes_of.address == keepers.address) & bytes_of.page_id.eqNullSafe(keepers.page_id), "left_semi")
-    once.dropDuplicates(["address"]).select("address", "payload").write.parquet(f"{base}/payloads")
+    # equal addresses are equal bytes: each task keeps one row per address before the only shuffle of payloads
+    once = pages.select(payload.alias("payload")).select(F.sha2("payload", 256).alias("address"), "payload").dropDuplicates(["address"])
+    once.write.option("compression", "zstd").parquet(f"{base}/payloads")
     return Archive(f"{base}/records", f"{base}/payloads")
 
 
