@@ -46,9 +46,16 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_report
 
+    small_batches(spark)
     return archive_report(_table(spark, sf_dir, "pages"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_report
+
+    return license_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_report
 
@@ -70,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op4_decontamination": op4_decontamination,
         "op5_url_filter": op5_url_filter,
         "op6_warc": op6_warc,
+        "op8_license_scan": op8_license_scan,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
     }
@@ -77,4 +85,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import license_scan
+
+    return {"op8_license_scan": license_scan.oracle_sql()}
