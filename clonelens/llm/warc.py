@@ -5,8 +5,9 @@
 records by joining the two, checks every payload against its address again, and parses the headers back.
 
 Of pages with equal payloads of at least ``min_bytes`` bytes, the one with the largest page_id is a response and
-the others are revisit records that refer to it; smaller payloads are all responses. All expressions are built-in
-SQL functions. Only small columns are shuffled for the grouping; payload bytes move only for one row per address.
+the others are revisit records that refer to it; smaller payloads are all responses. Headers, digests and checks are
+built-in SQL functions; payloads are compressed in Arrow batches before they move. Only small columns are shuffled for
+the grouping; of payloads, each task keeps one row per address before the one shuffle that stores them.
 
 Defined cases: a null html is an empty payload; a null url is an empty target; repeated page_ids with equal
 payloads are one response and revisits of it when they differ in the row slot only (ties go to one row); an empty
@@ -16,8 +17,11 @@ table gives empty archives; other columns are ignored.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +69,18 @@ def header(kind: str, page_id: Column, url: Column, digest: Column, size: Column
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2)).cast("binary")
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``address, payload`` with payloads as single zstd frames: shuffles and the store hold compressed bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            small = pa.array([pack(x) for x in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), small], names=["address", "payload"])
+
+    return df.select("address", "payload").mapInArrow(run, "address string, payload binary")
+
+
 def write_archive(pages: DataFrame, min_bytes: int = 0) -> Archive:
     """Write ``pages(page_id, url, html)`` and return where the two tables lie in the shared folder."""
     spark = pages.sparkSession
@@ -81,8 +97,9 @@ def write_archive(pages: DataFrame, min_bytes: int = 0) -> Archive:
     base = f"{shared_dir(spark)}/clonelens/warc-{uuid.uuid4().hex}"
     records.write.parquet(f"{base}/records")
     # equal addresses are equal bytes: each task keeps one row per address before the only shuffle of payloads
-    once = pages.select(payload.alias("payload")).select(F.sha2("payload", 256).alias("address"), "payload").dropDuplicates(["address"])
-    once.write.option("compression", "zstd").parquet(f"{base}/payloads")
+    once = pages.select(payload.alias("payload")).select(F.sha2("payload", 256).alias("address"), "payload")
+    once = packed(once).dropDuplicates(["address"])
+    once.write.parquet(f"{base}/payloads")
     return Archive(f"{base}/records", f"{base}/payloads")
 
 
@@ -95,7 +112,6 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     for responses. Fails when a stored payload does not hash to its address or a record to its digest."""
     records = spark.read.schema("page_id bigint, address string, response boolean, header binary").parquet(archive.records)
     payloads = spark.read.schema("address string, payload binary").parquet(archive.payloads)
-    payloads = payloads.withColumn("good", F.sha2("payload", 256) == F.col("address"))
     parsed = records.select(
         F.nullif(F.regexp_extract(header_field("WARC-Record-ID"), r"<urn:page:(-?\d+)>", 1), F.lit("")).cast("bigint").alias("page_id"),
         header_field("WARC-Type").alias("record_type"),
@@ -105,8 +121,10 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
         "address",
         "header",
     )
-    full = parsed.where("record_type = 'response'").join(payloads, "address", "left")
-    problem = F.when(~F.coalesce("good", F.lit(False)), F.raise_error(F.concat(F.lit("payload missing or damaged: "), "address")))
+    heads = parsed.where("record_type = 'response'")
+    full = _inflated(heads.join(payloads, "address", "left"))
+    good = F.coalesce(F.sha2("payload", 256) == F.col("address"), F.lit(False))
+    problem = F.when(~good, F.raise_error(F.concat(F.lit("payload missing or damaged: "), "address")))
     full = full.withColumn("payload", F.coalesce(problem.cast("binary"), F.col("payload")))
     wrong = F.when(base32_sha1(F.col("payload")) != F.col("digest"), F.raise_error(F.concat(F.lit("digest differs: "), "address")))
     full = full.withColumn("record", F.coalesce(wrong.cast("binary"), F.concat("header", "payload", F.lit(CRLF * 2).cast("binary"))))
@@ -115,11 +133,24 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     return full.select(*names, "payload").union(rest.select(*names, F.lit(None).cast("binary")))
 
 
+def _inflated(df: DataFrame) -> DataFrame:
+    """df with its compressed ``payload`` column unpacked; all other columns pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            at = batch.schema.get_field_index("payload")
+            plain = pa.array([None if x is None else unpack(x) for x in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([plain if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def restore_payloads(spark: SparkSession, archive: Archive) -> DataFrame:
     """page_id and full payload of every page, revisits included: records joined to payloads by address."""
     records = spark.read.schema("page_id bigint, address string, response boolean, header binary").parquet(archive.records)
     payloads = spark.read.schema("address string, payload binary").parquet(archive.payloads)
-    return records.select("page_id", "address").join(payloads, "address").select("page_id", "payload")
+    return _inflated(records.select("page_id", "address").join(payloads, "address").select("page_id", "payload"))
 
 
 def archive_report(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
