@@ -50,6 +50,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(_table(spark, sf_dir, "pages"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeat_report
+
+    small_batches(spark)
+    return repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_report
 
@@ -77,6 +84,7 @@ def queries() -> dict[str, Query]:
         "op4_decontamination": op4_decontamination,
         "op5_url_filter": op5_url_filter,
         "op6_warc": op6_warc,
+        "op7_repeats": op7_repeats,
         "op8_license_scan": op8_license_scan,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
