@@ -22,6 +22,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import component_report
+
+    small_batches(spark)
+    return component_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_text
 
@@ -80,6 +87,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = {
         "op1_toxicity": op1_toxicity,
+        "op2_ngram_join": op2_ngram_join,
         "op3_html_text": op3_html_text,
         "op4_decontamination": op4_decontamination,
         "op5_url_filter": op5_url_filter,
