@@ -136,6 +136,29 @@ def _scanner(sent, last: bool):
     return run
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window; map-only passes, one for each block."""
+    windows = item_windows(benchmark, width).cache()
+    blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
+
+    def cleaner(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = build_automaton(sent.value)
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index("text"))
+                clean = [not sent.value or not len(scan(alnum_words(t.as_py()), automaton)[0]) for t in texts]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for block in range(blocks):
+        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).collect()
+        sent = docs.sparkSession.sparkContext.broadcast([(bytes(r["window"]), r["n"], list(r["items"])) for r in part])
+        docs = docs.mapInArrow(cleaner(sent), docs.schema)
+    windows.unpersist()
+    return docs
+
+
 def leak_report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The digest columns of the decontamination contract, from ``find_leaks``."""
     found = find_leaks(docs, benchmark, width)

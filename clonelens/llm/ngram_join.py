@@ -40,7 +40,7 @@ from .common import components, materialise, space_words
 FREQUENT = 1 << 18
 FREQUENT_LEAST = 3
 SLOTS = 1 << 26
-PREFIX_SCHEMA = "doc_id bigint, n_shingles bigint, node bigint, frequent int, prefix array<bigint>"
+PREFIX_SCHEMA = "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, frequent int, prefix array<bigint>"
 
 
 @dataclass(frozen=True)
@@ -138,19 +138,20 @@ def prefixes(docs: DataFrame, order, join: Join) -> DataFrame:
         rank = Order(order.value)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, text_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 tokens = shingles(text.as_py(), join.words)
                 if not len(tokens):
-                    rows.append((doc_id, 0, None, 0, []))
+                    rows.append((doc_id, text_key, 0, None, 0, []))
                     continue
                 ranks, frequent = rank.ranks(tokens)
                 p = join.prefix(len(tokens))
-                rows.append((doc_id, len(tokens), node_of(tokens), max(0, frequent - (len(tokens) - p)), ranks[:p].astype(np.int64)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            names = ["doc_id", "n_shingles", "node", "frequent", "prefix"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=names)
+                rows.append((doc_id, text_key, len(tokens), node_of(tokens), max(0, frequent - (len(tokens) - p)), ranks[:p].astype(np.int64)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            names = ["doc_id", "text_key", "n_shingles", "node", "frequent", "prefix"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PREFIX_SCHEMA)
+    text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(F.col("doc_id").cast("bigint"), text_key.alias("text_key"), "text").mapInArrow(run, PREFIX_SCHEMA)
 
 
 def needed(a: Column, b: Column, join: Join) -> Column:
@@ -262,7 +263,8 @@ def matrix_pairs(rows: DataFrame, nodes: DataFrame, groups: DataFrame, join: Joi
 
 
 def similarity_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """``docs(doc_id, text)`` to doc_id, n_shingles, node and root (component, null if the node has no link)."""
+    """``docs(doc_id, text)`` to doc_id, text_key (hash of the text), n_shingles, node and root (component, null if
+    the node has no link)."""
     docs = docs.select("doc_id", "text")
     order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, join))
     sets = materialise(prefixes(docs, order, join), "prefixes")
@@ -278,7 +280,7 @@ def similarity_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     else:
         more = materialise(links(docs, rest, join), "matrix-links")
         roots = components(first.union(more))
-    return sets.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
+    return sets.select("doc_id", "text_key", "n_shingles", "node").join(roots, "node", "left")
 
 
 def component_report(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -290,6 +292,23 @@ def component_report(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
 
 def one_per_class(docs: DataFrame, join: Join) -> DataFrame:
-    """docs (all columns) without the rows whose class has a row of smaller doc_id; rows of empty sets stay."""
-    told = component_report(docs, join).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(told, "doc_id", "left_anti")
+    """The row of smallest doc_id of every class, with all its columns; rows of empty sets stay. Of equal rows of a
+    class one stays. Rows are told apart by doc_id and a hash of the text."""
+    text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    told = similarity_classes(docs, join).withColumn("class", F.coalesce("root", "node")).where("class is not null")
+    first = told.groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text_key"))).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    dropped = told.join(first.where("rows > 1"), "class")
+    own = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text_key"))
+    dropped = materialise(dropped.groupBy("class", own.alias("own")).agg(F.count(F.lit(1)).alias("n"), F.max(own == F.col("stays")).alias("stays")), "dropped")
+    names = [n for n in ("near_id", "near_key", "near_out") if n not in docs.columns]
+    if len(names) < 3:
+        names = [f"_near_{i}_{len(docs.columns)}" for i in range(3)]
+    near_id, near_key, _ = names
+    out = dropped.where("not stays").select(F.col("own.doc_id").alias(near_id), F.col("own.text_key").alias(near_key))
+    again = dropped.where("stays and n > 1").select(F.col("own.doc_id").alias(near_id), F.col("own.text_key").alias(near_key))
+    keyed = docs.withColumn(near_id, F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).withColumn(near_key, text_key)
+    kept = keyed.join(out, [near_id, near_key], "left_anti")
+    if not again.isEmpty():  # equal rows: one of them
+        once = kept.join(again, [near_id, near_key], "left_semi").dropDuplicates([near_id, near_key])
+        kept = kept.join(again, [near_id, near_key], "left_anti").select(*keyed.columns).union(once.select(*keyed.columns))
+    return kept.select(*docs.columns)

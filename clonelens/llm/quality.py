@@ -11,7 +11,7 @@ documents of the language, widened as ``Bands`` says. Documents outside are reje
 
 Defined cases: null and empty texts have no words and fail the base rule; a null or rare language is pooled; a
 document without a score (no character) is judged by the base rule alone; repeated rows are judged alike; an empty
-table gives no rows; other columns are carried by ``judge`` and ignored by the report.
+table gives no rows; other columns are ignored by the report and kept by ``keep_documents``.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ BROADCAST_BYTES = 192 << 20
 
 NGRAM_SCHEMA = "lang string, ngram int, n bigint"
 MODEL_SCHEMA = "lang string, keys binary, logp binary, contexts binary, logb binary"
-BASE_SCHEMA = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_scored bigint, log_ppl double"
 
 
 @dataclass(frozen=True)
@@ -252,11 +251,14 @@ def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated
 
 
-def score(docs: DataFrame, model: DataFrame) -> DataFrame:
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored", "log_ppl")
+
+
+def score(docs: DataFrame, model: DataFrame, prefix: str = "") -> DataFrame:
     """Add the base measures, n_scored (characters) and log_ppl (mean negative log-probability) to docs.
 
     Models are broadcast in blocks of languages whose measured size stays under BROADCAST_BYTES; one block for any
-    usual number of languages.
+    usual number of languages. ``prefix`` is put before the added names.
     """
     sizes = model.select("lang", sum(F.length(c) for c in ("keys", "logp", "contexts", "logb")).alias("bytes")).orderBy("lang").collect()
     blocks: list[list[str]] = [[]]
@@ -268,21 +270,24 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
         blocks[-1].append(row["lang"])
         held += row["bytes"]
     known = [x for b in blocks for x in b]
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, {BASE_SCHEMA}"
+    added = ", ".join(f"`{prefix}{n}` {'double' if n == 'log_ppl' else 'bigint'}" for n in ADDED)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, {added}"
     out = None
     for block in blocks:
-        part = docs
-        if len(blocks) > 1:
-            own = F.coalesce(F.when(F.col("lang").isin(known), F.col("lang")), F.lit(POOLED))
-            part = docs.where(own.isin(block))
+        part = docs if len(blocks) == 1 else docs.where(model_language(F.col("lang"), known).isin(block))
         rows = (model.where(F.col("lang").isin(block)) if len(blocks) > 1 else model).collect()
         sent = docs.sparkSession.sparkContext.broadcast({r["lang"]: tuple(bytes(r[c]) for c in ("keys", "logp", "contexts", "logb")) for r in rows})
-        scored = part.mapInArrow(_scorer(sent), schema)
+        scored = part.mapInArrow(_scorer(sent, prefix), schema)
         out = scored if out is None else out.union(scored)
     return out
 
 
-def _scorer(sent):
+def model_language(lang, known: list[str]):
+    """The language whose model and band a document is held against."""
+    return F.coalesce(F.when(lang.isin(known), lang), F.lit(POOLED))
+
+
+def _scorer(sent, prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = {lang: Model(*arrays) for lang, arrays in sent.value.items()}
         for batch in batches:
@@ -299,29 +304,51 @@ def _scorer(sent):
                 rows.append((*base_measures(text), n, -total / n if n else None))
             kinds = [pa.int64()] * 6 + [pa.float64()]
             added = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored", "log_ppl"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *(prefix + n for n in ADDED)])
 
     return run
 
 
-def judge(docs: DataFrame, bands: Bands = Bands(), carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, carry..., base measures, log_ppl, ppl_low, ppl_high, base_failed, kept`` for all documents."""
+def limits(scored: DataFrame, model: DataFrame, bands: Bands) -> dict[str, tuple[float, float]]:
+    """Lower and upper log-perplexity per model language (as many rows as models reach the driver)."""
+    known = [r["lang"] for r in model.select("lang").collect()]
+    usable = scored.where("log_ppl is not null and n_words >= 10").withColumn("band", model_language(F.col("lang"), known))
+    q = usable.groupBy("band").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q")).collect()
+    return {r["band"]: (r["q"][0] - bands.low * (r["q"][1] - r["q"][0]), r["q"][1] + bands.high * (r["q"][1] - r["q"][0])) for r in q}
+
+
+def with_verdict(scored: DataFrame, found: dict[str, tuple[float, float]], bands: Bands, prefix: str = "") -> DataFrame:
+    """Add ppl_low, ppl_high, base_failed and kept to scored documents; without a band the base rule decides."""
+    c = lambda name: F.col(prefix + name)
+    lang = model_language(F.col("lang"), sorted(found))
+    none = F.lit(None).cast("double")
+    low, high = (F.create_map(*(F.lit(x) for k, v in found.items() for x in (k, v[i])))[lang] if found else none for i in (0, 1))
+    short = F.sqrt(F.greatest(c("n_scored"), F.lit(1)).cast("double"))
+    out = scored.withColumn(prefix + "ppl_low", low - bands.low_short / short).withColumn(prefix + "ppl_high", high + bands.high_short / short)
+    base = (c("n_words") < 10) | (100 * c("n_repeat_words") > 20 * c("n_words"))
+    inside = F.coalesce(c("log_ppl").between(c("ppl_low"), c("ppl_high")), F.lit(True))
+    return out.withColumn(prefix + "base_failed", base).withColumn(prefix + "kept", ~base & inside)
+
+
+def fit(docs: DataFrame, bands: Bands = Bands()) -> tuple[DataFrame, DataFrame, dict[str, tuple[float, float]]]:
+    """Model, scored documents (without texts) and bands of docs(doc_id, lang, text)."""
     model = train(docs)
     scored = materialise(score(docs.select("doc_id", "lang", "text"), model).drop("text"), "quality")
-    usable = scored.where("log_ppl is not null and n_words >= 10")
-    q = usable.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
-    width = F.col("q")[1] - F.col("q")[0]
-    limits = q.select(F.col("lang").alias("band_lang"), (F.col("q")[0] - bands.low * width).alias("low"), (F.col("q")[1] + bands.high * width).alias("high"))
-    short = F.sqrt(F.greatest("n_scored", F.lit(1)).cast("double"))
-    joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
-    joined = joined.withColumn("ppl_low", F.col("low") - bands.low_short / short).withColumn("ppl_high", F.col("high") + bands.high_short / short)
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    inside = F.coalesce(F.col("log_ppl").between(F.col("ppl_low"), F.col("ppl_high")), F.lit(True))
-    return joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & inside)
+    return model, scored, limits(scored, model, bands)
 
 
 def quality_report(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The columns of the quality contract, then the perplexity and its band."""
+    _, scored, found = fit(docs, bands)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", "ppl_low", "ppl_high"]
-    return judge(docs, bands).select(*names)
+    return with_verdict(scored, found, bands).select(*names)
+
+
+def keep_documents(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
+    """The rows of docs, with all their columns, that the rules keep. Texts are scored a second time once the bands
+    are known: cheaper at any size than writing or shuffling them."""
+    model, _, found = fit(docs, bands)
+    prefix = "quality_"
+    while any(n.startswith(prefix) for n in docs.columns):
+        prefix = "_" + prefix
+    return with_verdict(score(docs, model, prefix), found, bands, prefix).where(F.col(prefix + "kept")).select(*docs.columns)
