@@ -40,6 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Where the shared folder is a mounted file system, Hadoop's raw local writer: no checksum file beside each part, and
+#: no child process for its permissions. Other file systems ignore both.
+WRITE_OPTIONS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 #: Tables that operators have written and ``release`` may delete.
 _written: list[str] = []
 
@@ -48,7 +52,7 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/clonelens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**WRITE_OPTIONS).parquet(path)
     if not keep:
         _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

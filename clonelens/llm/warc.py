@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import WRITE_OPTIONS, materialise, shared_dir
 
 #: The RFC 4648 base-32 alphabet and WARC's profile for identical payloads.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -95,11 +95,11 @@ def write_archive(pages: DataFrame, min_bytes: int = 0) -> Archive:
     again = header("revisit", F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), F.col("response_id"))
     records = told.select("page_id", "address", "response", F.when(F.col("response"), plain).otherwise(again).alias("header"))
     base = f"{shared_dir(spark)}/clonelens/warc-{uuid.uuid4().hex}"
-    records.write.parquet(f"{base}/records")
+    records.write.options(**WRITE_OPTIONS).parquet(f"{base}/records")
     # equal addresses are equal bytes: each task keeps one row per address before the only shuffle of payloads
     once = pages.select(payload.alias("payload")).select(F.sha2("payload", 256).alias("address"), "payload")
     once = packed(once).dropDuplicates(["address"])
-    once.write.parquet(f"{base}/payloads")
+    once.write.options(**WRITE_OPTIONS).parquet(f"{base}/payloads")
     return Archive(f"{base}/records", f"{base}/payloads")
 
 
