@@ -236,30 +236,46 @@ def leader_pairs(rows: DataFrame, join: Join) -> DataFrame:
     return fit.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
 
 
+def stray(a: Column, b: Column, join: Join) -> Column:
+    """Most shingles that two linked sets of sizes a and b hold alone, both together. At their first common prefix
+    shingle the shingles before it are such, so the two places there add up to no more."""
+    return F.floor(F.lit((join.den - join.num) / (join.den + join.num)) * (a + b) + 1e-6)
+
+
 def matrix_pairs(rows: DataFrame, nodes: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
-    """Pairs of nodes of different groups that share a prefix shingle, behind the bound of the token-group matrix."""
+    """Pairs of nodes of different groups that share a prefix shingle, behind the bound of the token-group matrix.
+
+    A group asks about another at shingles that can be the first common one of a link (see ``stray``): this keeps
+    edited copies that are too far from each other from meeting at the shingles of their common original.
+    """
     grouped = nodes.select("node", "n", "prefix").join(groups, "node", "left").withColumn("grp", F.coalesce("root", "node"))
     stats = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min(F.element_at("prefix", -1)).alias("end"), F.min("n").alias("least"), F.max("n").alias("most"))
     member = grouped.select("node", "grp").join(stats, "grp")
     shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    told = rows.join(shared, "token").join(member, "node").select("token", "node", "n", "grp", "size", "end", "least", "most")
+    told = rows.join(shared, "token").join(member, "node").select("token", "pos", "node", "n", "grp", "size", "end", "least", "most")
     several = told.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
     told = materialise(told.join(several, "token"), "matrix-rows")
-    matrix = told.select("token", "grp", "size", "end", "least", "most").distinct()
+    matrix = told.groupBy("token", "grp").agg(F.min("pos").alias("pos"), *(F.first(c).alias(c) for c in ("size", "end", "least", "most")))
     q, g = told.alias("q"), matrix.alias("g")
     # the node of the smaller group asks (ties: smaller group id), so every pair of groups is asked from one side
     asks = (F.col("q.size") < F.col("g.size")) | ((F.col("q.size") == F.col("g.size")) & (F.col("q.grp") < F.col("g.grp")))
     fits = (join.den * F.col("q.n") >= join.num * F.col("g.least")) & (join.den * F.col("g.most") >= join.num * F.col("q.n"))
-    asked = q.join(g, F.col("q.token") == F.col("g.token")).where(asks & fits)
-    held = asked.select(F.col("q.node").alias("node"), F.col("g.grp").alias("grp"), F.col("g.end").alias("end"), F.col("g.least").alias("least"), (F.col("q.token") <= F.col("g.end")).alias("known"))
-    counted = held.groupBy("node", "grp", "end", "least").agg(F.count_if("known").alias("held"))
+    largest = F.least(F.col("g.most"), F.floor(F.col("q.n") * join.den / join.num))
+    first = F.col("q.pos") + F.col("g.pos") <= stray(F.col("q.n"), largest, join)
+    asked = q.join(g, (F.col("q.token") == F.col("g.token")) & asks & fits & first)
+    asked = asked.select(F.col("q.node").alias("node"), F.col("g.grp").alias("grp"), F.col("g.end").alias("end"), F.col("g.least").alias("least")).distinct()
+    # overlap bound: shingles of the query up to the group's shortest prefix that the union lacks are in no member
+    union = matrix.select("token", "grp")
+    held = told.select("token", "node").join(asked.select("node", "grp", "end"), "node").join(union, ["token", "grp"])
+    counted = asked.join(held.groupBy("node", "grp").agg(F.count_if(F.col("token") <= F.col("end")).alias("held")), ["node", "grp"])
     query = counted.join(nodes.select("node", "n", "prefix"), "node")
     lack = F.size(F.filter("prefix", lambda r: r <= F.col("end"))) - F.col("held")
     partner = F.greatest(F.col("least"), F.ceil(F.lit(float(join.num)) * F.col("n") / float(join.den)))
     open_groups = query.where(F.col("n") - lack >= needed(F.col("n"), partner, join)).select("node", "grp")
-    asking = told.select("token", "node").join(open_groups, "node").select("token", "grp", F.col("node").alias("a"))
-    found = asking.join(told.select("token", "grp", F.col("node").alias("b")), ["token", "grp"])
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    asking = told.select("token", "node", F.col("pos").alias("pos_a"), F.col("n").alias("n_a")).join(open_groups, "node").select("token", "grp", "pos_a", "n_a", F.col("node").alias("a"))
+    members = told.select("token", "grp", F.col("pos").alias("pos_b"), F.col("n").alias("n_b"), F.col("node").alias("b"))
+    met = [asking.token == members.token, asking.grp == members.grp, sizes_fit(F.col("n_a"), F.col("n_b"), join), F.col("pos_a") + F.col("pos_b") <= stray(F.col("n_a"), F.col("n_b"), join)]
+    return asking.join(members, met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def similarity_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -269,7 +285,7 @@ def similarity_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, join))
     sets = materialise(prefixes(docs, order, join), "prefixes")
     nodes = materialise(sets.where("node is not null").select("node", F.col("n_shingles").alias("n"), "frequent", "prefix").dropDuplicates(["node"]), "nodes")
-    rows = nodes.select(F.explode("prefix").alias("token"), "node", "n", "frequent")
+    rows = nodes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n", "frequent")
     near = materialise(prefix_bound(leader_pairs(rows, join), nodes, join), "leader-pairs")
     first = materialise(links(docs, near, join), "leader-links")
     groups = components(first)
