@@ -16,21 +16,21 @@ def undersample(df: DataFrame, cls: str, key: str, cap: int, seed: int = 42) ->
     return df.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank")
 
 
-def stratified_split(df: DataFrame, cls: str, key: str, cuts: tuple[float, float] = (0.70, 0.85), seed: int = 42) -> DataFrame:
-    """Add ``split``: train, valid, test cut at the given shares of every class."""
+def stratified_split(df: DataFrame, cls: str, key: str, cuts: tuple[int, int] = (70, 85), seed: int = 42) -> DataFrame:
+    """Add ``split``: train, valid, test cut at the given percentages of every class."""
     placed = positions(df.withColumn("_order", shuffled(key, seed)), cls, ["_order", key])
     return _cut(placed, cuts).drop("_order")
 
 
-def positional_split(df: DataFrame, key: str, cuts: tuple[float, float] = (0.80, 0.90), seed: int = 42) -> DataFrame:
+def positional_split(df: DataFrame, key: str, cuts: tuple[int, int] = (80, 90), seed: int = 42) -> DataFrame:
     """Add ``split`` over the whole table in shuffled order."""
     placed = positions(df.withColumn("_order", shuffled(key, seed)), None, ["_order", key])
     return _cut(placed, cuts).drop("_order")
 
 
-def _cut(placed: DataFrame, cuts: tuple[float, float]) -> DataFrame:
-    n = F.col("position_of").cast("double")
-    split = F.when(F.col("position") <= F.floor(n * cuts[0]), "train").when(F.col("position") <= F.floor(n * cuts[1]), "valid").otherwise("test")
+def _cut(placed: DataFrame, cuts: tuple[int, int]) -> DataFrame:
+    at, n = 100 * F.col("position"), F.col("position_of")  # whole numbers: 0.7 * 700 is below 490 as a double
+    split = F.when(at <= n * cuts[0], "train").when(at <= n * cuts[1], "valid").otherwise("test")
     return placed.withColumn("split", split).drop("position", "position_of")
 
 

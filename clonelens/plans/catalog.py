@@ -263,12 +263,12 @@ def class_counts_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDERED = "md5('42:' || CAST(doc_id AS VARCHAR))"
 
 
-def _cut_sql(n: str, a: float, b: float) -> str:
-    return f"CASE WHEN rn <= floor({n} * CAST({a} AS DOUBLE)) THEN 'train' WHEN rn <= floor({n} * CAST({b} AS DOUBLE)) THEN 'valid' ELSE 'test' END"
+def _cut_sql(n: str, a: int, b: int) -> str:
+    return f"CASE WHEN 100 * rn <= {n} * {a} THEN 'train' WHEN 100 * rn <= {n} * {b} THEN 'valid' ELSE 'test' END"
 
 
 STRATIFIED = f"""s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {ORDERED}, doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents),
-split AS (SELECT doc_id, lang, {_cut_sql('n', 0.7, 0.85)} AS split FROM s)"""
+split AS (SELECT doc_id, lang, {_cut_sql('n', 70, 85)} AS split FROM s)"""
 
 
 @query("stratified_split", f"WITH {STRATIFIED}\nSELECT * FROM split")
@@ -283,7 +283,7 @@ def split_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "positional_split",
-    f"WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY {ORDERED}, doc_id) AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id, {_cut_sql('n', 0.8, 0.9)} AS split FROM s",
+    f"WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY {ORDERED}, doc_id) AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id, {_cut_sql('n', 80, 90)} AS split FROM s",
 )
 def positional_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smp.positional_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")

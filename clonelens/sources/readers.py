@@ -58,7 +58,7 @@ def whole_files(spark: SparkSession, folders: list[str], pattern: str = "*.java"
     found = [f for f in folders if exists(spark, f)]
     if not found:
         return spark.createDataFrame([], "path string, prompt string, content string")
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(found)
+    rows = spark.read.option("pathGlobFilter", pattern).text(found, wholetext=True)
     path = F.col("_metadata.file_path")
     return rows.select(path.alias("path"), F.element_at(F.split(path, "/"), -3).alias("prompt"), F.col("value").alias("content"))
 
@@ -104,7 +104,7 @@ def metrics_json(spark: SparkSession, path: str, default: dict) -> dict:
     """A metrics document, or the default when there is none."""
     if not exists(spark, path):
         return dict(default)
-    return json.loads("\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect()))
+    return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
 
 
 def load_model(spark: SparkSession, path: str):
