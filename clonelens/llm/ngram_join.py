@@ -313,9 +313,10 @@ def one_per_class(docs: DataFrame, join: Join) -> DataFrame:
     text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     told = similarity_classes(docs, join).withColumn("class", F.coalesce("root", "node")).where("class is not null")
     first = told.groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text_key"))).alias("stays"), F.count(F.lit(1)).alias("rows"))
-    dropped = told.join(first.where("rows > 1"), "class")
     own = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text_key"))
-    dropped = materialise(dropped.groupBy("class", own.alias("own")).agg(F.count(F.lit(1)).alias("n"), F.max(own == F.col("stays")).alias("stays")), "dropped")
+    dropped = told.join(first.where("rows > 1"), "class").select(own.alias("own"), (own == F.col("stays")).alias("stays"))
+    # grouped by row, not by class: a class of any size is spread over all tasks
+    dropped = materialise(dropped.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.max("stays").alias("stays")), "dropped")
     names = [n for n in ("near_id", "near_key", "near_out") if n not in docs.columns]
     if len(names) < 3:
         names = [f"_near_{i}_{len(docs.columns)}" for i in range(3)]
