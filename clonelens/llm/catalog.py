@@ -108,6 +108,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import license_scan
+    from . import decontamination, license_scan, url_filter, warc
 
-    return {"op8_license_scan": license_scan.oracle_sql()}
+    return {
+        "op4_decontamination": decontamination.oracle_sql(),
+        "op5_url_filter": url_filter.oracle_sql(),
+        "op6_warc": warc.oracle_sql(),
+        "op8_license_scan": license_scan.oracle_sql(),
+    }

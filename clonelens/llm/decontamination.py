@@ -191,3 +191,20 @@ def brute_force(docs: list[tuple], benchmark: list[tuple], width: int = WIDTH) -
         sha = hashlib.sha256(utf8(",".join(sorted(items)))).hexdigest()
         out.append((doc_id, len(words), len(hit), len(items), sha, bool(hit)))
     return out
+
+
+def oracle_sql(width: int = WIDTH) -> str:
+    """The query's result in DuckDB SQL, by joining the windows of items with those of documents."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '" + r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+" + "'), lambda x: x <> '')"
+    return f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents), item AS (SELECT item_id, {words} AS w FROM benchmark),
+cut AS (SELECT item_id, w, least({width}, len(w)) AS k FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM cut)),
+sizes AS (SELECT DISTINCT k FROM win),
+gram AS (SELECT r, s, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM doc, sizes WHERE len(w) >= k)),
+hit AS (SELECT r, s, k, item_id FROM gram JOIN win USING (k, g)),
+place AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS p FROM hit) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM doc LEFT JOIN place USING (r) LEFT JOIN found USING (r)"""

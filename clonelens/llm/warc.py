@@ -168,3 +168,12 @@ def archive_report(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         "record_type",
         "refers_to",
     )
+
+
+def oracle_sql() -> str:
+    """The query's result in DuckDB SQL."""
+    digits = "list_transform(range(0, 32), lambda i: '" + BASE32 + "'[1 + ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)])"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), h AS (SELECT page_id, strlen(t) AS size, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS newest FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, array_to_string({digits}, '') AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to FROM h"""
