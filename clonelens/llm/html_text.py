@@ -48,7 +48,7 @@ DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu "
     "submenu breadcrumb breadcrumbs sidebar sidenav footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter "
     "subscribe subscription signup signin login share sharing social related recommended recommendations comment comments disqus respond replies "
-    "widget toolbar pagination pager skip hidden tagcloud".split()
+    "widget toolbar pagination pager skip hidden tagcloud alert alerts commentlist commentform topbar".split()
 )
 KEPT = frozenset(("html", "body", "article", "main"))
 
@@ -61,16 +61,18 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "link_chars", "tags", "link_tags", "density", "density_sum")
+    __slots__ = ("tag", "parent", "children", "chars", "link_chars", "tags", "link_tags", "density", "density_sum", "inside")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent, self.children = tag, parent, []
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.density_sum = 0.0
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
-    """Whether an element is cut before densities are computed."""
+def is_boilerplate(tag: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element is cut before densities are computed; ``inside``: an article or main element is open, where a
+    class of that name is the article's heading."""
     if tag in KEPT:
         return False
     if tag in DROPPED:
@@ -85,8 +87,10 @@ def is_boilerplate(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and any(w.lower() in DROPPED_WORDS for w in WORD.findall(value)):
-            return True
+        if name in ("class", "id"):
+            words = {w.lower() for w in WORD.findall(value)}
+            if words & DROPPED_WORDS or ("header" in words and not inside):
+                return True
     return False
 
 
@@ -159,7 +163,7 @@ def parse(source: str) -> Node:
                     if tag not in ("tr",):
                         break
                 node = node.parent
-        if is_boilerplate(tag, attributes):
+        if is_boilerplate(tag, attributes, now.inside):
             if tag not in VOID and not closed:
                 open_cut = [tag]
                 cut_depth = 1
