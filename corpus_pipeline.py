@@ -21,6 +21,8 @@ from clonelens.llm.packing import pack_documents
 from clonelens.llm.quality import keep_documents
 from clonelens.llm.repeats import without_repeats
 
+#: Repeated passages: strings of this many bytes. Passages of more than 50 words are longer in any language with words.
+PASSAGE_BYTES = 200
 #: Near duplicates: shingles of five words, Jaccard similarity of 0.8 or more.
 NEAR = Join(words=5, num=80, den=100)
 
@@ -40,10 +42,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings of 400 bytes that occur twice or more in what is left of the corpus."""
+    """Documents without the byte strings of PASSAGE_BYTES that occur twice or more in what is left of the corpus."""
     release(spark)
     small_batches(spark)
-    cut = without_repeats(docs)
+    cut = without_repeats(docs, PASSAGE_BYTES)
     return cut.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else cut
 
 
