@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, space_words
+from .common import components, materialise, utf8
 
 #: Frequent shingles kept for the order, at most: it is a fixed bound on what is broadcast, not on what is joined.
 FREQUENT = 1 << 18
@@ -59,25 +59,30 @@ class Join:
         return n - self.need(n) + 1
 
 
+_BASE = 0x9E3779B97F4A7C15
+_TRUE = np.array([True])
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        for _ in range(2):
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(32))
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)  # arrays wrap around silently
+    return x ^ (x >> np.uint64(32))
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text, A-Z lower-cased; 62 bits each."""
-    own = [w.lower() for w in space_words(text)]
+    own = utf8(text).lower().split()  # bytes: lower() changes A-Z only, split() parts at the six white-space characters
     if not own:
         return np.zeros(0, dtype=np.uint64)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, own), dtype=np.uint64, count=len(own))
     size = min(words, len(own))
-    out = np.full(len(own) - size + 1, size, dtype=np.uint64)
+    last = len(own) - size + 1
+    factor, out = _BASE + 2 * size, np.full(last, size, dtype=np.uint64)
     for i in range(size):
-        with np.errstate(over="ignore"):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + len(out)])
-    return np.unique(out >> np.uint64(2))
+        out += hashes[i : i + last] * np.uint64(pow(factor, i + 1, 1 << 64))
+    out = _mix(out) >> np.uint64(2)
+    out.sort()
+    return out[np.concatenate([_TRUE, out[1:] != out[:-1]])]
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -150,8 +155,7 @@ def prefixes(docs: DataFrame, order, join: Join) -> DataFrame:
             names = ["doc_id", "text_key", "n_shingles", "node", "frequent", "prefix"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=names)
 
-    text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select(F.col("doc_id").cast("bigint"), text_key.alias("text_key"), "text").mapInArrow(run, PREFIX_SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text").mapInArrow(run, PREFIX_SCHEMA)
 
 
 def needed(a: Column, b: Column, join: Join) -> Column:
@@ -179,32 +183,37 @@ def prefix_bound(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     return known.where(fits).select("a", "b")
 
 
-def node_slots(pairs: DataFrame) -> np.ndarray:
-    """Bits of the nodes of pairs, by node modulo SLOTS: at most SLOTS / 64 words reach the driver."""
-    slot = F.pmod(F.col("node"), F.lit(SLOTS))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    words = nodes.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
+def text_slots(pairs: DataFrame, nodes: DataFrame) -> np.ndarray:
+    """Bits of one text per node of pairs, by text_key modulo SLOTS: at most SLOTS / 64 words reach the driver."""
+    slot = F.pmod(F.col("text_key"), F.lit(SLOTS))
+    keys = nodes.select("node", "text_key").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    words = keys.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(SLOTS // 64, dtype=np.int64)
     table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return table
 
 
-def links(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
-    """The pairs a, b whose whole sets reach the similarity. Sets are read for the nodes of pairs only."""
-    table = docs.sparkSession.sparkContext.broadcast(node_slots(pairs))
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """The pairs a, b whose whole sets reach the similarity. Sets are built again for the texts of these nodes only
+    (others that share a bit with them fall out of the joins)."""
+    table = docs.sparkSession.sparkContext.broadcast(text_slots(pairs, nodes))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = table.value, set()
         for batch in batches:
+            slot = batch.column(0).to_numpy() % SLOTS
             rows = []
-            for text in batch.column(0):
-                tokens = shingles(text.as_py(), join.words)
+            for i in np.flatnonzero((bits[slot >> 6] >> (slot & 63)) & 1).tolist():
+                tokens = shingles(batch.column(1)[i].as_py(), join.words)
                 if not len(tokens):
                     continue
                 node = node_of(tokens)
-                slot = node % SLOTS
-                if (int(bits[slot >> 6]) >> (slot & 63)) & 1 and node not in seen:
+                if node not in seen:
                     seen.add(node)
                     rows.append((node, tokens.tobytes()))
             if len(seen) > 1_000_000:
@@ -222,16 +231,24 @@ def links(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
                 on.append(join.den * shared >= join.num * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    read = docs.select("text").mapInArrow(sets, "node bigint, tokens binary").dropDuplicates(["node"])
+    read = docs.select(text_key().alias("text_key"), "text").mapInArrow(sets, "node bigint, tokens binary").dropDuplicates(["node"])
     left = pairs.join(read.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")), "a")
     both = left.join(read.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")), "b").select("a", "b", "t_a", "t_b")
     return both.mapInArrow(compare, "a bigint, b bigint")
 
 
+def shared_rows(nodes: DataFrame) -> DataFrame:
+    """token, pos, node, n, frequent of the prefix shingles that several nodes hold, as a table: most shingles have one
+    holder and leave here."""
+    rows = nodes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n", "frequent")
+    tokens = nodes.select(F.explode("prefix").alias("token"), "node").groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    return materialise(rows.join(tokens.where("low <> high").select("token"), "token"), "shared-rows")
+
+
 def leader_pairs(rows: DataFrame, join: Join) -> DataFrame:
     """Every node with the leader of each of its prefix shingles; rows(token, node, n, frequent)."""
-    best = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.struct("frequent", "node", "n")).alias("lead")).where("low <> high")
-    near = rows.join(best.select("token", "lead"), "token").where("node <> lead.node")
+    best = rows.groupBy("token").agg(F.max(F.struct("frequent", "node", "n")).alias("lead"))
+    near = rows.join(best, "token").where("node <> lead.node")
     fit = near.where(sizes_fit(F.col("n"), F.col("lead.n"), join))
     return fit.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
 
@@ -251,8 +268,7 @@ def matrix_pairs(rows: DataFrame, nodes: DataFrame, groups: DataFrame, join: Joi
     grouped = nodes.select("node", "n", "prefix").join(groups, "node", "left").withColumn("grp", F.coalesce("root", "node"))
     stats = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min(F.element_at("prefix", -1)).alias("end"), F.min("n").alias("least"), F.max("n").alias("most"))
     member = grouped.select("node", "grp").join(stats, "grp")
-    shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    told = rows.join(shared, "token").join(member, "node").select("token", "pos", "node", "n", "grp", "size", "end", "least", "most")
+    told = rows.join(member, "node").select("token", "pos", "node", "n", "grp", "size", "end", "least", "most")
     several = told.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
     told = materialise(told.join(several, "token"), "matrix-rows")
     matrix = told.groupBy("token", "grp").agg(F.min("pos").alias("pos"), *(F.first(c).alias(c) for c in ("size", "end", "least", "most")))
@@ -284,17 +300,17 @@ def similarity_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     docs = docs.select("doc_id", "text")
     order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, join))
     sets = materialise(prefixes(docs, order, join), "prefixes")
-    nodes = materialise(sets.where("node is not null").select("node", F.col("n_shingles").alias("n"), "frequent", "prefix").dropDuplicates(["node"]), "nodes")
-    rows = nodes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n", "frequent")
+    nodes = materialise(sets.where("node is not null").select("node", F.col("n_shingles").alias("n"), "frequent", "prefix", "text_key").dropDuplicates(["node"]), "nodes")
+    rows = shared_rows(nodes)
     near = materialise(prefix_bound(leader_pairs(rows, join), nodes, join), "leader-pairs")
-    first = materialise(links(docs, near, join), "leader-links")
+    first = materialise(links(docs, near, nodes, join), "leader-links")
     groups = components(first)
     rest = matrix_pairs(rows, nodes, groups, join).join(near, ["a", "b"], "left_anti")
     rest = materialise(prefix_bound(rest, nodes, join), "matrix-pairs")
     if rest.isEmpty():
         roots = groups
     else:
-        more = materialise(links(docs, rest, join), "matrix-links")
+        more = materialise(links(docs, rest, nodes, join), "matrix-links")
         roots = components(first.union(more))
     return sets.select("doc_id", "text_key", "n_shingles", "node").join(roots, "node", "left")
 
@@ -310,7 +326,6 @@ def component_report(docs: DataFrame, join: Join = Join()) -> DataFrame:
 def one_per_class(docs: DataFrame, join: Join) -> DataFrame:
     """The row of smallest doc_id of every class, with all its columns; rows of empty sets stay. Of equal rows of a
     class one stays. Rows are told apart by doc_id and a hash of the text."""
-    text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     told = similarity_classes(docs, join).withColumn("class", F.coalesce("root", "node")).where("class is not null")
     first = told.groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text_key"))).alias("stays"), F.count(F.lit(1)).alias("rows"))
     own = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text_key"))
@@ -323,7 +338,7 @@ def one_per_class(docs: DataFrame, join: Join) -> DataFrame:
     near_id, near_key, _ = names
     out = dropped.where("not stays").select(F.col("own.doc_id").alias(near_id), F.col("own.text_key").alias(near_key))
     again = dropped.where("stays and n > 1").select(F.col("own.doc_id").alias(near_id), F.col("own.text_key").alias(near_key))
-    keyed = docs.withColumn(near_id, F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).withColumn(near_key, text_key)
+    keyed = docs.withColumn(near_id, F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).withColumn(near_key, text_key())
     kept = keyed.join(out, [near_id, near_key], "left_anti")
     if not again.isEmpty():  # equal rows: one of them
         once = kept.join(again, [near_id, near_key], "left_semi").dropDuplicates([near_id, near_key])
