@@ -19,6 +19,11 @@ def labelled(df: DataFrame, features: Column, label: str) -> DataFrame:
     return df.select("*", array_to_vector(features.cast("array<double>")).alias("features")).withColumnRenamed(label, "label_text")
 
 
+def hybrid_vector(*parts: Column) -> Column:
+    """Column-wise concatenation of feature arrays: lexical, structural, embedding."""
+    return F.concat(*(p.cast("array<double>") for p in parts))
+
+
 def classifier(kind: str = "forest", trees: int = 100, depth: int = 6, rate: float = 0.1, seed: int = SEED):
     """A multiclass classifier: random forest, or one boosted binary model per class (Spark's boosting is binary)."""
     if kind == "forest":

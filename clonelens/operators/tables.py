@@ -28,7 +28,7 @@ def positions(df: DataFrame, group: str | None, order: list[Column | str], name:
     """Add the 1-based position of each row in its group, in the given (total) order, and the group's size.
 
     No task sees a whole group: rows are range-partitioned by group and order, numbered inside their partition, and
-    shifted by the sizes of the partitions before (one row per partition and group, which is broadcast).
+    shifted by the sizes of the partitions before (one row per partition and group; Spark broadcasts it if it is small).
     """
     keys = ([group] if group else []) + list(order)
     ranged = stored(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "positions")
@@ -37,7 +37,7 @@ def positions(df: DataFrame, group: str | None, order: list[Column | str], name:
     before = W.partitionBy(*([group] if group else [])).orderBy("_part")
     whole = W.partitionBy(*([group] if group else []))
     shifts = counts.withColumn("_before", F.sum("_n").over(before) - F.col("_n")).withColumn(f"{name}_of", F.sum("_n").over(whole)).drop("_n")
-    joined = ranged.alias("r").join(F.broadcast(shifts.alias("s")), [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in own])
+    joined = ranged.alias("r").join(shifts.alias("s"), [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in own])
     inside = F.row_number().over(W.partitionBy(*[F.col(f"r.{k}") for k in own]).orderBy(*[F.col(f"r.{c}") if isinstance(c, str) else c for c in order]))
     columns = [F.col(f"r.{c}") for c in df.columns]
     return joined.withColumn(name, (inside + F.col("_before")).cast("bigint")).select(*columns, name, F.col(f"{name}_of").cast("bigint"))

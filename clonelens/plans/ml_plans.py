@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import java_tree
+from ..functions.lexer import java_tokens
 from ..functions.vectors import doubles, pair_vector
 from ..operators import models
 
@@ -39,6 +40,26 @@ def ast_pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.expr("name1 < name2")).select("name1", "name2", pair_vector(F.col("a"), F.col("b"), distance=True).alias("features"))
 
 
+def parse_success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the inline methods that parse."""
+    rows = _methods(spark).select(java_tree.tree_features(F.col("code"))["parse_success"].alias("ok"))
+    return rows.agg(F.avg("ok").alias("parse_success_rate"), F.count(F.lit(1)).alias("n"))
+
+
+def lexer_inline_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised tokens of the inline methods."""
+    return _methods(spark).select("name", java_tokens(F.col("code")).alias("tokens"))
+
+
+def hybrid_pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding and syntax-tree pair vectors of neighbouring inline methods, side by side."""
+    rows = models.embed(_methods(spark), "code", "e", models.hashed_text_model()).withColumn("v", java_tree.tree_vector(F.col("code")))
+    a = rows.select(F.col("name").alias("name1"), F.col("v").alias("v1"), doubles(F.col("e")).alias("e1"))
+    b = rows.select(F.col("name").alias("name2"), F.col("v").alias("v2"), doubles(F.col("e")).alias("e2"))
+    lexical, tree = pair_vector(F.col("e1"), F.col("e2")), pair_vector(F.col("v1"), F.col("v2"), distance=True)
+    return a.join(b, F.expr("name1 < name2")).select("name1", "name2", models.hybrid_vector(lexical, tree).alias("features"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from .catalog import vector_pairs
 
@@ -68,6 +89,9 @@ def function_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ast_features": ast_features,
     "ast_pair_vectors": ast_pair_vectors,
+    "parse_success_rate": parse_success_rate,
+    "lexer_inline_java": lexer_inline_java,
+    "hybrid_pair_vectors": hybrid_pair_vectors,
     "rf_multiclass": rf_multiclass,
     "ovr_gbt": ovr_gbt,
     "function_embedding": function_embedding,
