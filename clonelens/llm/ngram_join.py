@@ -116,8 +116,20 @@ def frequent_shingles(docs: DataFrame, join: Join) -> np.ndarray:
             yield counts()
 
     rows = docs.select("text").mapInArrow(run, "token bigint, n bigint")
-    top = rows.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    return top.column("token").to_numpy()[::-1].astype(np.uint64)
+    counts = materialise(rows.groupBy("token").agg(F.sum("n").alias("n")), "frequent")
+    step = F.floor(F.log2("n") * 8).cast("int")  # a histogram of counts gives the cut; no task sorts all tokens
+    steps = sorted(((r["step"], r["k"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    total, cut = 0, None
+    for at, k in steps:
+        total += k
+        if total > FREQUENT:
+            break
+        cut = at
+    if cut is None:
+        return np.zeros(0, dtype=np.uint64)
+    top = counts.where(step >= cut).toArrow()
+    tokens, n = top.column("token").to_numpy(), top.column("n").to_numpy()
+    return tokens[np.lexsort((tokens, n))].astype(np.uint64)
 
 
 class Order:
