@@ -330,7 +330,8 @@ def similarity_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
 def component_report(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """The columns of the join contract: doc_id, n_shingles, component_id."""
     told = similarity_classes(docs, join).withColumn("class", F.coalesce("root", "node"))
-    lowest = told.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    # stored, so that both sides of the join below are plain shuffles, which adaptive execution may split for a hot class
+    lowest = materialise(told.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id")), "lowest")
     empty = told.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return told.where("class is not null").join(lowest, "class").select("doc_id", "n_shingles", "component_id").union(empty)
 
@@ -340,8 +341,9 @@ def one_per_class(docs: DataFrame, join: Join) -> DataFrame:
     class one stays. Rows are told apart by doc_id and a hash of the text."""
     told = similarity_classes(docs, join).withColumn("class", F.coalesce("root", "node")).where("class is not null")
     first = told.groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text_key"))).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    first = materialise(first.where("rows > 1"), "first")
     own = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text_key"))
-    dropped = told.join(first.where("rows > 1"), "class").select(own.alias("own"), (own == F.col("stays")).alias("stays"))
+    dropped = told.join(first, "class").select(own.alias("own"), (own == F.col("stays")).alias("stays"))
     # grouped by row, not by class: a class of any size is spread over all tasks
     dropped = materialise(dropped.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.max("stays").alias("stays")), "dropped")
     names = [n for n in ("near_id", "near_key", "near_out") if n not in docs.columns]
