@@ -50,9 +50,16 @@ def template_words(text: str) -> list[str]:
     return sorted({w for w in re.split(SEPARATORS, text.lower()) if w})
 
 
+def lower_az(text: Column) -> Column:
+    """A-Z lower-cased. lower() gives the same words here: it turns no other letter into an ASCII one but the two
+    for which translate() is used."""
+    odd = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    return F.when(odd, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
 def normalised(text: Column) -> Column:
     """Lower-case words joined by single spaces, without outer spaces."""
-    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, " "))
+    return F.trim(F.regexp_replace(lower_az(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
 
 
 def spaces(text: Column) -> Column:
