@@ -24,6 +24,7 @@ def _escape(text: str) -> str:
     return "".join("\\" + c if not c.isalnum() else c for c in text)
 
 
+#: What counts as a comment, a literal, a number and an identifier.
 COMMENT = r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?"
 TEXT_BLOCK = r'"""(?:[^"]++|"(?!""))*+(?:""")?'
 STRING = r'"(?:[^"\\]++|\\(?s:.))*+(?:"|\\)?'
