@@ -297,10 +297,10 @@ def _scorer(sent, prefix: str):
                 text = texts[i].as_py()
                 use = models.get(lang) or models.get(POOLED)
                 total = 0.0
-                for at in range(0, len(text or ""), 200_000):  # long texts in parts; three characters of context
+                for at in range(0, len(text or "") if use else 0, 200_000):  # long texts in parts; three characters of context
                     grams = packed_ngrams(text[max(0, at - 3) : at + 200_000])[min(at, 3) :]
                     total += float(use.log_probs(grams).sum())
-                n = len(text or "")
+                n = len(text or "") if use else 0  # no model at all: nothing in the corpus is prose
                 rows.append((*base_measures(text), n, -total / n if n else None))
             kinds = [pa.int64()] * 6 + [pa.float64()]
             added = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]

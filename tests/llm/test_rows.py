@@ -258,6 +258,8 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     kept = quality.keep_documents(rows)
     assert kept.columns == rows.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
     assert quality.quality_report(docs(spark, [])).count() == 0
+    signs = quality.quality_report(docs(spark, ["# % # % " * 20, None])).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["log_ppl"]) for r in signs] == [(80, None), (0, None)]
 
 
 # ---------------------------------------------------------------- packing
