@@ -40,6 +40,9 @@ from .common import components, materialise, utf8
 FREQUENT = 1 << 18
 FREQUENT_LEAST = 3
 SLOTS = 1 << 26
+NODE_BITS = 1 << 21
+#: Groups up to this size are opened by a join; larger ones in blocks of members, against blocks of queries.
+SMALL_GROUP, MEMBERS, ASKERS = 8, 256, 2048
 PREFIX_SCHEMA = "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, frequent int, prefix array<bigint>"
 
 
@@ -179,9 +182,23 @@ def sizes_fit(a: Column, b: Column, join: Join) -> Column:
     return join.den * F.least(a, b) >= join.num * F.greatest(a, b)
 
 
+def only_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of nodes that may be in wanted(node), by a bit table of fixed size in the plan; others go before any
+    shuffle of their prefixes. The joins that follow are exact."""
+    slot = F.pmod(F.xxhash64("node"), F.lit(NODE_BITS)).cast("int")
+    found = wanted.select("node").distinct().select(F.shiftright(slot, 3).alias("byte"), F.call_function("shiftleft", F.lit(1), F.pmod(slot, F.lit(8))).alias("bit"))
+    rows = found.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(NODE_BITS // 8, dtype=np.uint8)
+    table[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy()
+    byte = F.conv(F.hex(F.substring(F.lit(bytearray(table.tobytes())), F.shiftright(slot, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return nodes.where(F.call_function("shiftright", byte, F.pmod(slot, F.lit(8))).bitwiseAND(F.lit(1)) == 1)
+
+
 def prefix_bound(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     """Pairs a, b whose prefixes allow a link: up to the smaller of the two last ranks both sets are known, so that
     every shingle there that the other lacks is missing from the intersection."""
+    pairs = materialise(pairs, "pairs")
+    nodes = only_nodes(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("p_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("p_b"))
     both = pairs.join(left, "a").join(right, "b").where(sizes_fit(F.col("n_a"), F.col("n_b"), join))
@@ -277,8 +294,8 @@ def matrix_pairs(rows: DataFrame, nodes: DataFrame, groups: DataFrame, join: Joi
     A group asks about another at shingles that can be the first common one of a link (see ``stray``): this keeps
     edited copies that are too far from each other from meeting at the shingles of their common original.
     """
-    grouped = nodes.select("node", "n", "prefix").join(groups, "node", "left").withColumn("grp", F.coalesce("root", "node"))
-    stats = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min(F.element_at("prefix", -1)).alias("end"), F.min("n").alias("least"), F.max("n").alias("most"))
+    grouped = nodes.select("node", "n", F.element_at("prefix", -1).alias("last")).join(groups, "node", "left").withColumn("grp", F.coalesce("root", "node"))
+    stats = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("last").alias("end"), F.min("n").alias("least"), F.max("n").alias("most"))
     member = grouped.select("node", "grp").join(stats, "grp")
     told = rows.join(member, "node").select("token", "pos", "node", "n", "grp", "size", "end", "least", "most")
     several = told.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
@@ -291,19 +308,64 @@ def matrix_pairs(rows: DataFrame, nodes: DataFrame, groups: DataFrame, join: Joi
     largest = F.least(F.col("g.most"), F.floor(F.col("q.n") * join.den / join.num))
     first = F.col("q.pos") + F.col("g.pos") <= stray(F.col("q.n"), largest, join)
     asked = q.join(g, (F.col("q.token") == F.col("g.token")) & asks & fits & first)
-    asked = asked.select(F.col("q.node").alias("node"), F.col("g.grp").alias("grp"), F.col("g.end").alias("end"), F.col("g.least").alias("least")).distinct()
-    # overlap bound: shingles of the query up to the group's shortest prefix that the union lacks are in no member
-    union = matrix.select("token", "grp")
-    held = told.select("token", "node").join(asked.select("node", "grp", "end"), "node").join(union, ["token", "grp"])
-    counted = asked.join(held.groupBy("node", "grp").agg(F.count_if(F.col("token") <= F.col("end")).alias("held")), ["node", "grp"])
-    query = counted.join(nodes.select("node", "n", "prefix"), "node")
-    lack = F.size(F.filter("prefix", lambda r: r <= F.col("end"))) - F.col("held")
+    asked = asked.select(F.col("q.node").alias("node"), F.col("q.n").alias("n"), *(F.col(f"g.{c}").alias(c) for c in ("grp", "size", "end", "least"))).distinct()
+    # overlap bound: of the query's shingles up to the group's shortest prefix, those that the union lacks are in no
+    # member; their number is at least the place of the last shared one less the shared ones
+    union = matrix.select("token", "grp", F.lit(1).alias("held"))
+    near = told.select("token", "pos", "node").join(asked.select("node", "grp", "end"), "node").where("token <= end")
+    counts = near.join(union, ["token", "grp"], "left").groupBy("node", "grp").agg((F.max("pos") + 1 - F.count("held")).alias("lack"))
     partner = F.greatest(F.col("least"), F.ceil(F.lit(float(join.num)) * F.col("n") / float(join.den)))
-    open_groups = query.where(F.col("n") - lack >= needed(F.col("n"), partner, join)).select("node", "grp")
-    asking = told.select("token", "node", F.col("pos").alias("pos_a"), F.col("n").alias("n_a")).join(open_groups, "node").select("token", "grp", "pos_a", "n_a", F.col("node").alias("a"))
-    members = told.select("token", "grp", F.col("pos").alias("pos_b"), F.col("n").alias("n_b"), F.col("node").alias("b"))
+    query = asked.join(counts, ["node", "grp"], "left").where(F.col("n") - F.coalesce("lack", F.lit(0)) >= needed(F.col("n"), partner, join))
+    open_groups = materialise(query.select("node", "grp", "size"), "open-groups")
+    small = open_groups.where(F.col("size") <= SMALL_GROUP)
+    asking = told.select("token", "node", F.col("pos").alias("pos_a"), F.col("n").alias("n_a")).join(small, "node").select("token", "grp", "pos_a", "n_a", F.col("node").alias("a"))
+    members = told.where(F.col("size") <= SMALL_GROUP).select("token", "grp", F.col("pos").alias("pos_b"), F.col("n").alias("n_b"), F.col("node").alias("b"))
     met = [asking.token == members.token, asking.grp == members.grp, sizes_fit(F.col("n_a"), F.col("n_b"), join), F.col("pos_a") + F.col("pos_b") <= stray(F.col("n_a"), F.col("n_b"), join)]
-    return asking.join(members, met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = prefix_bound(asking.join(members, met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), nodes, join)
+    large = open_groups.where(F.col("size") > SMALL_GROUP)
+    return pairs if large.isEmpty() else pairs.union(open_large(large, nodes, groups, join)).distinct()
+
+
+def open_large(large: DataFrame, nodes: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
+    """Pairs of queries large(node, grp, size) and members of their groups that pass the prefix bound.
+
+    Blocks of at most about MEMBERS members meet blocks of about ASKERS queries in one task each; only pairs that
+    pass leave it, so no row is made for a pair that does not.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], asking: pa.Table, members: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if asking.num_rows and members.num_rows:
+            ids, sizes = members.column("node").to_numpy(), members.column("n").to_numpy()
+            lists = [np.array(x, dtype=np.int64) for x in members.column("prefix").to_pylist()]
+            lengths = np.array([len(x) for x in lists])
+            tokens, ends = np.concatenate(lists), np.array([x[-1] for x in lists])
+            owner = np.repeat(np.arange(len(lists)), lengths)
+            for node, n, prefix in zip(*(asking.column(c).to_pylist() for c in ("node", "n", "prefix"))):
+                own = np.array(prefix, dtype=np.int64)
+                at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
+                shared = np.bincount(owner[own[at] == tokens], minlength=len(lists))
+                end = np.minimum(ends, own[-1])
+                lack_a = np.searchsorted(own, end, side="right") - shared
+                lack_b = np.bincount(owner[tokens <= end[owner]], minlength=len(lists)) - shared
+                need = -(-join.num * (n + sizes) // (join.num + join.den))
+                fits = (join.den * np.minimum(n, sizes) >= join.num * np.maximum(n, sizes)) & (n - lack_a >= need) & (sizes - lack_b >= need) & (ids != node)
+                found += [(max(node, int(b)), min(node, int(b))) for b in ids[fits]]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    counts = large.groupBy("grp").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("askers"))
+    blocks = materialise(counts.select("grp", F.ceil(F.col("size") / MEMBERS).cast("int").alias("m"), F.ceil(F.col("askers") / ASKERS).cast("int").alias("q")), "blocks")
+    inside = groups.select("node", F.col("root").alias("grp")).join(blocks, "grp")
+    asked = large.select("node", "grp").join(blocks, "grp")
+    near = only_nodes(nodes, inside.select("node").union(asked.select("node"))).select("node", "n", "prefix")
+    place = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = asked.join(near, "node").select("grp", every("m").alias("mb"), place("q").alias("qb"), "node", "n", "prefix")
+    right = inside.join(near, "node").select("grp", place("m").alias("mb"), every("q").alias("qb"), "node", "n", "prefix")
+    left, right = materialise(left, "askers"), materialise(right, "members")
+    key = ["grp", "mb", "qb"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "a bigint, b bigint")
 
 
 def similarity_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -317,8 +379,7 @@ def similarity_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     near = materialise(prefix_bound(leader_pairs(rows, join), nodes, join), "leader-pairs")
     first = materialise(links(docs, near, nodes, join), "leader-links")
     groups = components(first)
-    rest = matrix_pairs(rows, nodes, groups, join).join(near, ["a", "b"], "left_anti")
-    rest = materialise(prefix_bound(rest, nodes, join), "matrix-pairs")
+    rest = materialise(matrix_pairs(rows, nodes, groups, join).join(near, ["a", "b"], "left_anti"), "matrix-pairs")
     if rest.isEmpty():
         roots = groups
     else:
