@@ -40,7 +40,7 @@ from .common import components, materialise, utf8
 FREQUENT = 1 << 18
 FREQUENT_LEAST = 3
 SLOTS = 1 << 26
-NODE_BITS = 1 << 21
+NODE_BITS = 1 << 22
 #: Groups up to this size are opened by a join; larger ones in blocks of members, against blocks of queries.
 SMALL_GROUP, MEMBERS, ASKERS = 8, 256, 2048
 PREFIX_SCHEMA = "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, frequent int, prefix array<bigint>"
@@ -183,15 +183,22 @@ def sizes_fit(a: Column, b: Column, join: Join) -> Column:
 
 
 def only_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of nodes that may be in wanted(node), by a bit table of fixed size in the plan; others go before any
+    """The rows of nodes that may be in wanted(node), by a broadcast bit table of fixed size; others go before any
     shuffle of their prefixes. The joins that follow are exact."""
-    slot = F.pmod(F.xxhash64("node"), F.lit(NODE_BITS)).cast("int")
-    found = wanted.select("node").distinct().select(F.shiftright(slot, 3).alias("byte"), F.call_function("shiftleft", F.lit(1), F.pmod(slot, F.lit(8))).alias("bit"))
-    rows = found.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(NODE_BITS // 8, dtype=np.uint8)
-    table[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy()
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(table.tobytes())), F.shiftright(slot, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return nodes.where(F.call_function("shiftright", byte, F.pmod(slot, F.lit(8))).bitwiseAND(F.lit(1)) == 1)
+    slot = F.pmod(F.col("node"), F.lit(NODE_BITS))
+    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(NODE_BITS // 64, dtype=np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    sent = nodes.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            slot = batch.column(batch.schema.get_field_index("node")).to_numpy() % NODE_BITS
+            yield batch.filter(pa.array((bits[slot >> 6] >> (slot & 63)) & 1 == 1))
+
+    return nodes.mapInArrow(run, nodes.schema)
 
 
 def prefix_bound(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
