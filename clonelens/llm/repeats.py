@@ -48,7 +48,7 @@ GRAM = 16
 SLICE = 1 << 20
 #: Bits of the tables that carry candidate contexts to the next pass: a fixed size, whatever the corpus.
 TABLE_BITS = 1 << 26
-GROUP_LIMIT = 256
+GROUP_LIMIT = 4096
 CONTEXT_SCHEMA = "context bigint, n int"
 ENTRY_SCHEMA = "context bigint, entry bigint, doc_key binary, first int, last int"
 BYTES_SCHEMA = "context bigint, entry bigint, data binary"
