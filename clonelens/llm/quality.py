@@ -1,16 +1,18 @@
 """Quality rules: fixed base rules plus perplexity bands of a modified Kneser-Ney model.
 
-The model is an order-4 language model over characters mapped to 64 symbols, one per language. Spark counts the
-4-grams of every document (each task sums its own before the shuffle); an alphabet of 64 bounds a language's
-4-grams by 64**4, so a language's counts fit one task whatever the corpus size. The smoothed probabilities are kept
+The model is an order-4 language model over characters written in 64 units, one per language. Every character has its
+own code of one to five units. Spark counts all 4-grams of every document, whatever they hold (each task sums its own
+before the shuffle); 64 units bound a language's 4-grams by 64**4, so a language's counts fit one task whatever the corpus size. The smoothed probabilities are kept
 in sorted arrays of packed 24-bit hashes and read by binary search. Languages with fewer than ``min_chars``
 characters share one pooled model, which bounds the number of models by the corpus.
 
-A document's perplexity per character is compared with its language's band: quartiles of log-perplexity over all
+A document's negative log-probability per letter or digit (other characters add to what is improbable, not to the
+length; every character is scored) is compared with its language's band: quartiles of log-perplexity over all
 documents of the language, widened as ``Bands`` says. Documents outside are rejected.
 
 Defined cases: null and empty texts have no words and fail the base rule; a null or rare language is pooled; a
-document without a score (no character) is judged by the base rule alone; repeated rows are judged alike; an empty
+document without letters and digits has no score and lies outside every band (in a corpus without any, there is no band
+and the base rule decides); repeated rows are judged alike; an empty
 table gives no rows; other columns are ignored by the report and kept by ``keep_documents``.
 """
 
@@ -41,7 +43,7 @@ MODEL_SCHEMA = "lang string, keys binary, logp binary, contexts binary, logb bin
 @dataclass(frozen=True)
 class Bands:
     """Log-perplexity may leave the language's quartiles by low (high) interquartile ranges, plus low_short
-    (high_short) / sqrt(characters): the mean over a short text strays by that order by chance."""
+    (high_short) / sqrt(letters and digits): the mean over a short text strays by that order by chance."""
 
     low: float = 3.0
     high: float = 3.0
@@ -49,49 +51,78 @@ class Bands:
     high_short: float = 6.0
 
 
-def _ascii_symbols() -> np.ndarray:
-    table = np.full(128, 31, dtype=np.uint8)
-    table[[9, 10, 11, 12, 13, 32]] = 0
-    for c in range(26):
-        table[97 + c] = 1 + c
-        table[65 + c] = 30
-    table[48:58] = 27
-    for c in ".,;:'\"-?":
-        table[ord(c)] = 28
-    for c in SYMBOLS:
-        table[ord(c)] = 29
-    return table
+#: White space of ASCII, which is one unit.
+SPACES = (9, 10, 11, 12, 13, 32)
 
 
-_ASCII = _ascii_symbols()
+def _ascii_units() -> tuple[np.ndarray, np.ndarray]:
+    """Units of every ASCII character, and how many it has."""
+    table, size = np.zeros((128, 2), dtype=np.uint8), np.ones(128, dtype=np.int64)
+    rest = 0
+    for code in range(128):
+        if 97 <= code <= 122:
+            table[code, 0] = code - 96
+        elif 48 <= code <= 57:
+            table[code, 0] = 29 + code - 48
+        elif 65 <= code <= 90:
+            table[code], size[code] = (27, code - 64), 2
+        elif code not in SPACES:
+            table[code], size[code] = (28, rest), 2
+            rest += 1
+    return table, size
+
+
+_ASCII, _ASCII_SIZE = _ascii_units()
+_ASCII_LETTER = np.array([chr(c).isalnum() for c in range(128)])
 
 
 def symbols(text: str) -> np.ndarray:
-    """Characters as 6-bit symbols: white space 0, letters 1-26, digits, marks, contract symbols, capitals, the rest
-    of ASCII, and 32 classes of other characters by code point."""
+    """Characters as 6-bit units; no two characters but white space share a code. White space 0, a-z 1-26, a capital 27
+    and its letter, digits 29-38, the rest of ASCII 28 and a unit; code points A0-65F 39-61 and a unit, others up to
+    3FFFF 62 and three units, the rest 63 and four."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
+    low = np.minimum(codes, 127)
+    size = _ASCII_SIZE[low]
+    other = np.flatnonzero(codes > 127)
+    if len(other):
+        size[other] = np.where((codes[other] >= 0xA0) & (codes[other] < 0x660), 2, np.where(codes[other] < 1 << 18, 4, 5))
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), dtype=np.uint8)
+    out[start] = _ASCII[low, 0]
+    pair = np.flatnonzero((size == 2) & (codes < 128))
+    out[start[pair] + 1] = _ASCII[codes[pair], 1]
+    if len(other):
+        n, at, code = size[other], start[other], codes[other]
+        two = n == 2
+        code = np.where(two, code - 0xA0, code)
+        out[at] = np.where(two, 39 + (code >> 6), 58 + n)
+        for k in range(1, 5):
+            has = n > k
+            out[at[has] + k] = (code[has] >> (6 * (n[has] - 1 - k))) & 63
+    return out
+
+
+def count_letters(text: str) -> int:
+    """Letters and digits of any script."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
-    out = _ASCII[np.minimum(codes, 127)]
     other = codes > 127
+    found = int(_ASCII_LETTER[codes[~other]].sum())
     if other.any():
-        out[other] = 32 + ((codes[other] * np.uint32(2654435761)) >> np.uint32(27)).astype(np.uint8)
-    return out
+        kinds, n = np.unique(codes[other], return_counts=True)
+        found += sum(int(k) for c, k in zip(kinds.tolist(), n) if chr(c).isalnum())
+    return found
 
 
-def packed_ngrams(text: str) -> np.ndarray:
-    """4-grams as 24-bit numbers, one per character; three boundary symbols stand before the text."""
-    s = np.concatenate([np.zeros(ORDER - 1, dtype=np.uint32), symbols(text).astype(np.uint32)])
+def pack(units: np.ndarray) -> np.ndarray:
+    """4-grams as 24-bit numbers, one per unit from the fourth on."""
+    s = units.astype(np.uint32)
     return (s[:-3] << np.uint32(18)) | (s[1:-2] << np.uint32(12)) | (s[2:-1] << np.uint32(6)) | s[3:]
 
 
 def prose_ngrams(text: str) -> np.ndarray:
-    """The 4-grams the model learns from: those without a contract symbol or odd ASCII, which stay out of vocabulary
-    (as an unknown word does), however common they are in the corpus."""
-    grams = packed_ngrams(text)
-    known = np.ones(len(grams), dtype=bool)
-    for shift in (0, 6, 12, 18):
-        part = (grams >> np.uint32(shift)) & np.uint32(63)
-        known &= (part != 29) & (part != 31)
-    return grams[known]
+    """The 4-grams of a text, for the model and for its score: all of them, one per unit; three boundary symbols stand
+    before the text."""
+    return pack(np.concatenate([np.zeros(ORDER - 1, dtype=np.uint8), symbols(text)]))
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
@@ -255,7 +286,7 @@ ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def score(docs: DataFrame, model: DataFrame, prefix: str = "") -> DataFrame:
-    """Add the base measures, n_scored (characters) and log_ppl (mean negative log-probability) to docs.
+    """Add the base measures, n_scored (letters and digits) and log_ppl (negative log-probability by them) to docs.
 
     Models are broadcast in blocks of languages whose measured size stays under BROADCAST_BYTES; one block for any
     usual number of languages. ``prefix`` is put before the added names.
@@ -296,11 +327,14 @@ def _scorer(sent, prefix: str):
             for i, lang in enumerate(langs):
                 text = texts[i].as_py()
                 use = models.get(lang) or models.get(POOLED)
-                total = 0.0
-                for at in range(0, len(text or "") if use else 0, 200_000):  # long texts in parts; three characters of context
-                    grams = packed_ngrams(text[max(0, at - 3) : at + 200_000])[min(at, 3) :]
-                    total += float(use.log_probs(grams).sum())
-                n = len(text or "") if use else 0  # no model at all: nothing in the corpus is prose
+                total, n = 0.0, 0
+                held = np.zeros(ORDER - 1, dtype=np.uint8)
+                for at in range(0, len(text or "") if use else 0, 200_000):  # long texts in parts; three units of context
+                    part = text[at : at + 200_000]
+                    units = np.concatenate([held, symbols(part)])
+                    total += float(use.log_probs(pack(units)).sum())
+                    n += count_letters(part)
+                    held = units[1 - ORDER :]
                 rows.append((*base_measures(text), n, -total / n if n else None))
             kinds = [pa.int64()] * 6 + [pa.float64()]
             added = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
@@ -326,7 +360,7 @@ def with_verdict(scored: DataFrame, found: dict[str, tuple[float, float]], bands
     short = F.sqrt(F.greatest(c("n_scored"), F.lit(1)).cast("double"))
     out = scored.withColumn(prefix + "ppl_low", low - bands.low_short / short).withColumn(prefix + "ppl_high", high + bands.high_short / short)
     base = (c("n_words") < 10) | (100 * c("n_repeat_words") > 20 * c("n_words"))
-    inside = F.coalesce(c("log_ppl").between(c("ppl_low"), c("ppl_high")), F.lit(True))
+    inside = F.coalesce(c("log_ppl").between(c("ppl_low"), c("ppl_high")), low.isNull())
     return out.withColumn(prefix + "base_failed", base).withColumn(prefix + "kept", ~base & inside)
 
 

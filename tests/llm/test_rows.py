@@ -262,6 +262,19 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert [(r["n_words"], r["log_ppl"]) for r in signs] == [(80, None), (0, None)]
 
 
+def test_all_characters_are_counted_and_distinct(spark):
+    chars = [chr(c) for c in [*range(33, 127), *range(0xA0, 0x700), *range(0x4E00, 0x4F00), 0x1F600, 0x40000, 0x10FFFF]] + [" "]
+    assert len({quality.symbols(c).tobytes() for c in chars}) == len(chars)
+    for text in ("a#*(x) [y] {z} | <t>", "日本語 é Ж"):
+        assert len(quality.prose_ngrams(text)) == len(quality.symbols(text)) >= len(text)
+    assert quality.count_letters("Ab1 é日 #(!)") == 5
+    rng = random.Random(12)
+    code = [" ".join(f"{rng.choice(WORDS)}({rng.choice(WORDS)}[{rng.choice(WORDS)}]);" for _ in range(30)) for _ in range(120)]
+    prose = [" ".join(rng.choice(WORDS) for _ in range(60)) + "." for _ in range(180)]
+    got = {r["doc_id"]: r for r in quality.quality_report(docs(spark, code + prose + ["#%&! (*) $$ " * 4 + "#|| " * 3])).collect()}
+    assert all(got[i]["kept"] for i in range(300)) and not got[300]["kept"]
+
+
 # ---------------------------------------------------------------- packing
 
 
