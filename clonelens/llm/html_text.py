@@ -4,8 +4,9 @@ The page is parsed into a light DOM. Boilerplate elements are cut first (navigat
 forms, scripts, styles, and blocks whose role, class or id names a menu, advert, notice, sidebar or comment list).
 On what is left, every node's composite density is the characters per tag adjusted by its share of link text; a
 node's density sum is the sum of its children's densities. The subtree of largest density sum gives the threshold,
-the smallest density on its path up to the body. Inside an ``article`` or ``main`` element that holds it, the whole
-element is the result; otherwise the subtree and every other subtree at or above the threshold.
+the smallest density on its path up to the body. The result is the subtree and every other subtree at or above the
+threshold; one inside an ``article`` or ``main`` element is extended to the whole (outermost) element. Where the body
+itself has the largest density sum, it is the result.
 
 Defined cases: null and empty html give an empty text; broken markup is repaired as browsers do in the usual cases
 (unclosed p, li, b; stray end tags are ignored); nesting is followed up to any depth without recursion; repeated
@@ -225,21 +226,22 @@ def select(root: Node) -> list[Node]:
         if node is body:
             break
         node = node.parent
-    whole = [n for n in path if n.tag in ("article", "main")]
-    if whole:
-        return [whole[-1]]
-    named = [n for n in order if n.tag in ("article", "main") and n.chars]
-    if named:
-        return [max(named, key=lambda n: n.chars)]
     if best in (root, body) or best.tag == "html":
         return [best]
     threshold = min(n.density for n in path)
+    on_path = set(map(id, path))
     found: list[Node] = []
     stack = [body]
     while stack:
         node = stack.pop()
-        if node is best or (node.density >= threshold and node not in path and node.chars):
-            found.append(node)
+        if node is best or (node.density >= threshold and id(node) not in on_path and node.chars):
+            top, up = node, node.parent
+            while node.inside and up is not None:  # the outermost article or main around it
+                if up.tag in ("article", "main"):
+                    top = up
+                up = up.parent
+            if not found or found[-1] is not top:
+                found.append(top)
         else:
             stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
     return found

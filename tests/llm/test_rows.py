@@ -123,6 +123,13 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("frame", ["<body><div>{0}</div><p><a href=x>More</a></p></body>", "<body>{0}</body>"])
+def test_every_article_above_the_threshold_is_kept(frame):
+    stories = ["first story text, long enough. " * 8, "second story words here. " * 9, "third words. " * 14]
+    page = frame.format("".join(f"<article><h2>Part {i}</h2><p>{t}</p></article>" for i, t in enumerate(stories)))
+    assert html_text.main_text(page) == " ".join(f"Part {i} {t.strip()}" for i, t in enumerate(stories))
+
+
 def test_html_query_and_deep_nesting(spark):
     deep = "<div>" * 30_000 + "<p>deep</p>"
     pages = spark.createDataFrame([(1, "u", deep), (2, None, None), (2, None, None)], "page_id long, url string, html string")
