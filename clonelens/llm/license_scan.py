@@ -1,9 +1,11 @@
 """License scan: exact set-similarity join of text blocks with license templates, in built-in functions only.
 
-Blocks are the lines of a text. A block matches a template when it holds at least ``threshold`` of the template's
+Blocks are the lines of a text and, so that a line break inside a notice hides nothing, for every template all runs of
+consecutive words of the text that are 1 / threshold times as long as the template. A block matches a template when it holds at least ``threshold`` of the template's
 distinct words. Template words are ordered by their frequency over all blocks of the corpus, rarest first. A
 matching block must hold a word of the template's prefix (its rarest |T| - need + 1 words), so only blocks with a
-prefix word are joined; length and position filters cut the rest before the exact overlap is computed. Only the
+prefix word are joined; length and position filters cut the rest before the exact overlap is computed. Runs are looked
+for in overlapping pieces of the text, which pass the same filters first. Only the
 templates (a fixed list) are broadcast, and only their words' frequencies are collected.
 
 Defined cases: null and empty texts have no words, no labels and score 0; blocks without words match nothing;
@@ -44,12 +46,19 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 THRESHOLD = 0.9
+#: Words from the start of one piece of a text to the start of the next.
+PIECE = 200
 
 
 def template_words(text: str) -> list[str]:
     return sorted({w for w in re.split(SEPARATORS, text.lower()) if w})
 
 
+def run_words(text: str, threshold: float) -> int:
+    """Length of the runs that are held against a template."""
+    return math.ceil(sum(1 for w in re.split(SEPARATORS, text.lower()) if w) / threshold - 1e-9)
+
+
 def lower_az(text: Column) -> Column:
     """A-Z lower-cased. lower() gives the same words here: it turns no other letter into an ASCII one but the two
     for which translate() is used."""
@@ -85,6 +94,16 @@ def block_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return lines.select("doc_id", "text_hash", own.alias("held")).where(F.size("held") > 0)
 
 
+def piece_words(docs: DataFrame, vocabulary: list[str], longest: int) -> DataFrame:
+    """As block_words, for pieces of texts with more than one line; ``piece`` holds the piece's words in order. Pieces
+    overlap so that every run of up to ``longest`` words lies in one."""
+    texts = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(normalised(F.col("text")), " ").alias("words"))
+    starts = F.sequence(F.lit(1), F.size("words"), F.lit(PIECE))
+    pieces = texts.select("doc_id", "text_hash", F.explode(F.transform(starts, lambda i: F.slice("words", i, PIECE + longest - 1))).alias("piece"))
+    own = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("piece"))
+    return pieces.select("doc_id", "text_hash", "piece", own.alias("held"))
+
+
 def frequency_order(docs: DataFrame, templates: list[tuple[str, str]]) -> list[str]:
     """All template words, rarest over the corpus's blocks first (ties by word); one row per word is collected."""
     words = sorted({w for _, t in templates for w in template_words(t)})
@@ -93,15 +112,15 @@ def frequency_order(docs: DataFrame, templates: list[tuple[str, str]]) -> list[s
 
 
 def prefix_index(docs: DataFrame, order: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """One row per template and prefix word: word, t_pos, template, label, need, t_words (in order)."""
+    """One row per template and prefix word: word, t_pos, template, label, need, t_words (in order), t_run."""
     rank = {w: i for i, w in enumerate(order)}
     rows = []
     for k, (label, text) in enumerate(templates):
         words = sorted(template_words(text), key=rank.__getitem__)
         need = math.ceil(threshold * len(words) - 1e-9)
         listed = ", ".join(f"'{w}'" for w in words)
-        rows += [f"('{w}', {i}, {k}, '{label}', {need}, array({listed}))" for i, w in enumerate(words[: len(words) - need + 1])]
-    return docs.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(word, t_pos, template, label, need, t_words)")
+        rows += [f"('{w}', {i}, {k}, '{label}', {need}, array({listed}), {run_words(text, threshold)})" for i, w in enumerate(words[: len(words) - need + 1])]
+    return docs.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(word, t_pos, template, label, need, t_words, t_run)")
 
 
 def match_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -109,14 +128,22 @@ def match_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     order = frequency_order(docs, templates)
     index = prefix_index(docs, order, templates, threshold)
     least = min(math.ceil(threshold * len(template_words(t)) - 1e-9) for _, t in templates)
-    blocks = block_words(docs, order).where(F.size("held") >= least)
-    words = blocks.select("doc_id", "text_hash", "held", F.posexplode("held").alias("b_pos", "word"))
-    size, t_size = F.size("held"), F.size("t_words")
-    room = F.col("t_pos") + 1 + F.least(t_size - F.col("t_pos") - 1, size - F.col("b_pos") - 1)
-    candidates = words.join(F.broadcast(index), "word").where((size >= F.col("need")) & (room >= F.col("need")))
-    overlap = F.size(F.array_intersect("held", "t_words"))
-    found = candidates.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need"))
-    return found.select("doc_id", "text_hash", "template", "label", (F.col("overlap") / t_size).alias("containment"))
+    t_size = F.size("t_words")
+
+    def candidates(blocks: DataFrame, *kept: str) -> DataFrame:
+        words = blocks.where(F.size("held") >= least).select("doc_id", "text_hash", *kept, "held", F.posexplode("held").alias("b_pos", "word"))
+        size = F.size("held")
+        room = F.col("t_pos") + 1 + F.least(t_size - F.col("t_pos") - 1, size - F.col("b_pos") - 1)
+        near = words.join(F.broadcast(index), "word").where((size >= F.col("need")) & (room >= F.col("need")))
+        return near.withColumn("overlap", F.size(F.array_intersect("held", "t_words"))).where(F.col("overlap") >= F.col("need"))
+
+    lines = candidates(block_words(docs, order))
+    longest = max(run_words(t, threshold) for _, t in templates)
+    runs = F.sequence(F.lit(1), F.greatest(F.size("piece") - F.col("t_run") + 1, F.lit(1)))
+    best = F.array_max(F.transform(runs, lambda i: F.size(F.array_intersect("t_words", F.slice("piece", i, F.col("t_run"))))))
+    wrapped = candidates(piece_words(docs, order, longest), "piece").withColumn("overlap", best).where(F.col("overlap") >= F.col("need"))
+    columns = ("doc_id", "text_hash", "template", "label", (F.col("overlap") / t_size).alias("containment"))
+    return lines.select(*columns).union(wrapped.select(*columns))
 
 
 def license_report(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -227,6 +227,18 @@ def test_licenses_against_plain_version(spark):
     assert license_scan.license_report(docs(spark, [])).count() == 0
 
 
+def test_notices_wrapped_over_lines_are_found(spark):
+    mit = "/* Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the Software) */"
+    bsd = "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that\n\nthe following conditions are met:"
+    torn = "\n".join(license_scan.TEMPLATES[-1][1].split())
+    far = "Released under\n" + "some other words " * 10 + "\nthe MIT License"
+    deep = " ".join(WORDS * 12) + "\n"
+    texts = [mit, bsd, torn, far, *("word " * k + deep + "Licensed under the Apache\nLicense, Version 2.0\n" + deep for k in range(0, 210, 7))]
+    got = {r["doc_id"]: r for r in license_scan.license_report(docs(spark, texts)).collect()}
+    assert [got[i]["labels"] for i in range(4)] == ["mit", "bsd", "unlicense", ""] and [got[i]["score"] for i in range(4)] == [1.0, 1.0, 1.0, 0.0]
+    assert {(r["labels"], r["score"]) for i, r in got.items() if i > 3} == {("apache-2.0", 1.0)}
+
+
 # ---------------------------------------------------------------- quality
 
 
