@@ -1,17 +1,19 @@
 """Content-addressed WARC archive.
 
 ``write_archive`` stores two tables: ``payloads`` (each distinct payload once, under its SHA-256) and ``records``
-(the exact WARC header bytes of every page, with the payload's address). ``read_archive`` reconstructs the original
-records by joining the two, checks every payload against its address again, and parses the headers back.
+(the exact bytes of every page's WARC header and, for a response, of the HTTP header before its payload, with the
+payload's address). ``read_archive`` reconstructs the original records by joining the two, checks every payload
+against its address again, and parses the headers back; ``verified_records`` gives every record, revisits included,
+the size and digest of the payload that its address leads to.
 
 Of pages with equal payloads of at least ``min_bytes`` bytes, the one with the largest page_id is a response and
 the others are revisit records that refer to it; smaller payloads are all responses. Headers, digests and checks are
 built-in SQL functions; payloads are compressed in Arrow batches before they move. Only small columns are shuffled for
 the grouping; of payloads, each task keeps one row per address before the one shuffle that stores them.
 
-Defined cases: a null html is an empty payload; a null url is an empty target; repeated page_ids with equal
-payloads are one response and revisits of it when they differ in the row slot only (ties go to one row); an empty
-table gives empty archives; other columns are ignored.
+Defined cases: a null html is an empty payload; a null url is an empty target; CR and LF in a url are written as
+%0D and %0A; rows that share the largest page_id of their payload are all responses (they have one record id), a null
+page_id is smaller than all others; an empty table gives empty archives; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
@@ -53,20 +56,30 @@ def record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
 
 
-def header(kind: str, page_id: Column, url: Column, digest: Column, size: Column, refers_to: Column | None) -> Column:
-    """Exact header block of one record, up to and including the empty line."""
+def http_header(size: Column) -> Column:
+    """The HTTP header that stands before a response's payload."""
+    return F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size.cast("string"), F.lit(CRLF * 2))
+
+
+def header(kind: str, page_id: Column, url: Column, date: Column, digest: Column, size: Column, refers_to: Column | None) -> Column:
+    """Exact header block of one record up to the payload: up to and including the empty line, and for a response the
+    HTTP header that its block begins with."""
+    target = F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     lines = [
         F.lit("WARC/1.1"),
         F.lit(f"WARC-Type: {kind}"),
         F.concat(F.lit("WARC-Record-ID: "), record_id(page_id)),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce(url, F.lit("")), "[\\r\\n]", "")),
+        F.concat(F.lit("WARC-Date: "), date),
+        F.concat(F.lit("WARC-Target-URI: "), target),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest),
         F.concat(F.lit("X-Payload-Length: "), size.cast("string")),
     ]
     if refers_to is not None:
-        lines += [F.lit(f"WARC-Profile: {PROFILE}"), F.concat(F.lit("WARC-Refers-To: "), record_id(refers_to))]
-    lines += [F.lit("Content-Type: text/html"), F.concat(F.lit("Content-Length: "), (size if refers_to is None else F.lit(0)).cast("string"))]
-    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2)).cast("binary")
+        lines += [F.lit(f"WARC-Profile: {PROFILE}"), F.concat(F.lit("WARC-Refers-To: "), record_id(refers_to)), F.lit("Content-Length: 0")]
+        return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2)).cast("binary")
+    http = http_header(size)
+    lines += [F.lit("Content-Type: application/http;msgtype=response"), F.concat(F.lit("Content-Length: "), (F.length(http) + size).cast("string"))]
+    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), http).cast("binary")
 
 
 def packed(df: DataFrame) -> DataFrame:
@@ -81,9 +94,11 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select("address", "payload").mapInArrow(run, "address string, payload binary")
 
 
-def write_archive(pages: DataFrame, min_bytes: int = 0) -> Archive:
-    """Write ``pages(page_id, url, html)`` and return where the two tables lie in the shared folder."""
+def write_archive(pages: DataFrame, min_bytes: int = 0, date: str | None = None) -> Archive:
+    """Write ``pages(page_id, url, html)`` and return where the two tables lie in the shared folder. ``date`` is the
+    records' WARC-Date in UTC; the time of the call by default."""
     spark = pages.sparkSession
+    written = F.lit(date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))
     payload = F.coalesce("html", F.lit("")).cast("binary")
     small = pages.select("page_id", "url", payload.alias("payload")).select(
         "page_id", "url", F.length("payload").cast("bigint").alias("size"), F.sha2("payload", 256).alias("address"), base32_sha1(F.col("payload")).alias("digest"),
@@ -91,8 +106,8 @@ def write_archive(pages: DataFrame, min_bytes: int = 0) -> Archive:
     small = materialise(small, "warc-index")
     newest = small.groupBy("address", "size").agg(F.max("page_id").alias("response_id"))
     told = small.join(newest, ["address", "size"]).withColumn("response", (F.col("size") < min_bytes) | F.col("page_id").eqNullSafe(F.col("response_id")))
-    plain = header("response", F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), None)
-    again = header("revisit", F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), F.col("response_id"))
+    plain = header("response", F.col("page_id"), F.col("url"), written, F.col("digest"), F.col("size"), None)
+    again = header("revisit", F.col("page_id"), F.col("url"), written, F.col("digest"), F.col("size"), F.col("response_id"))
     records = told.select("page_id", "address", "response", F.when(F.col("response"), plain).otherwise(again).alias("header"))
     base = f"{shared_dir(spark)}/clonelens/warc-{uuid.uuid4().hex}"
     records.write.options(**WRITE_OPTIONS).parquet(f"{base}/records")
@@ -153,21 +168,29 @@ def restore_payloads(spark: SparkSession, archive: Archive) -> DataFrame:
     return _inflated(records.select("page_id", "address").join(payloads, "address").select("page_id", "payload"))
 
 
-def archive_report(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write the archive, read it back, and return the digest columns of the WARC contract.
-
-    For a response, size and digest are computed anew from the reconstructed bytes.
-    """
-    spark = pages.sparkSession
-    back = read_archive(spark, write_archive(pages, min_bytes))
-    body = F.col("payload")
-    return back.select(
-        "page_id",
-        F.when(body.isNotNull(), F.length(body).cast("bigint")).otherwise(F.col("size")).alias("payload_bytes"),
-        F.when(body.isNotNull(), base32_sha1(body)).otherwise(F.col("digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
+def verified_records(spark: SparkSession, archive: Archive) -> DataFrame:
+    """page_id, record_type, refers_to, and the size and digest of the rebuilt payload, of every record. Payloads are
+    rebuilt and checked once, with their response; revisits join the result by their address, and one whose header
+    states another size or digest, or whose payload is missing, fails the read."""
+    back = read_archive(spark, archive)
+    own = back.where("record_type = 'response'").select(
+        "page_id", "address", F.length("payload").cast("bigint").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")
     )
+    own = materialise(own, "warc-verified")
+    once = own.groupBy("address").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    rest = back.where("record_type = 'revisit'").select("page_id", "address", "refers_to", "digest", "size").join(once, "address", "left")
+    same = F.coalesce((F.col("digest") == F.col("payload_digest")) & (F.col("size") == F.col("payload_bytes")), F.lit(False))
+    wrong = F.when(~same, F.raise_error(F.concat(F.lit("revisit of another payload: "), "address")))
+    told = rest.select("page_id", F.lit("revisit").alias("record_type"), "refers_to", "payload_bytes", F.coalesce(wrong.cast("string"), F.col("payload_digest")).alias("payload_digest"))
+    response = own.select("page_id", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"), "payload_bytes", "payload_digest")
+    return response.union(told)
+
+
+def archive_report(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """Write the archive, read it back, and return the digest columns of the WARC contract, computed from the rebuilt
+    payloads."""
+    back = verified_records(pages.sparkSession, write_archive(pages, min_bytes))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def oracle_sql() -> str:
