@@ -4,7 +4,7 @@
 id); ``pack`` assigns the pieces to sequences. Pieces are dealt into randomised groups of about ``group_size``
 pieces, and first-fit decreasing runs independently in each, so no task sees more than one bounded group.
 
-Defined cases: null and empty texts are one piece holding the end id alone; a null doc_id stays null; repeated
+Defined cases: texts of any length and kind are encoded whole; null and empty texts are one piece holding the end id alone; a null doc_id stays null; repeated
 rows are packed as often as they occur (the group is drawn from a per-row slot, so copies of one id are spread);
 equal lengths are placed in the order of doc_id, start; an empty table gives no rows; other columns of the
 documents are ignored by ``cut_documents``, and ``pack`` carries the columns of its input through.
@@ -13,6 +13,7 @@ documents are ignored by ``cut_documents``, and ``pack`` carries the columns of
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,9 @@ SEQ_LEN = 2048
 #: Fixed value: the public pre-tokenisation pattern of the byte-level vocabulary.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space runs from this length on overflow the stack of the fast engine's pattern matcher.
+LONG_SPACE = re.compile(r"\s{50000}")
+
 CUT_SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, slot bigint, ids binary"
 
 
@@ -43,7 +47,8 @@ def encoder(path: str):
     """text -> uint32 ids, equal to ``tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 
     The vocabulary of the file is run by a faster byte-pair engine; texts that hold the string of a special
-    token go to the tokenizers library itself, which maps it to its id.
+    token go to the tokenizers library itself, which maps it to its id, and so do texts on which that engine gives
+    up (very long runs of white space).
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -59,9 +64,13 @@ def encoder(path: str):
     whole = Tokenizer.from_file(path)
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.array(fast.encode_ordinary(text), dtype="<u4")
+        if not (any(s in text for s in special) or (len(text) > 50_000 and LONG_SPACE.search(text))):
+            try:
+                return np.array(fast.encode_ordinary(text), dtype="<u4")
+            except BaseException as e:  # a panic of the engine is no Exception; nothing else is held back
+                if type(e).__name__ != "PanicException":
+                    raise
+        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     return encode
 

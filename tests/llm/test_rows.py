@@ -183,10 +183,35 @@ def test_archive_round_trip(spark):
     assert {r["page_id"]: bytes(r["payload"]).decode() for r in warc.restore_payloads(spark, archive).collect()} == {k: v or "" for k, v in html.items()}
     record = {r["page_id"]: bytes(r["record"]) for r in warc.read_archive(spark, archive).collect()}
     assert record[5].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and record[5].endswith("\r\n\r\né\r\nWARC/1.1\r\n\r\n\r\n".encode())
+    for k, bytes_ in record.items():
+        head, _, block = bytes_.partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(fields) and fields["WARC-Target-URI"] == f"http://x/{k}%0A"
+        assert len(block) == int(fields["Content-Length"]) + 4 and block.endswith(b"\r\n\r\n")  # the block, then two line ends
+        if fields["WARC-Type"] == "response":
+            assert fields["Content-Type"] == "application/http;msgtype=response" and block[:-4].partition(b"\r\n\r\n")[2].decode() == (html[k] or "")
     assert all(r["record_type"] == "response" for r in warc.archive_report(pages, min_bytes=100).collect())
     assert warc.archive_report(pages.limit(0)).count() == 0
 
 
+def test_repeated_page_ids_and_null_ids(spark):
+    pages = spark.createDataFrame([(3, "u", "x"), (3, "v", "x"), (1, "w", "x"), (None, "w", "x"), (None, None, "y"), (2, None, "y")], "page_id long, url string, html string")
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.archive_report(pages).collect())
+    assert got == [(0, "revisit", 2), (0, "revisit", 3), (1, "revisit", 3), (2, "response", None), (3, "response", None), (3, "response", None)]
+    alone = spark.createDataFrame([(None, "u", "z")], "page_id long, url string, html string")
+    assert [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_report(alone).collect()] == [(None, "response", None)]
+
+
+def test_a_revisit_of_another_payload_is_found(spark):
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (3, "u", "y")], "page_id long, url string, html string")
+    archive = warc.write_archive(pages)
+    records = spark.read.parquet(archive.records)
+    other = records.where("page_id = 3").first()["address"]
+    records.withColumn("address", F.when(F.col("page_id") == 1, other).otherwise(F.col("address"))).write.parquet(archive.records + "-moved")
+    with pytest.raises(Exception, match="another payload"):
+        warc.verified_records(spark, warc.Archive(archive.records + "-moved", archive.payloads)).collect()
+
+
 def test_damage_is_found(spark):
     pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
     archive = warc.write_archive(pages)
@@ -306,6 +331,19 @@ def test_ids_equal_the_tokenizers_library():
         assert encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["\n" * 1_000_000 + "a", " " * 1_000_000, " " * 60_000 + "x" + "\t" * 40_000, "a" * 200_000, "word " * 20_000])
+def test_ids_of_very_long_runs_equal_the_library(text):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    assert packing.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_panics_of_the_fast_engine_only_are_held_back(monkeypatch):
+    monkeypatch.setattr(packing, "LONG_SPACE", packing.re.compile("(?!)"))  # let the run through to the fast engine
+    assert len(packing.encoder(packing.default_tokenizer())(" " * 700_000 + "x")) > 0
+
+
 def test_first_fit_decreasing_against_scan():
     rng = random.Random(6)
     for _ in range(50):
