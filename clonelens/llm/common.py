@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +32,16 @@ def alnum_words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines see: ``spark.checkpoint.dir``; only where it is unset (tests) one of our own."""
+    """The folder all machines see: ``spark.checkpoint.dir``. Where it is unset, one of our own in local mode (tests);
+    on a cluster a machine's own folder would be read by nobody else, so that raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
-        base = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: the operators need a folder that all machines share")
+        base = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
@@ -44,26 +50,55 @@ def shared_dir(spark: SparkSession) -> str:
 #: no child process for its permissions. Other file systems ignore both.
 WRITE_OPTIONS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
-#: Tables that operators have written and ``release`` may delete.
-_written: list[str] = []
 
+class Scratch:
+    """The tables that calls under ``with scratch:`` write. ``delete`` removes those that are left; only for callers
+    that have stored all results that read them. Tables written outside any scratch stay until the folder is cleared."""
 
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        self._token = _scratch.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scratch.reset(self._token)
+
+    def delete(self, spark: SparkSession) -> None:
+        while self.paths:
+            _delete(spark, self.paths.pop())
+
+
+_scratch: ContextVar[Scratch | None] = ContextVar("clonelens_scratch", default=None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/clonelens/{name}-{uuid.uuid4().hex}"
+    own = _scratch.get()
+    if own is not None:
+        own.paths.append(path)
     df.write.options(**WRITE_OPTIONS).parquet(path)
-    if not keep:
-        _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._clonelens_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far. Only for callers that have stored all results that read them."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` whose readers are all stored."""
+    for table in tables:
+        path = table._clonelens_path
+        own = _scratch.get()
+        if own is not None and path in own.paths:
+            own.paths.remove(path)
+        _delete(table.sparkSession, path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -80,9 +115,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star / small-star steps. Each step is two groupBy-min with map-side combining and a join
     that adaptive execution may split, so a node with a third of all edges is no single task. Every round is
-    written to the shared folder; rounds grow with the logarithm of the longest chain.
+    written to the shared folder, and the one before it is deleted; rounds grow with the logarithm of the longest
+    chain. Raises when ``max_rounds`` do not suffice.
     """
-    spark = edges.sparkSession
 
     def norm(df: DataFrame) -> DataFrame:
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -98,9 +133,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b")))
-        now = materialise(norm(small), "cc")
+        last, now = now, materialise(norm(small), "cc")
+        discard(last)
         was, seen = seen, mark(now)
         if was == seen:
             break
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components: not settled after {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return materialise(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "cc-out")
+    out = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "cc-out")
+    discard(now)
+    return out
