@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df in the shared folder (``spark.checkpoint.dir``; our own only where it is unset) and read it back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all machines see. Where it is unset: one of our own in local mode (tests); on a
+    cluster that raises, since no other machine would read it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = now.get() if now.isDefined() else None
     if not base:
-        base = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: stored tables need a folder that all machines share")
+        base = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/clonelens/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df in the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/clonelens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def positions(df: DataFrame, group: str | None, order: list[Column | str], name: str = "position") -> DataFrame:

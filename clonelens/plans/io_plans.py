@@ -8,15 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import stored
+from ..operators.tables import shared_folder
 from ..schemas import BALANCED
 from ..sources import readers, sinks
 
 
 def _folder(spark: SparkSession) -> str:
-    stored(spark.range(1), "touch")  # sets the shared folder where it is unset
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base}/clonelens-io/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/clonelens-io/{uuid.uuid4().hex}"
 
 
 def _pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
