@@ -7,20 +7,24 @@ z-score passes ``min_z``. A word takes the significant unit of largest log-odds;
 so that segments of ordinary words have a negative score.
 
 Scoring: one linear scan (all maximal scoring segments, Ruzzo and Tompa) per whole text. Segment scores S get
-E-values K n exp(-lambda S) of extreme-value theory for local scores; lambda solves sum p exp(lambda s) = 1 over
-the clean texts and K matches their observed segments. A text's evidence is the sum of -ln E over its segments with
-E < 1; a logistic curve fitted on the sample turns evidence and the largest segment into the score.
+E-values K n exp(-lambda S) of extreme-value theory for local scores: lambda is the positive root of
+sum p(s) exp(lambda s) = 1 for the distribution p of the token scores of the sample's clean texts, all of which are
+counted, and K makes the expected number of segments match the number found in them at a grid of scores. A text's
+evidence is the sum of -ln E over its segments with E < 1; a logistic curve fitted on the sample turns evidence and the
+largest segment into the score.
 
 Defined cases: null and empty texts have no token and score the curve's value for no evidence; null labels are
 skipped, repeated labels of one doc_id count as the largest; equal texts of the sample count once per label;
 repeated rows are scored alike; without toxic or clean labels every score is the share of toxic labels (0 without
-labels); a null doc_id is not held out and never trained on; other columns are ignored.
+labels); where no token of the clean texts scores above 0, lambda is MOST_LAMBDA; a null doc_id is not held out and
+never trained on; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +38,8 @@ from .common import materialise
 PREFIXES = (4, 5, 6, 7, 8)
 EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 TOKEN = re.compile(r"\S+")
+#: Lambda where the clean texts set no limit, and at most.
+MOST_LAMBDA = 20.0
 PASSAGES = "array<struct<first:int,last:int,score:double,e_value:double>>"
 
 
@@ -116,7 +122,7 @@ def log_odds(units: DataFrame, settings: Settings) -> DataFrame:
     return scored.where(F.abs("z") >= settings.min_z).select("unit", "delta", "toxic_n", "clean_n", F.lit(c).alias("n_clean"))
 
 
-def maximal_segments(scores: list[float], at: list[int], drift: float, length: int) -> list[tuple[int, int, float]]:
+def maximal_segments(scores: list[float], at: list[int], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments [first, last) of a sequence whose items at ``at`` score ``scores`` (positive or
     not) and all others -drift, in time linear in len(at)."""
     left: list[float] = []
@@ -161,7 +167,8 @@ class Scorer:
                 best = w
         return best
 
-    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+    def weights(self, text: str | None) -> list[float]:
+        """The weight of every token of a text."""
         tokens = (text or "").lower().split()
         memo = self.memo
         found = list(map(memo.get, tokens))
@@ -171,11 +178,15 @@ class Scorer:
             for i, w in enumerate(found):
                 if w is None:
                     found[i] = memo[tokens[i]] = self.weight(tokens[i])
+        return found
+
+    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        found = self.weights(text)
         if not any(found):
-            return len(tokens), []
+            return len(found), []
         at = [i for i, w in enumerate(found) if w]
         drift = self.model.drift
-        return len(tokens), maximal_segments([found[i] - drift for i in at], at, drift, len(tokens))
+        return len(found), maximal_segments([found[i] - drift for i in at], at, drift)
 
     def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> tuple[float, float]:
         """ln(1 + sum of -ln E over significant segments), and lambda times the largest segment."""
@@ -191,17 +202,30 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, c0 + c1 * a + c2 * b))))
 
 
-def fit_lambda(scores: np.ndarray, shares: np.ndarray, drift: float) -> float:
-    """Root above 0 of sum p exp(lambda s) = 1, the rest of the tokens scoring -drift; by bisection."""
-    rest = max(0.0, 1 - shares.sum())
-    value = lambda x: float((shares * np.exp(x * scores)).sum() + rest * math.exp(-x * drift) - 1)
-    low, high = 1e-6, 1e-6
-    while value(high) < 0 and high < 50:
+def fit_lambda(scores: np.ndarray, counts: np.ndarray) -> float:
+    """Positive root of sum p exp(lambda s) = 1 for token scores s seen ``counts`` times; by bisection. The mean score
+    must be negative; without a positive score there is no root."""
+    if not (scores[counts > 0] > 0).any():
+        return MOST_LAMBDA
+    shares = counts / counts.sum()
+    value = lambda x: float((shares * np.exp(x * scores)).sum() - 1)
+    low, high = 0.0, 1e-3
+    while value(high) < 0 and high < MOST_LAMBDA:
         low, high = high, high * 2
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if value(mid) < 0 else (low, mid)
-    return high
+    return min(high, MOST_LAMBDA)
+
+
+def fit_k(segments: np.ndarray, tokens: int, lam: float, steps: int = 20) -> float:
+    """K for which K n exp(-lambda s) segments of at least s are expected among n tokens: the geometric mean, weighted
+    by the segments, of what a grid of scores from the median segment on gives."""
+    if not len(segments) or not tokens:
+        return 1.0 / max(1, tokens)
+    grid = np.unique(np.quantile(segments, np.linspace(0.5, 0.99, steps)))
+    n = np.array([(segments >= s - 1e-9).sum() for s in grid])
+    return float(np.exp(np.average(np.log(n / tokens) + lam * grid, weights=n)))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
@@ -219,7 +243,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit weights, extreme-value parameters and the curve on at most ``settings.sample`` labelled rows."""
+    """Fit weights, extreme-value parameters and the curve on at most ``settings.sample`` labelled rows; what reaches the
+    driver are those rows' segment scores, the significant units and their distinct scores."""
     chosen = labelled_sample(labels, settings)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     sample = materialise(joined.dropDuplicates(["text", "toxic"]), "toxic-sample")
@@ -232,39 +257,45 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         model.curve = (math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0)
         return model
     model.weights = {r["unit"]: float(min(max(r["delta"], -settings.cap), settings.cap)) for r in rows}
-    tokens = max(1.0, rows[0]["n_clean"])
-    shares = np.array([(r["clean_n"] + settings.least) / tokens for r in rows])
-    model.lam = fit_lambda(np.array([model.weights[r["unit"]] for r in rows]) - settings.drift, shares / max(1.0, shares.sum() * 2), settings.drift)
-    sc = docs.sparkSession.sparkContext
-
-    def run(sent):
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(sent.value)
-            for batch in batches:
-                out = []
-                for text in batch.column(0).to_pylist():
-                    n, found = scorer.segments(text)
-                    out.append((n, [s for _, _, s in found], *scorer.evidence(n, found)))
-                n, segs, a, b = zip(*out) if out else ((), (), (), ())
-                columns = [pa.array(n, pa.int64()), pa.array(segs, pa.list_(pa.float64())), pa.array(a, pa.float64()), pa.array(b, pa.float64()), batch.column(1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["n", "segments", "a", "b", "toxic"])
-
-        return each
-
-    schema = "n bigint, segments array<double>, a double, b double, toxic int"
     typed = sample.select("text", F.col("toxic").cast("int").alias("toxic"))
-    clean = typed.where("toxic = 0").mapInArrow(run(sc.broadcast(model)), schema)
-    seen = clean.select("n", F.size("segments").alias("k"), F.expr("aggregate(segments, 0D, (x, s) -> x + s)").alias("s")).agg(
-        F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("s").alias("s")
-    ).first()
-    if seen["k"]:
-        level = seen["s"] / seen["k"]  # segments of clean texts at their mean score: K n exp(-lambda S) of them expected
-        model.k = float(min(10.0, max(1e-6, 0.5 * seen["k"] / (max(1, seen["n"]) * math.exp(-min(50.0, model.lam * level))))))
-    features = typed.mapInArrow(run(sc.broadcast(model)), schema).select("a", "b", "toxic").toPandas()
-    model.curve = fit_curve(features[["a", "b"]].to_numpy(), (features["toxic"] > 0).to_numpy().astype(float))
+    # token scores of the clean texts: as many distinct ones as units have weights
+    counts = typed.where("toxic = 0").mapInArrow(_score_counter(model), "score double, n bigint").groupBy("score").agg(F.sum("n").alias("n")).toPandas()
+    model.lam = fit_lambda(counts["score"].to_numpy(), counts["n"].to_numpy())
+    found = typed.mapInArrow(_segmenter(model), "n bigint, segments array<double>, toxic int").toPandas()  # the sample's rows
+    clean = found[found["toxic"] == 0]
+    model.k = fit_k(np.concatenate([*clean["segments"], np.zeros(0)]), int(clean["n"].sum()), model.lam)
+    scorer = Scorer(model)
+    features = np.array([scorer.evidence(n, [(0, 0, x) for x in own]) for n, own in zip(found["n"], found["segments"])])
+    model.curve = fit_curve(features, (found["toxic"] > 0).to_numpy().astype(float))
     return model
 
 
+def _score_counter(model: Model):
+    """texts to the distinct token scores of a batch and their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            found = Counter(w for text in batch.column(0).to_pylist() for w in scorer.weights(text))
+            columns = [pa.array([w - model.drift for w in found], pa.float64()), pa.array(list(found.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["score", "n"])
+
+    return run
+
+
+def _segmenter(model: Model):
+    """text, toxic to number of tokens, scores of the maximal segments, toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            out = [scorer.segments(text) for text in batch.column(0).to_pylist()]
+            columns = [pa.array([n for n, _ in out], pa.int64()), pa.array([[s for *_, s in own] for _, own in out], pa.list_(pa.float64())), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["n", "segments", "toxic"])
+
+    return run
+
+
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and the significant passages (character spans, segment score, E-value) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -53,16 +53,49 @@ def test_maximal_segments_against_definition():
         n = rng.randint(1, 25)
         weights = [rng.choice([0.0, 0.0, 0.0, 3.7, 1.9, -1.3]) for _ in range(n)]
         at = [i for i, w in enumerate(weights) if w]
-        got = toxicity.maximal_segments([weights[i] - 0.53 for i in at], at, 0.53, n)
+        got = toxicity.maximal_segments([weights[i] - 0.53 for i in at], at, 0.53)
         want = brute_segments([w - 0.53 for w in weights])
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
 def test_lambda_solves_its_equation():
-    scores, shares = np.array([4.0, 2.0, -1.0]), np.array([0.001, 0.01, 0.1])
-    x = toxicity.fit_lambda(scores, shares, 0.5)
-    assert abs((shares * np.exp(x * scores)).sum() + (1 - shares.sum()) * np.exp(-0.5 * x) - 1) < 1e-6
+    scores, counts = np.array([4.0, 2.0, -1.0, -0.5]), np.array([10, 100, 1000, 8890])
+    x = toxicity.fit_lambda(scores, counts)
+    assert x > 0 and abs((counts / counts.sum() * np.exp(x * scores)).sum() - 1) < 1e-6
+    assert toxicity.fit_lambda(np.array([-1.0, -0.5]), np.array([1, 5])) == toxicity.MOST_LAMBDA
+
+
+def test_e_values_hold_on_clean_texts():
+    """Of random clean texts, about as many hold segments of E <= e as their E-values say."""
+    rng = np.random.default_rng(3)
+    scores = np.array([-0.5, -1.1, 0.37, 1.3, 2.9])
+    p = np.array([0.87, 0.05, 0.05, 0.025, 0.005])
+    lam = toxicity.fit_lambda(scores, p * 1e6)
+
+    def found(texts, n):
+        out = []
+        for _ in range(texts):
+            s = rng.choice(scores, n, p=p)
+            at = [int(i) for i in np.flatnonzero(s != -0.5)]
+            out.append([x for *_, x in toxicity.maximal_segments([float(s[i]) for i in at], at, 0.5)])
+        return out
+
+    k = toxicity.fit_k(np.concatenate(found(1500, 300)), 1500 * 300, lam)
+    fresh = np.concatenate(found(3000, 200))
+    for e in (1.0, 0.3, 0.1, 0.03):
+        assert 0.5 < (k * 200 * np.exp(-lam * fresh) <= e).sum() / (3000 * e) < 2
+
+
+def test_the_fit_solves_the_equation_on_the_clean_tokens(spark):
+    rng = random.Random(17)
+    texts = [" ".join([rng.choice(WORDS) for _ in range(60)] + ["awful"] * (i % 4 == 0) + ["grim"] * (i % 4 == 0 or i % 9 == 0)) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(docs(spark, texts), labels)
+    train = {r["doc_id"] for r in labels.where(~toxicity.held_out("doc_id")).collect()}
+    scorer = toxicity.Scorer(model)
+    own = np.array([w - model.drift for t in {texts[i] for i in train if i % 4} for w in scorer.weights(t)])
+    assert (own > 0).any() and np.exp(model.lam * own).mean() == pytest.approx(1.0, abs=1e-6)
 
 
 def test_toxicity_learns_and_ignores_held_out_labels(spark):
