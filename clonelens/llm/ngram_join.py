@@ -4,18 +4,24 @@ A text's set are its distinct word shingles. Texts of equal sets are one node. T
 similarity reaches num / den; the join finds the connected components of all links, exactly:
 
 1. Order: shingles that are frequent (counted over all texts) come last, the others by hash. A node's prefix are its
-   first n - need + 1 shingles, ``need`` being the least overlap that any link of it has; linked nodes share one.
+   first n - need + 1 shingles, ``need`` being the least overlap that any link of it has; linked nodes share one. At
+   their first common shingle the places in the two prefixes add up to no more than ``stray``, so a shingle that no
+   two holders have early enough is dropped.
 2. Groups: of the nodes that hold a prefix shingle, one leads (most frequent shingles in its prefix first, as an
    original among its edited copies has). Nodes are compared with their leaders; linked ones form groups of similar
    documents. This is linear in the nodes, whatever the size of a family of copies.
-3. Matrix: for every prefix shingle that occurs in several groups, the groups that hold it (each group's token union).
-   A node outside a group is a query: its overlap with any member is at most its size less the shingles that the
-   union lacks. Only groups whose bound reaches the needed overlap are opened, and their members are compared.
+3. Matrix: for every prefix shingle, the groups that hold it; for every group, the union of its members' shingles, as a
+   bit table. A node outside a group that meets it at a first common shingle is a query: its overlap with any member is
+   at most its size less the shingles that the union lacks. Only groups whose bound reaches the needed overlap are
+   opened, and their members are compared.
 
-Comparisons are cut short by the same bound on the two prefixes; what is left is computed on the whole sets, which
-are read again for these nodes only. Pairs inside a group need no comparison: their link changes no component.
+Comparisons are cut short by signatures (a bit table of a set in which every shingle flips a bit: two sets differ in at
+least as many shingles as their tables in bits); what is left is computed on the whole sets, which are read again for
+these nodes only. Pairs inside a group need no comparison: their link changes no component. Work beyond the linear part
+comes from nodes that share early shingles without a link: their signatures are compared, in blocks, but no row is
+made for a pair that differs too much.
 
-Sets, nodes and shingles are identified by 64-bit hashes of their content.
+Sets are identified by 128-bit hashes of their content, shingles by 62 bits.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; a text
 of fewer words than a shingle has its whole word sequence as its only shingle; repeated rows are one node; ties are
@@ -32,18 +38,27 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, materialise, utf8
+from .common import components, discard, materialise, utf8
 
 #: Frequent shingles kept for the order, at most: it is a fixed bound on what is broadcast, not on what is joined.
 FREQUENT = 1 << 18
 FREQUENT_LEAST = 3
-SLOTS = 1 << 26
-NODE_BITS = 1 << 22
+#: Shingles seen this often are joined by plain joins, which adaptive execution may split, and not by one task each.
+HOT = 10_000
+#: Bits of the table that carries the texts to be read again: 16 for each, between these bounds. A fuller table lets
+#: more texts through, which fall out of the join that follows.
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 28
 #: Groups up to this size are opened by a join; larger ones in blocks of members, against blocks of queries.
-SMALL_GROUP, MEMBERS, ASKERS = 8, 256, 2048
-PREFIX_SCHEMA = "doc_id bigint, text_key bigint, n_shingles bigint, node bigint, frequent int, prefix array<bigint>"
+SMALL_GROUP, MEMBERS, ASKERS = 8, 4096, 4096
+#: Bits of a signature, at least and at most; in between, the power of two from the set's size on.
+LEAST_BITS, MOST_BITS = 256, 1 << 17
+#: Sets up to this size carry the folded signature (LEAST_BITS) through the matrix: larger ones flip all of its bits.
+FOLDED = 1500
+FOLD = [f"f{i}" for i in range(LEAST_BITS // 64)]
+PREFIX_SCHEMA = "doc_id bigint, text_key bigint, n_shingles bigint, key binary, frequent int, prefix array<bigint>, flips binary, held binary"
 
 
 @dataclass(frozen=True)
@@ -88,14 +103,35 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return out[np.concatenate([_TRUE, out[1:] != out[:-1]])]
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """Signed 64-bit identity of a set."""
-    x = xxhash.xxh3_64_intdigest(tokens.tobytes())
-    return x - (1 << 64) if x >> 63 else x
+def key_of(tokens: np.ndarray) -> bytes:
+    """Identity of a set."""
+    return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def frequent_shingles(docs: DataFrame, join: Join) -> np.ndarray:
-    """The most frequent shingles, rarest first. Every text is counted, in chunks of 4 million shingles a task; a
+def signatures(tokens: np.ndarray) -> tuple[bytes, bytes]:
+    """Bit tables of a set: one whose bits every shingle flips, and one, twice as wide, whose bits are set where a
+    shingle falls."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(tokens) - 1).bit_length()))
+    low = tokens.astype(np.int64)
+    flips = np.bincount(low & (bits - 1), minlength=bits) & 1
+    held = np.bincount(low & (2 * bits - 1), minlength=2 * bits) > 0
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes(), np.packbits(held, bitorder="little").tobytes()
+
+
+def folded(table: np.ndarray, size: int, flips: bool) -> np.ndarray:
+    """A bit table (words in the last axis) brought to ``size`` words."""
+    while table.shape[-1] > size:
+        half = table.shape[-1] // 2
+        table = table[..., :half] ^ table[..., half:] if flips else table[..., :half] | table[..., half:]
+    return table
+
+
+def words_of(table: pa.Scalar | bytes) -> np.ndarray:
+    return np.frombuffer(table.as_buffer() if isinstance(table, pa.Scalar) else table, dtype="<u8")
+
+
+def frequent_shingles(docs: DataFrame, join: Join) -> tuple[np.ndarray, int]:
+    """The most frequent shingles, rarest first, and the rank of the first that is hot. Every text is counted, in chunks of 4 million shingles a task; a
     chunk passes on what it holds FREQUENT_LEAST times. The order they give is used by both sides of the join, so
     its precision affects the work only, never the result."""
 
@@ -128,11 +164,13 @@ def frequent_shingles(docs: DataFrame, join: Join) -> np.ndarray:
         if total > FREQUENT:
             break
         cut = at
-    if cut is None:
-        return np.zeros(0, dtype=np.uint64)
-    top = counts.where(step >= cut).toArrow()
-    tokens, n = top.column("token").to_numpy(), top.column("n").to_numpy()
-    return tokens[np.lexsort((tokens, n))].astype(np.uint64)
+    tokens, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    if cut is not None:
+        top = counts.where(step >= cut).toArrow()
+        tokens, n = top.column("token").to_numpy(), top.column("n").to_numpy()
+    discard(counts)
+    order = np.lexsort((tokens, n))
+    return tokens[order].astype(np.uint64), (1 << 62) + int(np.searchsorted(n[order], HOT))
 
 
 class Order:
@@ -152,7 +190,7 @@ class Order:
 
 
 def prefixes(docs: DataFrame, order, join: Join) -> DataFrame:
-    """doc_id, set size, node and prefix of every row."""
+    """doc_id, set size, key, prefix and signatures of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = Order(order.value)
@@ -161,14 +199,14 @@ def prefixes(docs: DataFrame, order, join: Join) -> DataFrame:
             for doc_id, text_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 tokens = shingles(text.as_py(), join.words)
                 if not len(tokens):
-                    rows.append((doc_id, text_key, 0, None, 0, []))
+                    rows.append((doc_id, text_key, 0, None, 0, [], None, None))
                     continue
                 ranks, frequent = rank.ranks(tokens)
                 p = join.prefix(len(tokens))
-                rows.append((doc_id, text_key, len(tokens), node_of(tokens), max(0, frequent - (len(tokens) - p)), ranks[:p].astype(np.int64)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            names = ["doc_id", "text_key", "n_shingles", "node", "frequent", "prefix"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=names)
+                rows.append((doc_id, text_key, len(tokens), key_of(tokens), max(0, frequent - (len(tokens) - p)), ranks[:p].astype(np.int64), *signatures(tokens)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            names = ["doc_id", "text_key", "n_shingles", "key", "frequent", "prefix", "flips", "held"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], names=names)
 
     return docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text").mapInArrow(run, PREFIX_SCHEMA)
 
@@ -182,50 +220,40 @@ def sizes_fit(a: Column, b: Column, join: Join) -> Column:
     return join.den * F.least(a, b) >= join.num * F.greatest(a, b)
 
 
-def only_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of nodes that may be in wanted(node), by a broadcast bit table of fixed size; others go before any
-    shuffle of their prefixes. The joins that follow are exact."""
-    slot = F.pmod(F.col("node"), F.lit(NODE_BITS))
-    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(NODE_BITS // 64, dtype=np.int64)
-    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    sent = nodes.sparkSession.sparkContext.broadcast(table)
+def stray(a, b, join: Join):
+    """Most shingles that two linked sets of sizes a and b hold alone, both together. At their first common prefix
+    shingle the shingles before it are such, so the two places there add up to no more."""
+    most = (join.den - join.num) / (join.den + join.num) * (a + b) + 1e-6
+    return F.floor(most) if isinstance(most, Column) else np.floor(most)
+
+
+def near_pairs(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """The pairs a, b whose sizes and signatures allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for batch in batches:
-            slot = batch.column(batch.schema.get_field_index("node")).to_numpy() % NODE_BITS
-            yield batch.filter(pa.array((bits[slot >> 6] >> (slot & 63)) & 1 == 1))
-
-    return nodes.mapInArrow(run, nodes.schema)
+            a, b, n_a, n_b = (batch.column(i) for i in range(4))
+            most = stray(n_a.to_numpy(), n_b.to_numpy(), join)
+            differ = np.zeros(len(a), dtype=np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = words_of(x), words_of(y)
+                size = min(len(x), len(y))
+                differ[i] = np.bitwise_count(folded(x, size, True) ^ folded(y, size, True)).sum()
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(differ <= most))
+
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("flips").alias("f_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("flips").alias("f_b"))
+    both = pairs.join(left, "a").join(right, "b").where(sizes_fit(F.col("n_a"), F.col("n_b"), join))
+    return both.select("a", "b", "n_a", "n_b", "f_a", "f_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def prefix_bound(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """Pairs a, b whose prefixes allow a link: up to the smaller of the two last ranks both sets are known, so that
-    every shingle there that the other lacks is missing from the intersection."""
-    pairs = materialise(pairs, "pairs")
-    nodes = only_nodes(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("prefix").alias("p_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("prefix").alias("p_b"))
-    both = pairs.join(left, "a").join(right, "b").where(sizes_fit(F.col("n_a"), F.col("n_b"), join))
-    end = F.least(F.element_at("p_a", -1), F.element_at("p_b", -1))
-    known = both.withColumn("end", end)
-    lack_a = F.size(F.filter("p_a", lambda r: r <= F.col("end")))
-    lack_b = F.size(F.filter("p_b", lambda r: r <= F.col("end")))
-    shared = F.size(F.array_intersect("p_a", "p_b"))
-    o = needed(F.col("n_a"), F.col("n_b"), join)
-    fits = (F.col("n_a") - (lack_a - shared) >= o) & (F.col("n_b") - (lack_b - shared) >= o)
-    return known.where(fits).select("a", "b")
-
-
-def text_slots(pairs: DataFrame, nodes: DataFrame) -> np.ndarray:
-    """Bits of one text per node of pairs, by text_key modulo SLOTS: at most SLOTS / 64 words reach the driver."""
-    slot = F.pmod(F.col("text_key"), F.lit(SLOTS))
-    keys = nodes.select("node", "text_key").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    words = keys.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
+def text_slots(wanted: DataFrame) -> np.ndarray:
+    """Bits of the text keys of ``wanted``, by key modulo their number; the driver gets a word for 64 of them."""
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (16 * wanted.count()).bit_length()))
+    slot = F.pmod(F.col("text_key"), F.lit(slots))
+    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(SLOTS // 64, dtype=np.int64)
+    table = np.zeros(slots // 64, dtype=np.int64)
     table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return table
 
@@ -235,169 +263,248 @@ def text_key() -> Column:
 
 
 def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """The pairs a, b whose whole sets reach the similarity. Sets are built again for the texts of these nodes only
-    (others that share a bit with them fall out of the joins)."""
-    table = docs.sparkSession.sparkContext.broadcast(text_slots(pairs, nodes))
+    """The pairs a, b whose whole sets reach the similarity, as a table. Sets are built again for the texts of these
+    nodes only (others that share a bit with them fall out of the joins)."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialise(nodes.select("node", "key", "text_key").join(ends, "node", "left_semi"), "wanted")
+    table = docs.sparkSession.sparkContext.broadcast(text_slots(wanted))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = table.value, set()
         for batch in batches:
-            slot = batch.column(0).to_numpy() % SLOTS
+            slot = batch.column(0).to_numpy() % (len(bits) * 64)
             rows = []
             for i in np.flatnonzero((bits[slot >> 6] >> (slot & 63)) & 1).tolist():
                 tokens = shingles(batch.column(1)[i].as_py(), join.words)
                 if not len(tokens):
                     continue
-                node = node_of(tokens)
-                if node not in seen:
-                    seen.add(node)
-                    rows.append((node, tokens.tobytes()))
-            if len(seen) > 1_000_000:
+                key = key_of(tokens)
+                if key not in seen:
+                    seen.add(key)
+                    rows.append((key, tokens.tobytes()))
+            if len(seen) > 500_000:
                 seen.clear()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["key", "tokens"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0), batch.column(1)
             on = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                p, q = words_of(x), words_of(y)
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 on.append(join.den * shared >= join.num * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    read = docs.select(text_key().alias("text_key"), "text").mapInArrow(sets, "node bigint, tokens binary").dropDuplicates(["node"])
-    left = pairs.join(read.select(F.col("node").alias("a"), F.col("tokens").alias("t_a")), "a")
-    both = left.join(read.select(F.col("node").alias("b"), F.col("tokens").alias("t_b")), "b").select("a", "b", "t_a", "t_b")
-    return both.mapInArrow(compare, "a bigint, b bigint")
-
-
-def shared_rows(nodes: DataFrame) -> DataFrame:
-    """token, pos, node, n, frequent of the prefix shingles that several nodes hold, as a table: most shingles have one
-    holder and leave here."""
-    rows = nodes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n", "frequent")
-    tokens = nodes.select(F.explode("prefix").alias("token"), "node").groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    return materialise(rows.join(tokens.where("low <> high").select("token"), "token"), "shared-rows")
+    read = docs.select(text_key().alias("text_key"), "text").mapInArrow(sets, "key binary, tokens binary").dropDuplicates(["key"])
+    keys = wanted.select("node", "key")
+    named = pairs.join(keys.select(F.col("node").alias("a"), F.col("key").alias("k_a")), "a").join(keys.select(F.col("node").alias("b"), F.col("key").alias("k_b")), "b")
+    left = named.join(read.select(F.col("key").alias("k_a"), F.col("tokens").alias("t_a")), "k_a").select("a", "b", "k_b", "t_a")
+    both = left.join(read.select(F.col("key").alias("k_b"), F.col("tokens").alias("t_b")), "k_b").select("a", "b", "t_a", "t_b")
+    out = materialise(both.mapInArrow(compare, "a bigint, b bigint"), "links")
+    discard(wanted)
+    return out
+
+
+def shared_rows(nodes: DataFrame, hot: int, join: Join) -> DataFrame:
+    """token, pos, node, n and the token's leader, of the prefix shingles at which a node can meet another one first,
+    as a table. Most shingles have one holder and leave here, after the one shuffle of all prefixes."""
+    share = F.lit((join.den - join.num) / (join.den + join.num))
+    rows = nodes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n", "frequent").withColumn("late", F.col("pos") - share * F.col("n"))
+    lead = F.max(F.struct("frequent", "node", "n", "pos"))
+    own = W.partitionBy("token").orderBy("late").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    usual = rows.where(F.col("token") < hot).select("*", lead.over(own).alias("lead"), F.first("late").over(own).alias("first"), F.nth_value("late", 2).over(own).alias("second"))
+    usual = usual.where(F.col("late") + F.when(F.col("late") == F.col("first"), F.col("second")).otherwise(F.col("first")) <= 1e-5)
+    many = rows.where(F.col("token") >= hot)
+    leads = many.groupBy("token").agg(lead.alias("lead"), F.count(F.lit(1)).alias("held")).where("held > 1")  # FREQUENT rows at most
+    columns = ["token", "pos", "node", "n", "lead"]
+    return materialise(usual.select(*columns).union(many.join(F.broadcast(leads), "token").select(*columns)), "shared-rows")
 
 
 def leader_pairs(rows: DataFrame, join: Join) -> DataFrame:
-    """Every node with the leader of each of its prefix shingles; rows(token, node, n, frequent)."""
-    best = rows.groupBy("token").agg(F.max(F.struct("frequent", "node", "n")).alias("lead"))
-    near = rows.join(best, "token").where("node <> lead.node")
-    fit = near.where(sizes_fit(F.col("n"), F.col("lead.n"), join))
+    """Every node with the leader of each prefix shingle at which the two can meet first."""
+    fit = rows.where("node <> lead.node").where(sizes_fit(F.col("n"), F.col("lead.n"), join) & (F.col("pos") + F.col("lead.pos") <= stray(F.col("n"), F.col("lead.n"), join)))
     return fit.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
 
 
-def stray(a: Column, b: Column, join: Join) -> Column:
-    """Most shingles that two linked sets of sizes a and b hold alone, both together. At their first common prefix
-    shingle the shingles before it are such, so the two places there add up to no more."""
-    return F.floor(F.lit((join.den - join.num) / (join.den + join.num)) * (a + b) + 1e-6)
-
-
-def matrix_pairs(rows: DataFrame, nodes: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
-    """Pairs of nodes of different groups that share a prefix shingle, behind the bound of the token-group matrix.
+def matrix_pairs(rows: DataFrame, nodes: DataFrame, groups: DataFrame, hot: int, join: Join) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of nodes of different groups, behind the bound of the token-group matrix, and the stored tables they read.
 
-    A group asks about another at shingles that can be the first common one of a link (see ``stray``): this keeps
-    edited copies that are too far from each other from meeting at the shingles of their common original.
+    A node asks about another group at shingles that can be the first common one of a link (see ``stray``). Where the
+    group is one node, their folded signatures must allow a link at once: this keeps edited copies that are too far
+    from each other from meeting at the shingles of their common original, or at edits they share. Where it is more,
+    the union of the group's shingles decides.
     """
-    grouped = nodes.select("node", "n", F.element_at("prefix", -1).alias("last")).join(groups, "node", "left").withColumn("grp", F.coalesce("root", "node"))
-    stats = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("last").alias("end"), F.min("n").alias("least"), F.max("n").alias("most"))
-    member = grouped.select("node", "grp").join(stats, "grp")
-    told = rows.join(member, "node").select("token", "pos", "node", "n", "grp", "size", "end", "least", "most")
-    several = told.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
-    told = materialise(told.join(several, "token"), "matrix-rows")
-    matrix = told.groupBy("token", "grp").agg(F.min("pos").alias("pos"), *(F.first(c).alias(c) for c in ("size", "end", "least", "most")))
-    q, g = told.alias("q"), matrix.alias("g")
-    # the node of the smaller group asks (ties: smaller group id), so every pair of groups is asked from one side
-    asks = (F.col("q.size") < F.col("g.size")) | ((F.col("q.size") == F.col("g.size")) & (F.col("q.grp") < F.col("g.grp")))
-    fits = (join.den * F.col("q.n") >= join.num * F.col("g.least")) & (join.den * F.col("g.most") >= join.num * F.col("q.n"))
-    largest = F.least(F.col("g.most"), F.floor(F.col("q.n") * join.den / join.num))
-    first = F.col("q.pos") + F.col("g.pos") <= stray(F.col("q.n"), largest, join)
-    asked = q.join(g, (F.col("q.token") == F.col("g.token")) & asks & fits & first)
-    asked = asked.select(F.col("q.node").alias("node"), F.col("q.n").alias("n"), *(F.col(f"g.{c}").alias(c) for c in ("grp", "size", "end", "least"))).distinct()
-    # overlap bound: of the query's shingles up to the group's shortest prefix, those that the union lacks are in no
-    # member; their number is at least the place of the last shared one less the shared ones
-    union = matrix.select("token", "grp", F.lit(1).alias("held"))
-    near = told.select("token", "pos", "node").join(asked.select("node", "grp", "end"), "node").where("token <= end")
-    counts = near.join(union, ["token", "grp"], "left").groupBy("node", "grp").agg((F.max("pos") + 1 - F.count("held")).alias("lack"))
-    partner = F.greatest(F.col("least"), F.ceil(F.lit(float(join.num)) * F.col("n") / float(join.den)))
-    query = asked.join(counts, ["node", "grp"], "left").where(F.col("n") - F.coalesce("lack", F.lit(0)) >= needed(F.col("n"), partner, join))
-    open_groups = materialise(query.select("node", "grp", "size"), "open-groups")
-    small = open_groups.where(F.col("size") <= SMALL_GROUP)
-    asking = told.select("token", "node", F.col("pos").alias("pos_a"), F.col("n").alias("n_a")).join(small, "node").select("token", "grp", "pos_a", "n_a", F.col("node").alias("a"))
-    members = told.where(F.col("size") <= SMALL_GROUP).select("token", "grp", F.col("pos").alias("pos_b"), F.col("n").alias("n_b"), F.col("node").alias("b"))
-    met = [asking.token == members.token, asking.grp == members.grp, sizes_fit(F.col("n_a"), F.col("n_b"), join), F.col("pos_a") + F.col("pos_b") <= stray(F.col("n_a"), F.col("n_b"), join)]
-    pairs = prefix_bound(asking.join(members, met).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), nodes, join)
+    grouped = nodes.select("node", "n", *FOLD).join(groups, "node", "left").withColumn("grp", F.coalesce("root", "node"))
+    stats = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
+    member = grouped.select("node", "grp", *FOLD).join(stats, "grp")
+    told = rows.select("token", "pos", "node", "n").join(member, "node")
+
+    def met(told: DataFrame) -> DataFrame:
+        matrix = told.groupBy("token", "grp").agg(F.min("pos").alias("pos"), *(F.first(c).alias(c) for c in ("size", "least", "most", *FOLD)))
+        q, g = told.alias("q"), matrix.alias("g")
+        # the node of the smaller group asks (ties: smaller group id), so every pair of groups is asked from one side
+        asks = (F.col("q.size") < F.col("g.size")) | ((F.col("q.size") == F.col("g.size")) & (F.col("q.grp") < F.col("g.grp")))
+        fits = (join.den * F.col("q.n") >= join.num * F.col("g.least")) & (join.den * F.col("g.most") >= join.num * F.col("q.n"))
+        largest = F.least(F.col("g.most"), F.floor(F.col("q.n") * join.den / join.num))
+        first = F.col("q.pos") + F.col("g.pos") <= stray(F.col("q.n"), largest, join)
+        differ = sum((F.bit_count(F.col(f"q.{f}").bitwiseXOR(F.col(f"g.{f}"))) for f in FOLD), F.lit(0))
+        alike = (F.col("g.size") > 1) | F.coalesce(differ <= stray(F.col("q.n"), F.col("g.most"), join), F.lit(True))
+        return q.join(g, (F.col("q.token") == F.col("g.token")) & asks & fits & first & alike).select("q.node", "q.n", "g.grp", "g.size", "g.least")
+
+    # usual shingles: rows, matrix and join on one shuffle by shingle; hot ones: joins that can be split
+    asked = met(told.where(F.col("token") < hot).repartition("token")).union(met(told.where(F.col("token") >= hot)))
+    asked = materialise(asked.distinct(), "asked")
+    alone = asked.where("size = 1").select(F.greatest("node", "grp").alias("a"), F.least("node", "grp").alias("b"))
+    open_groups = materialise(opened(asked.where("size > 1"), nodes, groups, join), "open-groups")
+    inside = open_groups.where(F.col("size") <= SMALL_GROUP).select(F.col("node").alias("x"), "grp").join(groups.select(F.col("node").alias("y"), F.col("root").alias("grp")), "grp")
+    pairs = near_pairs(alone.union(inside.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))), nodes, join)
     large = open_groups.where(F.col("size") > SMALL_GROUP)
-    return pairs if large.isEmpty() else pairs.union(open_large(large, nodes, groups, join)).distinct()
+    if not large.isEmpty():
+        pairs = pairs.union(open_large(large, nodes, groups, join))
+    return pairs.distinct(), [asked, open_groups]
+
+
+def unions(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """grp and the union of its members' shingles as a bit table; each task sums up its own before the shuffle."""
+
+    def merged(tables: list[np.ndarray]) -> np.ndarray:
+        size = min(len(t) for t in tables)
+        return np.bitwise_or.reduce([folded(t, size, False) for t in tables])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        size = 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([t.tobytes() for t in sums.values()], pa.binary())], names=["grp", "held"])
+
+        for batch in batches:
+            for grp, table in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = words_of(table)
+                size += 0 if grp in sums else own.nbytes
+                sums[grp] = merged([sums[grp], own]) if grp in sums else own.copy()
+            if size > 32 << 20:
+                yield told()
+                sums, size = {}, 0
+        if sums:
+            yield told()
+
+    def whole(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return pa.table({"grp": pa.array([key[0].as_py()], pa.int64()), "held": pa.array([merged([words_of(x) for x in table.column("held")]).tobytes()], pa.binary())})
+
+    members = groups.join(nodes.select("node", "held"), "node").select(F.col("root").alias("grp"), "held")
+    kind = "grp bigint, held binary"
+    return members.mapInArrow(partial, kind).groupBy("grp").applyInArrow(whole, kind)
+
+
+def opened(asked: DataFrame, nodes: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
+    """The queries asked(node, n, grp, size, least) whose shingles in the group's union suffice for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, least = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+            partner = np.maximum(least, -(-join.num * n // join.den))
+            need = -(-join.num * (n + partner) // (join.num + join.den))
+            lack = np.zeros(len(n), dtype=np.int64)
+            for i, (own, union) in enumerate(zip(batch.column(5), batch.column(6))):
+                own, union = words_of(own), words_of(union)
+                size = min(len(own), len(union))
+                lack[i] = np.bitwise_count(folded(own, size, False) & ~folded(union, size, False)).sum()
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["node", "n", "grp", "size"]).filter(pa.array(n - lack >= need))
+
+    wanted = groups.join(asked.select(F.col("grp").alias("root")).distinct(), "root", "left_semi")
+    union = unions(wanted, nodes).withColumnRenamed("held", "union")
+    both = asked.join(nodes.select("node", "held"), "node").join(union, "grp").select("node", "n", "grp", "size", "least", "held", "union")
+    return both.mapInArrow(run, "node bigint, n bigint, grp bigint, size bigint")
 
 
 def open_large(large: DataFrame, nodes: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
-    """Pairs of queries large(node, grp, size) and members of their groups that pass the prefix bound.
+    """Pairs of queries large(node, grp, size) and members of their groups whose signatures allow a link.
 
     Blocks of at most about MEMBERS members meet blocks of about ASKERS queries in one task each; only pairs that
     pass leave it, so no row is made for a pair that does not.
     """
 
     def run(key: tuple[pa.Scalar, ...], asking: pa.Table, members: pa.Table) -> pa.Table:
-        found: list[tuple[int, int]] = []
+        found_a, found_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         if asking.num_rows and members.num_rows:
-            ids, sizes = members.column("node").to_numpy(), members.column("n").to_numpy()
-            lists = [np.array(x, dtype=np.int64) for x in members.column("prefix").to_pylist()]
-            lengths = np.array([len(x) for x in lists])
-            tokens, ends = np.concatenate(lists), np.array([x[-1] for x in lists])
-            owner = np.repeat(np.arange(len(lists)), lengths)
-            for node, n, prefix in zip(*(asking.column(c).to_pylist() for c in ("node", "n", "prefix"))):
-                own = np.array(prefix, dtype=np.int64)
-                at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
-                shared = np.bincount(owner[own[at] == tokens], minlength=len(lists))
-                end = np.minimum(ends, own[-1])
-                lack_a = np.searchsorted(own, end, side="right") - shared
-                lack_b = np.bincount(owner[tokens <= end[owner]], minlength=len(lists)) - shared
-                need = -(-join.num * (n + sizes) // (join.num + join.den))
-                fits = (join.den * np.minimum(n, sizes) >= join.num * np.maximum(n, sizes)) & (n - lack_a >= need) & (sizes - lack_b >= need) & (ids != node)
-                found += [(max(node, int(b)), min(node, int(b))) for b in ids[fits]]
-        a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            ids, sizes = members.column("member_node").to_numpy(), members.column("member_n").to_numpy()
+            tables = [words_of(x) for x in members.column("member_flips")]
+            width = min(map(len, tables))
+            block = np.stack([folded(t, width, True) for t in tables])
+            by_width = {width: block}
+            for node, n, own in zip(asking.column("node").to_pylist(), asking.column("n").to_pylist(), asking.column("flips")):
+                own = words_of(own)
+                size = min(width, len(own))
+                if size not in by_width:
+                    by_width[size] = folded(block, size, True)
+                differ = np.bitwise_count(by_width[size] ^ folded(own, size, True)).sum(axis=1)
+                fits = (join.den * np.minimum(n, sizes) >= join.num * np.maximum(n, sizes)) & (differ <= stray(n, sizes, join)) & (ids != node)
+                found_a.append(np.maximum(ids[fits], node))
+                found_b.append(np.minimum(ids[fits], node))
+        return pa.table({"a": pa.array(np.concatenate(found_a)), "b": pa.array(np.concatenate(found_b))})
 
     counts = large.groupBy("grp").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("askers"))
-    blocks = materialise(counts.select("grp", F.ceil(F.col("size") / MEMBERS).cast("int").alias("m"), F.ceil(F.col("askers") / ASKERS).cast("int").alias("q")), "blocks")
+    blocks = counts.select("grp", F.ceil(F.col("size") / MEMBERS).cast("int").alias("m"), F.ceil(F.col("askers") / ASKERS).cast("int").alias("q"))
     inside = groups.select("node", F.col("root").alias("grp")).join(blocks, "grp")
     asked = large.select("node", "grp").join(blocks, "grp")
-    near = only_nodes(nodes, inside.select("node").union(asked.select("node"))).select("node", "n", "prefix")
+    near = nodes.select("node", "n", "flips")
     place = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    left = asked.join(near, "node").select("grp", every("m").alias("mb"), place("q").alias("qb"), "node", "n", "prefix")
-    right = inside.join(near, "node").select("grp", place("m").alias("mb"), every("q").alias("qb"), "node", "n", "prefix")
-    left, right = materialise(left, "askers"), materialise(right, "members")
-    key = ["grp", "mb", "qb"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "a bigint, b bigint")
+    left = asked.join(near, "node").select("grp", every("m").alias("mb"), place("q").alias("qb"), "node", "n", "flips")
+    right = inside.join(near, "node").select("grp", place("m").alias("mb"), every("q").alias("qb"), "node", "n", "flips")
+    right = right.toDF(*(f"member_{c}" for c in right.columns))  # the two sides must not share columns
+    return left.groupBy("grp", "mb", "qb").cogroup(right.groupBy("member_grp", "member_mb", "member_qb")).applyInArrow(run, "a bigint, b bigint")
+
+
+def with_fold(nodes: DataFrame) -> DataFrame:
+    """nodes with the signature folded to LEAST_BITS, in signed words; nulls for sets so large that it tells nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(batch.schema.get_field_index("n")).to_pylist()
+            flips = batch.column(batch.schema.get_field_index("flips"))
+            none = [None] * len(FOLD)
+            rows = [none if n > FOLDED else folded(words_of(x), len(FOLD), True).view("<i8").tolist() for x, n in zip(flips, sizes)]
+            added = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * len(FOLD))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *FOLD])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema)
+    return nodes.mapInArrow(run, f"{kinds}, {', '.join(f'{x} bigint' for x in FOLD)}")
 
 
 def similarity_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """``docs(doc_id, text)`` to doc_id, text_key (hash of the text), n_shingles, node and root (component, null if
-    the node has no link)."""
+    """``docs(doc_id, text)`` to doc_id, text_key (hash of the text), n_shingles, class (of an equal set or a component;
+    null for an empty set)."""
     docs = docs.select("doc_id", "text")
-    order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, join))
-    sets = materialise(prefixes(docs, order, join), "prefixes")
-    nodes = materialise(sets.where("node is not null").select("node", F.col("n_shingles").alias("n"), "frequent", "prefix", "text_key").dropDuplicates(["node"]), "nodes")
-    rows = shared_rows(nodes)
-    near = materialise(prefix_bound(leader_pairs(rows, join), nodes, join), "leader-pairs")
-    first = materialise(links(docs, near, nodes, join), "leader-links")
+    found, hot = frequent_shingles(docs, join)
+    sets = materialise(prefixes(docs, docs.sparkSession.sparkContext.broadcast(found), join), "prefixes")
+    once = sets.where("key is not null").select("key", F.col("n_shingles").alias("n"), "frequent", "prefix", "flips", "held", "text_key").dropDuplicates(["key"])
+    nodes = materialise(with_fold(once).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = shared_rows(nodes, hot, join)
+    near = materialise(near_pairs(leader_pairs(rows, join), nodes, join), "leader-pairs")
+    first = links(docs, near, nodes, join)
     groups = components(first)
-    rest = materialise(matrix_pairs(rows, nodes, groups, join).join(near, ["a", "b"], "left_anti"), "matrix-pairs")
+    pairs, read = matrix_pairs(rows, nodes, groups, hot, join)
+    rest = materialise(pairs.join(near, ["a", "b"], "left_anti"), "matrix-pairs")
+    discard(rows, near, *read)
     if rest.isEmpty():
         roots = groups
     else:
-        more = materialise(links(docs, rest, nodes, join), "matrix-links")
+        more = links(docs, rest, nodes, join)
         roots = components(first.union(more))
-    return sets.select("doc_id", "text_key", "n_shingles", "node").join(roots, "node", "left")
+        discard(more, groups)
+    named = nodes.select("node", "key").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class"))
+    out = materialise(sets.select("doc_id", "text_key", "n_shingles", "key").join(named, "key", "left").drop("key"), "classes")
+    discard(rest, first, roots, nodes, sets)
+    return out
 
 
 def component_report(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """The columns of the join contract: doc_id, n_shingles, component_id."""
-    told = similarity_classes(docs, join).withColumn("class", F.coalesce("root", "node"))
+    told = similarity_classes(docs, join)
     # stored, so that both sides of the join below are plain shuffles, which adaptive execution may split for a hot class
     lowest = materialise(told.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id")), "lowest")
     empty = told.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -407,7 +514,7 @@ def component_report(docs: DataFrame, join: Join = Join()) -> DataFrame:
 def one_per_class(docs: DataFrame, join: Join) -> DataFrame:
     """The row of smallest doc_id of every class, with all its columns; rows of empty sets stay. Of equal rows of a
     class one stays. Rows are told apart by doc_id and a hash of the text."""
-    told = similarity_classes(docs, join).withColumn("class", F.coalesce("root", "node")).where("class is not null")
+    told = similarity_classes(docs, join).where("class is not null")
     first = told.groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text_key"))).alias("stays"), F.count(F.lit(1)).alias("rows"))
     first = materialise(first.where("rows > 1"), "first")
     own = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text_key"))
