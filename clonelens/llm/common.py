@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from contextvars import ContextVar
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,8 +107,37 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def n_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bits of a table that carries keys to a map-only pass: 16 for each key, between these bounds. Such a table only saves
+#: work: a fuller one lets more rows through, which fall out of the exact join that follows.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+
+def bit_table(keys: DataFrame, column: str) -> np.ndarray:
+    """Bits of a column of 64-bit keys, by key modulo their number; the driver gets a word for each 64 of them."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    slot = F.pmod(F.col(column), F.lit(bits))
+    words = keys.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return table
+
+
+def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which signed 64-bit keys a bit table holds."""
+    slot = keys % (len(table) * 64)
+    return (table[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where df has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -41,16 +41,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialise, utf8
+from .common import bit_table, components, discard, free_names, in_table, materialise, utf8
 
 #: Frequent shingles kept for the order, at most: it is a fixed bound on what is broadcast, not on what is joined.
 FREQUENT = 1 << 18
 FREQUENT_LEAST = 3
 #: Shingles seen this often are joined by plain joins, which adaptive execution may split, and not by one task each.
 HOT = 10_000
-#: Bits of the table that carries the texts to be read again: 16 for each, between these bounds. A fuller table lets
-#: more texts through, which fall out of the join that follows.
-LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 28
 #: Groups up to this size are opened by a join; larger ones in blocks of members, against blocks of queries.
 SMALL_GROUP, MEMBERS, ASKERS = 8, 4096, 4096
 #: Bits of a signature, at least and at most; in between, the power of two from the set's size on.
@@ -247,17 +244,6 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "f_a", "f_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def text_slots(wanted: DataFrame) -> np.ndarray:
-    """Bits of the text keys of ``wanted``, by key modulo their number; the driver gets a word for 64 of them."""
-    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (16 * wanted.count()).bit_length()))
-    slot = F.pmod(F.col("text_key"), F.lit(slots))
-    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(slots // 64, dtype=np.int64)
-    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return table
-
-
 def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
@@ -267,14 +253,13 @@ def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) -> Da
     nodes only (others that share a bit with them fall out of the joins)."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = materialise(nodes.select("node", "key", "text_key").join(ends, "node", "left_semi"), "wanted")
-    table = docs.sparkSession.sparkContext.broadcast(text_slots(wanted))
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "text_key"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = table.value, set()
         for batch in batches:
-            slot = batch.column(0).to_numpy() % (len(bits) * 64)
             rows = []
-            for i in np.flatnonzero((bits[slot >> 6] >> (slot & 63)) & 1).tolist():
+            for i in np.flatnonzero(in_table(bits, batch.column(0).to_numpy())).tolist():
                 tokens = shingles(batch.column(1)[i].as_py(), join.words)
                 if not len(tokens):
                     continue
@@ -311,10 +296,11 @@ def shared_rows(nodes: DataFrame, hot: int, join: Join) -> DataFrame:
     """token, pos, node, n and the token's leader, of the prefix shingles at which a node can meet another one first,
     as a table. Most shingles have one holder and leave here, after the one shuffle of all prefixes."""
     share = F.lit((join.den - join.num) / (join.den + join.num))
-    rows = nodes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n", "frequent").withColumn("late", F.col("pos") - share * F.col("n"))
+    rows = nodes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n", "frequent")
+    late = F.col("pos") - share * F.col("n")
     lead = F.max(F.struct("frequent", "node", "n", "pos"))
     own = W.partitionBy("token").orderBy("late").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    usual = rows.where(F.col("token") < hot).select("*", lead.over(own).alias("lead"), F.first("late").over(own).alias("first"), F.nth_value("late", 2).over(own).alias("second"))
+    usual = rows.where(F.col("token") < hot).repartition("token").withColumn("late", late).select("*", lead.over(own).alias("lead"), F.first("late").over(own).alias("first"), F.nth_value("late", 2).over(own).alias("second"))
     usual = usual.where(F.col("late") + F.when(F.col("late") == F.col("first"), F.col("second")).otherwise(F.col("first")) <= 1e-5)
     many = rows.where(F.col("token") >= hot)
     leads = many.groupBy("token").agg(lead.alias("lead"), F.count(F.lit(1)).alias("held")).where("held > 1")  # FREQUENT rows at most
@@ -521,10 +507,7 @@ def one_per_class(docs: DataFrame, join: Join) -> DataFrame:
     dropped = told.join(first, "class").select(own.alias("own"), (own == F.col("stays")).alias("stays"))
     # grouped by row, not by class: a class of any size is spread over all tasks
     dropped = materialise(dropped.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.max("stays").alias("stays")), "dropped")
-    names = [n for n in ("near_id", "near_key", "near_out") if n not in docs.columns]
-    if len(names) < 3:
-        names = [f"_near_{i}_{len(docs.columns)}" for i in range(3)]
-    near_id, near_key, _ = names
+    near_id, near_key = free_names(docs, "near_id", "near_key")
     out = dropped.where("not stays").select(F.col("own.doc_id").alias(near_id), F.col("own.text_key").alias(near_key))
     again = dropped.where("stays and n > 1").select(F.col("own.doc_id").alias(near_id), F.col("own.text_key").alias(near_key))
     keyed = docs.withColumn(near_id, F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).withColumn(near_key, text_key())

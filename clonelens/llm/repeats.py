@@ -1,32 +1,35 @@
-"""Exact removal of repeated byte strings by prefix-free parsing.
+"""Exact removal of repeated byte strings by the phrases of prefix-free parsing.
 
 A string of ``depth`` bytes is repeated when it starts at two or more places of the corpus. Every byte that a
 repeated string covers is removed; matches never cross documents.
 
 Parsing. Each text is rolled over with a 16-byte hash. The trigger of a starting place s is the smallest hash in the
 ``reach`` places from s on, so it depends on the bytes of s's own string alone; the starting places that share a
-trigger form a phrase. The *context* of a phrase are the bytes that all its strings have in common from the trigger
-on (``depth - reach + 1`` bytes); its *entry* are all bytes its strings cover. The dictionary holds the distinct
-entries, and the parse is the sequence of entries of a document. Equal strings have equal triggers, hence equal
-contexts: only entries of one context can hold equal strings. Merging the suffixes of the dictionary with the
-order of the parse therefore takes place inside a context:
+trigger form a phrase. The *context* of a phrase are bytes that all its strings have in common from the trigger on (up
+to ``depth - reach + 1``); its *entry* are all bytes its strings cover. The dictionary holds the distinct entries, and
+the parse is the sequence of entries of a document. Equal strings have equal triggers, hence equal contexts: only
+entries of one context can hold equal strings. So the suffixes of the dictionary need to be merged with the parse
+inside a context only, and only into classes of equal strings, not into an order:
 
-1. contexts are counted; those seen once cannot repeat (a bit table of fixed size carries the others to step 2);
+1. contexts are counted; those seen once cannot repeat;
 2. entries of the others are counted: an entry seen twice repeats with all its strings, without a look at them;
-3. contexts with several entries are opened: the distinct entries bring their bytes once, and the strings of entries
-   seen once are looked up among the dictionary suffixes of their context (the classes of equal suffixes at that
-   depth are what a suffix array gives as neighbours with a common prefix of ``depth``). Contexts with more than
-   ``group_limit`` entries are not gathered in a task; their suffixes are counted by hash instead, with map-side sums.
+3. contexts with several entries are opened: the distinct entries bring their bytes once, from one of their places, and
+   the strings of entries seen once are looked up among the dictionary suffixes of their context. Contexts with more
+   than ``group_limit`` entries are not gathered in a task; their suffixes are counted by hash, with map-side sums.
 
-Step 3 works on a small part of highly repetitive text, because copies share their entries. ``corpus_suffix_array``
-gives the full corpus order for texts that fit in memory.
+Step 3 works on a small part of highly repetitive text, because copies share their entries. A sorted suffix array of the
+corpus is not built: it would hold a row for every byte (see the README for figures).
+
+Passages. With ``passage`` bytes as the context's size, a context seen twice is itself a string of that many bytes that
+starts elsewhere too. These strings tell of every passage of ``passage + reach + 15`` bytes that repeats, though they do
+not cover all of it.
 
 Hashes: contexts, entries and strings are identified by independent 64-bit polynomial hashes of their bytes, strings
-always together with their context (128 bits).
+always together with their context (128 bits). Bit tables (see ``bit_table``) only save rows.
 
 Defined cases: null and empty texts have no bytes and no spans; texts shorter than ``depth`` are kept whole;
 repeated rows repeat each other; texts of any length are parsed in slices; an empty table gives no rows; other
-columns are ignored by the report and kept by ``without_repeats``.
+columns, whatever their names, are ignored by the report and kept by ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -40,19 +43,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bit_table, discard, free_names, in_table, materialise
 
 DEPTH = 400
 REACH = 128
 GRAM = 16
+#: Bytes of the repeated strings that the report's further columns tell of.
+PASSAGE = 200
 SLICE = 1 << 20
-#: Bits of the tables that carry candidate contexts to the next pass: a fixed size, whatever the corpus.
-TABLE_BITS = 1 << 26
-GROUP_LIMIT = 4096
+GROUP_LIMIT = 1024
 CONTEXT_SCHEMA = "context bigint, n int"
-ENTRY_SCHEMA = "context bigint, entry bigint, doc_key binary, first int, last int"
+ENTRY_SCHEMA = "context bigint, entry bigint, doc_key binary, first int, last int, trigger int"
 BYTES_SCHEMA = "context bigint, entry bigint, data binary"
 
+
+@dataclass(frozen=True)
+class Parsing:
+    """depth: bytes of a repeated string; reach: places that share a trigger at most; passage: bytes of a context, 0 for
+    all that the strings of a phrase have in common."""
+
+    depth: int = DEPTH
+    reach: int = REACH
+    passage: int = 0
+
+    @property
+    def context(self) -> int:
+        return self.passage or self.depth - self.reach + 1
+
+    @property
+    def least(self) -> int:
+        """Bytes from a starting place on that hold its trigger and context."""
+        return self.context + self.reach - 1
+
+    def __post_init__(self):
+        if not GRAM <= self.context <= self.depth - self.reach + 1:
+            raise ValueError("a context must hold a trigger and lie in every string of its phrase")
+
+
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 
@@ -78,7 +105,7 @@ def _powers() -> _Tables:
     """Random values of the 256 bytes, and the powers of the base and of its inverse modulo 2**64."""
     global _tables
     if _tables is None:
-        n = SLICE + DEPTH + REACH + GRAM + 2
+        n = SLICE + 2 * DEPTH + REACH + GRAM + 2
         powers, inverses = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
         powers[0] = inverses[0] = 1
         with np.errstate(over="ignore"):
@@ -88,7 +115,8 @@ def _powers() -> _Tables:
 
 @dataclass
 class Parse:
-    """Phrases of one slice: first and last starting place, trigger, context hash; ``hash(a, b)`` of any substring."""
+    """Phrases of one slice: first and last starting place, trigger, context hash; ``hash(a, b)`` of any substring.
+    ``whole`` is the last starting place of a string (``last`` may lie behind it: the phrase has no string there)."""
 
     first: np.ndarray
     last: np.ndarray
@@ -96,25 +124,33 @@ class Parse:
     context: np.ndarray
     sums: np.ndarray
     depth: int
+    whole: int
 
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (self.sums[b] - self.sums[a]) * _powers().inverses[a]
 
+    def ends(self) -> np.ndarray:
+        """Last starting place of a string of each phrase; before the first where it has none."""
+        return np.maximum(np.minimum(self.last, self.whole), self.first - 1)
+
     def entry(self) -> np.ndarray:
-        """Identity of each phrase's covered bytes and of where its trigger lies in them."""
+        """Identity of each phrase's covered bytes and of where its trigger lies in them; 0 where it has no string."""
+        ends = self.ends()
         with np.errstate(over="ignore"):
-            place = (self.trigger - self.first).astype(np.uint64) << np.uint64(32) | (self.last - self.first).astype(np.uint64)
-            return _mix(self.hash(self.first, self.last + self.depth) + _mix(place + np.uint64(1)))
+            place = (self.trigger - self.first).astype(np.uint64) << np.uint64(32) | (ends - self.first + 1).astype(np.uint64)
+            full = _mix(self.hash(self.first, np.minimum(ends + self.depth, len(self.sums) - 1)) + _mix(place + np.uint64(1)))
+        return np.where(ends < self.first, np.uint64(0), full)
 
 
-def parse_slice(data: np.ndarray, depth: int = DEPTH, reach: int = REACH) -> Parse | None:
-    """Parse the bytes of one slice; None when it is shorter than depth."""
+def parse_slice(data: np.ndarray, how: Parsing = Parsing()) -> Parse | None:
+    """Parse the bytes of one slice; None when it is shorter than ``how.least``. Bytes behind the starting places of a
+    slice are those of ``slices``."""
     n = len(data)
-    places = n - depth + 1
+    places = min(SLICE, n - how.least + 1)
     if places <= 0:
         return None
-    t = _powers()
+    t, reach = _powers(), how.reach
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(t.letters[data] * t.powers[:n], out=sums[1:])
@@ -133,16 +169,16 @@ def parse_slice(data: np.ndarray, depth: int = DEPTH, reach: int = REACH) -> Par
     for at in range(0, len(far), 4096):
         part = far[at : at + 4096]
         trigger[part] += np.argmax(rolling[last[part][:, None] + np.arange(reach)] == least[last[part]][:, None], axis=1)
-    parse = Parse(first, last, trigger, first, sums, depth)
-    parse.context = parse.hash(trigger, trigger + depth - reach + 1)
+    parse = Parse(first, last, trigger, first, sums, how.depth, n - how.depth)
+    parse.context = parse.hash(trigger, trigger + how.context)
     return parse
 
 
-def slices(data: bytes, depth: int = DEPTH, reach: int = REACH) -> Iterator[tuple[int, np.ndarray]]:
+def slices(data: bytes, how: Parsing = Parsing()) -> Iterator[tuple[int, np.ndarray]]:
     """Offsets and bytes of slices whose starting places partition those of the text."""
     array = np.frombuffer(data, dtype=np.uint8)
-    for at in range(0, max(0, len(array) - depth + 1), SLICE):
-        yield at, array[at : at + SLICE + depth - 1]
+    for at in range(0, max(0, len(array) - how.least + 1), SLICE):
+        yield at, array[at : at + SLICE + how.depth - 1]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -155,7 +191,7 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def count_contexts(docs: DataFrame, depth: int, reach: int) -> DataFrame:
+def count_contexts(docs: DataFrame, how: Parsing) -> DataFrame:
     """Pass 1: contexts that occur at least twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +204,8 @@ def count_contexts(docs: DataFrame, depth: int, reach: int) -> DataFrame:
 
         for batch in batches:
             for value in batch.column(1):
-                for _, data in slices(value.as_py(), depth, reach):
-                    held.append(parse_slice(data, depth, reach).context)
+                for _, data in slices(value.as_py(), how):
+                    held.append(parse_slice(data, how).context)
                     size += len(held[-1])
                 if size > 1_000_000:
                     yield sums()
@@ -177,27 +213,13 @@ def count_contexts(docs: DataFrame, depth: int, reach: int) -> DataFrame:
         if held:
             yield sums()
 
-    rows = _texts(docs).where(F.length("data") >= depth).mapInArrow(run, CONTEXT_SCHEMA)
+    rows = _texts(docs).where(F.length("data") >= how.least).mapInArrow(run, CONTEXT_SCHEMA)
     return rows.groupBy("context").agg(F.sum("n").alias("n")).where("n >= 2").select("context")
 
 
-def bit_table(keys: DataFrame, column: str) -> np.ndarray:
-    """Bits of all keys at key mod TABLE_BITS; the driver gets at most TABLE_BITS / 64 words."""
-    slot = F.pmod(F.col(column), F.lit(TABLE_BITS))
-    words = keys.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(TABLE_BITS // 64, dtype=np.int64)
-    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return table
-
-
-def _in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys.view(np.int64) % TABLE_BITS
-    return (table[slot >> 6] >> (slot & 63)) & 1 == 1
-
-
-def find_entries(docs: DataFrame, table, depth: int, reach: int) -> DataFrame:
-    """Pass 2: one row per phrase whose context may occur twice: context, entry, doc_key, first, last (places)."""
+def find_entries(docs: DataFrame, table, how: Parsing) -> DataFrame:
+    """Pass 2: one row per phrase whose context may occur twice: context, entry, doc_key, first, last (places of its
+    strings; last is before first where it has none), trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
@@ -205,45 +227,46 @@ def find_entries(docs: DataFrame, table, depth: int, reach: int) -> DataFrame:
             parts: list[tuple] = []
             keys: list[bytes] = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for at, data in slices(value.as_py(), depth, reach):
-                    p = parse_slice(data, depth, reach)
-                    on = np.flatnonzero(_in_table(bits, p.context))
+                for at, data in slices(value.as_py(), how):
+                    p = parse_slice(data, how)
+                    on = np.flatnonzero(in_table(bits, p.context.view(np.int64)))
                     if len(on):
-                        parts.append((p.context[on], p.entry()[on], p.first[on] + at, p.last[on] + at))
+                        parts.append((p.context[on], p.entry()[on], p.first[on] + at, p.ends()[on] + at, p.trigger[on] + at))
                         keys += [key] * len(on)
             if parts:
-                context, entry, first, last = (np.concatenate(c) for c in zip(*parts))
-                columns = [_long(context), _long(entry), pa.array(keys, pa.binary()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["context", "entry", "doc_key", "first", "last"])
+                context, entry, *places = (np.concatenate(c) for c in zip(*parts))
+                columns = [_long(context), _long(entry), pa.array(keys, pa.binary()), *(pa.array(x.astype(np.int32)) for x in places)]
+                yield pa.RecordBatch.from_arrays(columns, names=["context", "entry", "doc_key", "first", "last", "trigger"])
 
-    return _texts(docs).where(F.length("data") >= depth).mapInArrow(run, ENTRY_SCHEMA)
+    return _texts(docs).where(F.length("data") >= how.least).mapInArrow(run, ENTRY_SCHEMA)
 
 
-def bring_bytes(docs: DataFrame, table, depth: int, reach: int) -> DataFrame:
-    """Pass 3: the distinct entries of contexts that may hold several, each with the bytes it covers."""
+def bring_bytes(docs: DataFrame, chosen: DataFrame, how: Parsing) -> DataFrame:
+    """chosen(context, entry, doc_key, first, last) to context, entry and the bytes the entry covers. Texts without a
+    chosen place are left out before the shuffle, by a bit table."""
+    key = F.conv(F.substring(F.hex("doc_key"), 1, 15), 16, 10).cast("bigint")
+    wanted = chosen.select(key.alias("slot"), "doc_key").distinct()
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "slot"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = table.value, set()
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
         for batch in batches:
-            rows: list[tuple] = []
-            for value in batch.column(1):
-                for _, data in slices(value.as_py(), depth, reach):
-                    p = parse_slice(data, depth, reach)
-                    on = np.flatnonzero(_in_table(bits, p.context))
-                    if not len(on):
-                        continue
-                    raw = data.tobytes()
-                    for c, e, a, b in zip(p.context[on].view(np.int64).tolist(), p.entry()[on].view(np.int64).tolist(), p.first[on].tolist(), p.last[on].tolist()):
-                        if (c, e) not in seen:
-                            seen.add((c, e))
-                            rows.append((c, e, raw[a : b + depth]))
-            if len(seen) > 500_000:
-                seen.clear()
+            # the first 15 hexadecimal digits of a key
+            slots = np.fromiter((int.from_bytes(x[:8], "big") >> 4 for x in batch.column(0).to_pylist()), dtype=np.int64, count=batch.num_rows)
+            yield batch.filter(pa.array(in_table(bits, slots)))
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for value, places in zip(batch.column(0), batch.column(1).to_pylist()):
+                data = value.as_buffer()
+                rows += [(x["context"], x["entry"], data[x["first"] : x["last"] + how.depth].to_pybytes()) for x in places]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["context", "entry", "data"])
 
-    rows = _texts(docs).where(F.length("data") >= depth).mapInArrow(run, BYTES_SCHEMA)
-    return rows.dropDuplicates(["context", "entry"])
+    texts = _texts(docs).where(F.length("data") >= how.depth).mapInArrow(some, "doc_key binary, data binary").dropDuplicates(["doc_key"])
+    places = chosen.groupBy("doc_key").agg(F.collect_list(F.struct("context", "entry", "first", "last")).alias("places"))
+    return texts.join(places, "doc_key").select("data", "places").mapInArrow(cut_out, BYTES_SCHEMA)
 
 
 def suffix_hashes(data: bytes, depth: int) -> np.ndarray:
@@ -310,29 +333,42 @@ def open_large_contexts(entries: DataFrame, depth: int) -> DataFrame:
     return suffixes.join(twice, ["context", "suffix"]).groupBy("context", "entry").agg(F.collect_set("place").alias("places"))
 
 
-def repeated_spans(docs: DataFrame, depth: int = DEPTH, reach: int = REACH, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """``docs(text)`` to doc_key and the sorted byte spans [first, last) that repeated strings cover, as a table.
+def repeated_spans(docs: DataFrame, how: Parsing = Parsing(), group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """``docs(text)`` to doc_key, the sorted byte spans [first, last) that repeated strings cover, and the sorted
+    ``passages`` (empty where ``how.passage`` is 0): spans of the contexts that occur again.
 
     doc_key is the MD5 of the text's bytes; texts without a span have no row.
     """
-    sc = docs.sparkSession.sparkContext
-    contexts = sc.broadcast(bit_table(count_contexts(docs, depth, reach), "context"))
-    phrases = materialise(find_entries(docs, contexts, depth, reach), "phrases")
-    counted = materialise(phrases.groupBy("context", "entry").agg(F.count(F.lit(1)).alias("n")), "entries")
-    groups = materialise(counted.groupBy("context").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "contexts")
-    several = sc.broadcast(bit_table(groups, "context"))
-    found = materialise(bring_bytes(docs, several, depth, reach).join(groups, "context"), "entry-bytes")
+    depth, sc = how.depth, docs.sparkSession.sparkContext
+    contexts = materialise(count_contexts(docs, how), "repeated-contexts")
+    phrases = materialise(find_entries(docs, sc.broadcast(bit_table(contexts, "context")), how), "phrases")
+    discard(contexts)
+    place = F.struct("doc_key", "first", "last")
+    counted = materialise(phrases.groupBy("context", "entry").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")), "entries")
+    entries = F.count_if(F.col("entry") != 0)
+    groups = materialise(counted.groupBy("context").agg(entries.cast("int").alias("m"), F.sum("n").alias("seen")).where("seen > 1"), "contexts")
+    several = counted.where("entry <> 0").join(groups.where("m > 1"), "context")
+    found = materialise(bring_bytes(docs, several.select("context", "entry", "at.*"), how).join(groups.select("context", "m"), "context"), "entry-bytes")
     places = open_contexts(found.where(F.col("m") <= group_limit), depth).union(open_large_contexts(found.where(F.col("m") > group_limit), depth))
     # entries seen once repeat at the places found; entries seen more often repeat as a whole
     single = counted.where("n = 1").join(places, ["context", "entry"]).select("context", "entry", "places")
-    whole = counted.where("n > 1").select("context", "entry", F.lit(None).cast("array<int>").alias("places"))
-    told = phrases.join(whole.union(single), ["context", "entry"])
-    span = lambda a, b: F.struct(a.cast("int").alias("first"), (b + depth).cast("int").alias("last"))
-    spans = F.when(F.col("places").isNull(), F.array(span(F.col("first"), F.col("last")))).otherwise(
-        F.transform("places", lambda p: span(F.col("first") + p, F.col("first") + p))
+    told = counted.where("n > 1 AND entry <> 0").select("context", "entry", F.lit(None).cast("array<int>").alias("places")).union(single)
+    told = told.withColumn("repeats", F.lit(True))
+    if how.passage:  # every phrase of a repeated context, whether its strings repeat or not
+        told = counted.select("context", "entry").join(groups.select("context"), "context").join(told, ["context", "entry"], "left")
+    told = phrases.join(told, ["context", "entry"])
+    span = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
+    spans = F.when(F.col("places").isNull(), F.array(span(F.col("first"), F.col("last") + depth))).otherwise(
+        F.transform("places", lambda p: span(F.col("first") + p, F.col("first") + p + depth))
     )
-    merged = told.select("doc_key", F.explode(_runs(spans, depth)).alias("span")).distinct()
-    return merged.groupBy("doc_key").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    context = F.array(span(F.col("trigger"), F.col("trigger") + how.context)) if how.passage else none
+    parts = told.select("doc_key", F.when(F.col("repeats"), _runs(spans, depth)).otherwise(none).alias("spans"), context.alias("passages"))
+    # rows of equal texts have equal parts
+    merged = parts.groupBy("doc_key").agg(*(F.sort_array(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("spans", "passages")))
+    out = materialise(merged, "spans")
+    discard(phrases, counted, groups, found)
+    return out
 
 
 def _runs(spans, depth: int):
@@ -357,85 +393,46 @@ def cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, list[tuple[int, i
     return b"".join(kept), [(a, b) for a, b in runs]
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the column ``spans`` of their text (null if none)."""
-    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    found = spans.select(F.col("doc_key").alias("span_key"), F.col("spans").alias("repeat_spans"))
-    return docs.withColumn("repeat_key", key).join(found, F.col("repeat_key") == F.col("span_key"), "left").drop("repeat_key", "span_key")
+def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with the spans and passages of their text (null if none), and the names of these two columns."""
+    key, own, cuts, passages = free_names(docs, "repeat_key", "span_key", "repeat_spans", "repeat_passages")
+    found = spans.select(F.col("doc_key").alias(own), F.col("spans").alias(cuts), F.col("passages").alias(passages))
+    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return docs.withColumn(key, digest).join(found, F.col(key) == F.col(own), "left").drop(key, own), cuts, passages
 
 
-def repeat_report(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The digest columns of the contract: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def repeat_report(docs: DataFrame, depth: int = DEPTH, passage: int = PASSAGE) -> DataFrame:
+    """The digest columns of the contract: doc_id, n_bytes, n_removed, n_spans, kept_sha256; then n_passages (maximal runs
+    of strings of ``passage`` bytes, starting at triggers, that start elsewhere too) and n_passage_bytes in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for doc_id, text, spans, passages in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 data = (text.as_py() or "").encode()
                 kept, runs = cut(data, spans)
-                rows.append((doc_id, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=names)
+                _, again = cut(b"", passages)
+                rows.append((doc_id, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), len(again), sum(b - a for a, b in again)))
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"]
+            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=names)
 
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    return with_spans(docs, repeated_spans(docs, depth)).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    told, cuts, passages = with_spans(docs, repeated_spans(docs, Parsing(depth, passage=passage)))
+    kind = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, n_passage_bytes bigint"
+    return told.select("doc_id", "text", cuts, passages).mapInArrow(run, kind)
 
 
 def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """docs with all repeated bytes taken out of ``text``; characters cut in part go as a whole."""
+    told, cuts, passages = with_spans(docs, repeated_spans(docs.select("text"), Parsing(depth)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            spans = batch.column(batch.schema.get_field_index("repeat_spans")).to_pylist()
+            spans = batch.column(batch.schema.get_field_index(cuts)).to_pylist()
             texts = [t if t is None or not s else cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column(at).to_pylist(), spans)]
-            names = [n for n in batch.schema.names if n != "repeat_spans"]
+            names = [n for n in batch.schema.names if n != cuts]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names], names=names)
 
-    return with_spans(docs, repeated_spans(docs.select("text"), depth)).mapInArrow(run, docs.schema)
-
-
-def corpus_suffix_array(texts: list[bytes]) -> list[tuple[int, int]]:
-    """Corpus order of all suffixes as (text, place), by prefix-free parsing, for texts that fit in memory.
-
-    Phrases are cut at triggers of the rolling hash and overlap by GRAM bytes, so no phrase suffix longer than GRAM
-    is a prefix of another. The suffix array of the dictionary orders suffixes by phrase; ties go by the order of
-    what follows in the parse, from the suffix array of the parse. Texts end in one separator below all bytes.
-    """
-    phrases: list[list[tuple[int, bytes]]] = []
-    for text in texts:
-        data = np.frombuffer(text, dtype=np.uint8)
-        starts = [0]
-        if len(data) > GRAM:
-            t = _powers()
-            with np.errstate(over="ignore"):
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(t.letters[data] * t.powers[: len(data)])])
-                rolling = _mix((sums[GRAM:] - sums[:-GRAM]) * t.inverses[: len(data) - GRAM + 1])
-            starts += [int(i) for i in np.flatnonzero(rolling % np.uint64(32) == 0) if i]
-        ends = [s + GRAM for s in starts[1:]] + [len(text)]
-        phrases.append([(s, text[s:e]) for s, e in zip(starts, ends)])
-    rank = {p: i for i, p in enumerate(sorted({p for own in phrases for _, p in own}))}
-    # suffix array of the parse by doubling; each text's parse ends below everything
-    flat = [rank[p] + 1 for own in phrases for p in [x for _, x in own]]
-    owner = np.repeat(np.arange(len(phrases)), [len(own) for own in phrases])
-    order = np.array(flat, dtype=np.int64)
-    step = 1
-    while len(order) and step < len(order):
-        ahead = np.zeros(len(order), dtype=np.int64)
-        ahead[:-step] = np.where(owner[step:] == owner[:-step], order[step:], 0)
-        _, fresh = np.unique(np.column_stack([order, ahead]), axis=0, return_inverse=True)
-        fresh = fresh.ravel() + 1
-        if (fresh == order).all():
-            break
-        order, step = fresh, step * 2
-    after = np.zeros(len(order), dtype=np.int64)
-    after[:-1] = np.where(owner[1:] == owner[:-1], order[1:], 0) if len(order) > 1 else after[:-1]
-    rows, k = [], 0
-    for t, own in enumerate(phrases):
-        for i, (start, phrase) in enumerate(own):
-            end = len(phrase) - (GRAM if i < len(own) - 1 else 0)
-            rows += [(phrase[o:], int(after[k]), t, start + o) for o in range(end)]
-            k += 1
-    rows.sort()
-    return [(t, place) for _, _, t, place in rows]
+    return told.drop(passages).mapInArrow(run, docs.schema)

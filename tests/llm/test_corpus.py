@@ -11,6 +11,7 @@ import corpus_pipeline
 from clonelens.llm import common, ngram_join, repeats
 from clonelens.llm.ngram_join import Join
 
+from .suffix_array import corpus_suffix_array
 from .test_rows import DOCS, EDGE, WORDS, docs
 
 
@@ -107,79 +108,126 @@ def test_one_per_class_keeps_columns_and_tells_rows_apart(spark):
 # ---------------------------------------------------------------- repeats
 
 
+def repeated_bytes(data, depth, wanted=None):
+    """Per text, a mask of the bytes that repeated strings cover; ``wanted`` keeps some of the places only."""
+    seen = {}
+    keys = [[hashlib.md5(d[s : s + depth]).digest() for s in range(len(d) - depth + 1)] for d in data]
+    for own in keys:
+        for k in own:
+            seen[k] = seen.get(k, 0) + 1
+    out = []
+    for d, own in zip(data, keys):
+        edge = np.zeros(len(d) + 1, dtype=np.int64)
+        for s, k in enumerate(own):
+            if seen[k] > 1:
+                edge[s] += 1
+                edge[s + depth] -= 1
+        out.append(np.cumsum(edge)[:-1] > 0)
+    return out
+
+
+def runs(on):
+    return int((np.diff(np.concatenate([[0], on.astype(int)])) == 1).sum())
+
+
 def plain_repeats(texts, depth):
-    seen, out = {}, []
     data = [(t or "").encode() for t in texts]
-    for d in data:
-        for s in range(len(d) - depth + 1):
-            seen[d[s : s + depth]] = seen.get(d[s : s + depth], 0) + 1
-    for d in data:
-        on = np.zeros(len(d), dtype=bool)
-        for s in range(len(d) - depth + 1):
-            if seen[d[s : s + depth]] > 1:
-                on[s : s + depth] = True
-        kept = np.frombuffer(d, dtype=np.uint8)[~on].tobytes()
-        out.append((len(d), int(on.sum()), int((np.diff(np.concatenate([[0], on.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    return out
+    return [(len(d), int(on.sum()), runs(on), hashlib.sha256(np.frombuffer(d, dtype=np.uint8)[~on].tobytes()).hexdigest()) for d, on in zip(data, repeated_bytes(data, depth))]
+
+
+def letters(rng, n, alphabet="abcdefghijklmnop "):
+    return "".join(rng.choices(alphabet, k=n))
 
 
 def repeat_texts(rng):
-    passage = "".join(rng.choice("abcdefgh é") for _ in range(1500))
-    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
-    texts = [noise(rng.randint(0, 900)) + passage[(a := rng.randint(0, 1000)) : a + rng.randint(100, 700)] + noise(rng.randint(0, 500)) for _ in range(40)]
-    texts += [passage, passage, noise(300) + passage + passage, "a" * 900, "a" * 400, "ab" * 600, "x" * 399, noise(400), noise(401)]
+    passage = letters(rng, 1500, "abcdefgh é")
+    texts = [letters(rng, rng.randint(0, 900)) + passage[(a := rng.randint(0, 1000)) : a + rng.randint(100, 700)] + letters(rng, rng.randint(0, 500)) for _ in range(40)]
+    texts += [passage, passage, letters(rng, 300) + passage + passage, "a" * 900, "a" * 400, "ab" * 600, "x" * 399, letters(rng, 400), letters(rng, 401)]
     return texts + [t for t in EDGE if t is None or len(t) < 1000]
 
 
-@pytest.mark.parametrize("limit", [4096, 1])
-@pytest.mark.parametrize("slice_size", [1 << 20, 700])
-def test_repeats_against_brute_force(spark, monkeypatch, limit, slice_size):
+@pytest.mark.parametrize("limit", [1024, 1])
+@pytest.mark.parametrize("passage", [200, 0])
+def test_repeats_against_brute_force(spark, monkeypatch, limit, passage):
     texts = repeat_texts(random.Random(12))
     plain = repeats.repeated_spans
-    monkeypatch.setattr(repeats, "repeated_spans", lambda d, depth: plain(d, depth, group_limit=limit))
-    if slice_size != repeats.SLICE:
-        # places may be cut into any slices; the workers get the size with the text
-        whole = repeats.parse_slice
-        for t in texts[:10]:
-            data = (t or "").encode()
-            one = whole(np.frombuffer(data, dtype=np.uint8))
-            if one is not None:
-                n = len(data) - repeats.DEPTH + 1
-                context = np.repeat(one.context, one.last - one.first + 1)
-                for at in range(0, n, slice_size):
-                    part = whole(np.frombuffer(data, dtype=np.uint8)[at : at + slice_size + repeats.DEPTH - 1])
-                    assert (np.repeat(part.context, part.last - part.first + 1) == context[at : at + slice_size]).all()
-        return
-    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.repeat_report(docs(spark, texts, True)).collect()}
-    assert [got[i] for i in range(len(texts))] == plain_repeats(texts, 400)
+    monkeypatch.setattr(repeats, "repeated_spans", lambda d, how: plain(d, how, group_limit=limit))
+    rows = docs(spark, texts, True).withColumns({"repeat_key": F.lit(1), "repeat_spans": F.lit("clash"), "_span_key": F.lit(2)})
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.repeat_report(rows, passage=passage).collect()}
+    assert [got[i][:4] for i in range(len(texts))] == plain_repeats(texts, 400)
+    data = [(t or "").encode() for t in texts]
+    covered = repeated_bytes(data, 200)
+    for i, on in enumerate(covered):  # passages are repeated strings, and every long one holds one
+        n, size = got[i][4:]
+        assert size <= on.sum() and (n > 0) == (size > 0)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(int), [0]])))
+        if passage and any(b - a >= 200 + 128 + 15 for a, b in zip(edges[::2], edges[1::2])):
+            assert n > 0
+        assert passage or n == 0
+
+
+def test_slices_give_the_parse_of_the_whole(monkeypatch):
+    how = repeats.Parsing(passage=200)
+    for t in repeat_texts(random.Random(12)):
+        data = (t or "").encode()
+        monkeypatch.setattr(repeats, "SLICE", 1 << 20)
+        whole = repeats.parse_slice(np.frombuffer(data, dtype=np.uint8), how)
+        monkeypatch.setattr(repeats, "SLICE", 300)
+        parts = [repeats.parse_slice(x, how) for _, x in repeats.slices(data, how)]
+        if whole is None:
+            assert not parts
+            continue
+        assert (np.concatenate([np.repeat(p.context, p.last - p.first + 1) for p in parts]) == np.repeat(whole.context, whole.last - whole.first + 1)).all()
+        size = lambda p: int(np.maximum(p.ends() - p.first + 1, 0).sum())
+        assert sum(map(size, parts)) == size(whole) == max(0, len(data) - 399)
+
+
+def test_repeats_in_a_text_of_many_slices(spark):
+    rng = random.Random(21)
+    passage = letters(rng, 700)
+    long = letters(rng, (1 << 20) - 350) + passage + letters(rng, 90_000) + passage[100:] + letters(rng, 1000)
+    texts = [long, letters(rng, 500) + passage[:450], letters(rng, 3000), None]
+    got = {r["doc_id"]: tuple(r)[1:5] for r in repeats.repeat_report(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(4)] == plain_repeats(texts, 400) and got[0][1] == 700 + 600
+
+
+def test_one_context_of_ten_thousand_entries(spark):
+    rng = random.Random(22)
+    common = letters(rng, 250)
+    texts = [letters(rng, 110) + common + letters(rng, 110) for _ in range(10_000)]
+    texts += [texts[5][:460] + "xyz", "q" + texts[7][20:]]
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.repeat_report(docs(spark, texts)).collect()}
+    assert [got[i][:4] for i in range(len(texts))] == plain_repeats(texts, 400)
+    assert {i for i, r in got.items() if r[1]} == {5, 7, 10_000, 10_001}
 
 
 def test_repeats_edges(spark):
     assert repeats.repeat_report(docs(spark, [])).count() == 0
     rows = repeats.repeat_report(docs(spark, [None, "", "short"])).orderBy("doc_id").collect()
-    assert [(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in rows] == [(0, 0, 0), (0, 0, 0), (5, 0, 0)]
-    frame = docs(spark, ["é" * 300, "é" * 300, "keep me"], True)
+    assert [tuple(r)[1:4] for r in rows] == [(0, 0, 0), (0, 0, 0), (5, 0, 0)]
+    frame = docs(spark, ["é" * 300, "é" * 300, "keep me"], True).withColumn("repeat_key", F.lit(1)).withColumn("REPEAT_SPANS", F.lit(1))
     cut = repeats.without_repeats(frame)
     assert cut.columns == frame.columns and [r["text"] for r in cut.orderBy("doc_id").collect()] == ["", "", "keep me"]
+    null_ids = spark.createDataFrame([(None, "z" * 450), (None, "z" * 450), (1, None)], "doc_id long, text string")
+    assert sorted(((r["doc_id"] or 0), r["n_removed"]) for r in repeats.repeat_report(null_ids).collect()) == [(0, 450), (0, 450), (1, 0)]
 
 
-def test_corpus_suffix_array_gives_the_order_and_the_repeats():
+def test_spans_are_what_the_suffix_array_says(spark):
     rng = random.Random(13)
-    passage = "".join(rng.choice("ab") for _ in range(300)).encode()
-    texts = [passage[rng.randint(0, 100) :][:180] + bytes(rng.choice(b"abc") for _ in range(60)) for _ in range(6)] + [b"", b"a", b"ababab" * 20]
-    order = repeats.corpus_suffix_array(texts)
-    assert [texts[t][p:] for t, p in order] == sorted(t[p:] for t in texts for p in range(len(t)))
+    passage = "".join(rng.choice("ab") for _ in range(300))
+    texts = [passage[rng.randint(0, 100) :][:180] + letters(rng, 60, "abc") for _ in range(12)] + ["", "a", "ababab" * 30]
+    data = [t.encode() for t in texts]
+    order = corpus_suffix_array(data)
+    assert [data[t][p:] for t, p in order] == sorted(t[p:] for t in data for p in range(len(t)))
     depth = 100
-    twice = set()
-    for (a, p), (b, q) in zip(order, order[1:]):
-        if len(texts[a]) - p >= depth and texts[a][p : p + depth] == texts[b][q : q + depth]:
-            twice |= {(a, p), (b, q)}
-    for i, (_, removed, spans, _) in enumerate(plain_repeats([t.decode() for t in texts], depth)):
-        on = np.zeros(len(texts[i]), dtype=bool)
-        for t, p in twice:
-            if t == i:
-                on[p : p + depth] = True
-        assert on.sum() == removed
+    on = [np.zeros(len(t), dtype=bool) for t in data]
+    for (a, p), (b, q) in zip(order, order[1:]):  # neighbours in corpus order with a common prefix of depth
+        if len(data[a]) - p >= depth and data[a][p : p + depth] == data[b][q : q + depth]:
+            on[a][p : p + depth] = on[b][q : q + depth] = True
+    got = {bytes(r["doc_key"]): r["spans"] for r in repeats.repeated_spans(docs(spark, texts), repeats.Parsing(depth, 32)).collect()}
+    for t, mask in zip(data, on):
+        kept, spans = repeats.cut(t, got.get(hashlib.md5(t).digest()))
+        assert (len(t) - len(kept), len(spans)) == (int(mask.sum()), runs(mask))
 
 
 # ---------------------------------------------------------------- pipeline
