@@ -28,13 +28,15 @@ def needed_clones(clones: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def unify(pairs: DataFrame, functions: DataFrame, clones: DataFrame, line: str = "line") -> DataFrame:
-    """Unified records of ``pairs(id1, id2, label)``: both texts (empty when unknown), label, clone type."""
+    """Unified records of ``pairs(id1, id2, label)``: both texts (empty when unknown), label, clone type, and what other
+    columns the pairs have."""
+    others = [c for c in pairs.columns if c not in ("id1", "id2", "label")]
     types = typed_pairs(needed_clones(clones, pairs), line)
     f1 = functions.select(F.col("idx").alias("id1"), F.col("func").alias("func1"))
     f2 = functions.select(F.col("idx").alias("id2"), F.col("func").alias("func2"))
     joined = canonical(pairs, "id1", "id2").join(types, ["low", "high"], "left").join(f1, "id1", "left").join(f2, "id2", "left")
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return joined.select("id1", "id2", text("func1"), text("func2"), F.col("label").cast("int").alias("label"), pair_class(F.col("label"), F.col("cls")).alias("clone_type"))
+    return joined.select("id1", "id2", text("func1"), text("func2"), F.col("label").cast("int").alias("label"), pair_class(F.col("label"), F.col("cls")).alias("clone_type"), *others)
 
 
 def neighbour_pairs(df: DataFrame, key: str, group: str, order: list[str], reach: int = 5) -> DataFrame:
@@ -50,19 +52,26 @@ def token_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.explode(tokens).alias("t")).groupBy("key", F.xxhash64("t").alias("token")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def token_bags(counts: DataFrame) -> DataFrame:
+    """key, bag, total of token counts: the k-th occurrence of a token has a hash of its own, so that the intersection of
+    two bags as sets is that of the multisets."""
+    each = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda k: F.xxhash64("token", k))
+    return counts.groupBy("key").agg(F.flatten(F.collect_list(each)).alias("bag"), F.sum("n").alias("total"))
+
+
 def overlap_features(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """Overlap measures of ``pairs(id1, id2)`` from token counts: multiset intersection, Jaccard, containments.
 
-    Each text is tokenized once, whatever the number of its pairs; the intersection is one equi-join on
-    (text, token). All measures are 0 when a side has no tokens.
+    Each text is tokenized once, whatever the number of its pairs, and a pair is one row with two arrays of longs, not a
+    row per token. All measures are 0 when a side has no tokens.
     """
-    totals = counts.groupBy("key").agg(F.sum("n").alias("total"))
-    left = pairs.join(counts.select(F.col("key").alias("id1"), "token", F.col("n").alias("n1")).hint("merge"), "id1")
-    shared = left.join(counts.select(F.col("key").alias("id2"), "token", F.col("n").alias("n2")).hint("merge"), ["id2", "token"])
-    overlap = shared.groupBy("id1", "id2").agg(F.sum(F.least("n1", "n2")).alias("overlap"))
-    t1, t2 = totals.select(F.col("key").alias("id1"), F.col("total").alias("t1")), totals.select(F.col("key").alias("id2"), F.col("total").alias("t2"))
-    joined = pairs.join(overlap, ["id1", "id2"], "left").join(t1, "id1", "left").join(t2, "id2", "left")
-    return joined.select("id1", "id2", *overlap_measures(F.coalesce("t1", F.lit(0)), F.coalesce("t2", F.lit(0)), F.coalesce("overlap", F.lit(0))))
+    bags = token_bags(counts)
+    one = bags.select(F.col("key").alias("id1"), F.col("bag").alias("bag1"), F.col("total").alias("t1"))
+    two = bags.select(F.col("key").alias("id2"), F.col("bag").alias("bag2"), F.col("total").alias("t2"))
+    joined = pairs.select("id1", "id2").join(one.hint("merge"), "id1", "left").join(two.hint("merge"), "id2", "left")
+    shared = F.coalesce(F.size(F.array_intersect("bag1", "bag2")), F.lit(0))
+    shared = F.when(F.col("bag1").isNull() | F.col("bag2").isNull(), 0).otherwise(shared)
+    return joined.select("id1", "id2", *overlap_measures(F.coalesce("t1", F.lit(0)), F.coalesce("t2", F.lit(0)), shared))
 
 
 def overlap_measures(t1: Column, t2: Column, shared: Column) -> list[Column]:

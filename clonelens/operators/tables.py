@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which all machines see. Where it is unset: one of our own in local mode (tests); on a
     cluster that raises, since no other machine would read it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        now = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = now.get() if now.isDefined() else None
+    base = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir is unset: stored tables need a folder that all machines share")
@@ -26,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _checkpoint_dir(spark: SparkSession) -> str | None:
+    now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return now.get() if now.isDefined() else None
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df in the shared folder and read it back."""
     path = f"{shared_folder(df.sparkSession)}/clonelens/{name}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EPSILON
@@ -26,6 +27,17 @@ def idf(vocab: DataFrame, documents: DataFrame) -> DataFrame:
     return vocab.crossJoin(F.broadcast(n)).select("term", "total", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
 
 
+def fit(counts: DataFrame, pairs: DataFrame, size: int = MAX_FEATURES) -> DataFrame:
+    """Vocabulary and IDF of the functions of ``pairs(id1, id2)``: every side of every pair is a document, so a function
+    counts as often as it occurs. term, total, df, idf, and ``at``: the term's place in alphabetical order from 0."""
+    times = pairs.select(F.explode(F.array("id1", "id2")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    own = counts.join(times, "key").groupBy("term").agg(F.sum(F.col("n") * F.col("times")).alias("total"), F.sum("times").alias("df"))
+    vocab = own.orderBy(F.desc("total"), "term").limit(size)
+    n = times.agg(F.sum("times").alias("docs"))
+    found = vocab.crossJoin(F.broadcast(n)).select("term", "total", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+    return found.withColumn("at", F.row_number().over(W.orderBy("term")) - 1)  # MAX_FEATURES rows at most
+
+
 def weights(counts: DataFrame, idfs: DataFrame) -> DataFrame:
     """key, term, w: counts times IDF, with unit length per document. The vocabulary has a fixed size."""
     raw = counts.join(F.broadcast(idfs.select("term", "idf")), "term").select("key", "term", (F.col("n") * F.col("idf")).alias("w"))
@@ -41,10 +53,27 @@ def pair_cosine(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
     return pairs.join(dot, ["id1", "id2"], "left").select("id1", "id2", (F.coalesce("dot", F.lit(0.0)) / (1 + EPSILON)).alias("cosine"))
 
 
-def pair_vectors(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Sparse lexical pair features in long form: id1, id2, term, difference, product."""
-    one = pairs.join(weighted.select(F.col("key").alias("id1"), "term", F.col("w").alias("w1")), "id1")
-    two = pairs.join(weighted.select(F.col("key").alias("id2"), "term", F.col("w").alias("w2")), "id2")
-    both = one.join(two, ["id1", "id2", "term"], "full")
-    a, b = F.coalesce("w1", F.lit(0.0)), F.coalesce("w2", F.lit(0.0))
-    return both.select("id1", "id2", "term", F.abs(a - b).alias("difference"), (a * b).alias("product"))
+def pair_vectors(pairs: DataFrame, weighted: DataFrame, vocab: DataFrame, size: int = MAX_FEATURES) -> DataFrame:
+    """Sparse lexical pair vectors of ``pairs(id1, id2)``: id1, id2, width, indices, values. ``size`` differences, then
+    ``size`` products, then the cosine; only terms that a side holds have entries (a dense vector is mostly zeros)."""
+    term = vocab.select("term", "at")
+    held = F.broadcast(term)  # MAX_FEATURES rows at most
+    own = weighted.join(held, "term").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("held"))
+    left, right = own.select(F.col("key").alias("id1"), F.col("held").alias("x")), own.select(F.col("key").alias("id2"), F.col("held").alias("y"))
+    none = F.create_map().cast("map<int,double>")
+    both = pairs.select("id1", "id2").join(left, "id1", "left").join(right, "id2", "left")
+    both = both.withColumns({"x": F.coalesce("x", none), "y": F.coalesce("y", none)})
+    merged = F.map_zip_with("x", "y", lambda _, a, b: F.struct(F.coalesce(a, F.lit(0.0)).alias("x"), F.coalesce(b, F.lit(0.0)).alias("y")))
+    rows = both.select("id1", "id2", F.array_sort(F.map_entries(merged)).alias("t"))
+    total = lambda f: F.aggregate("t", F.lit(0.0), lambda s, e: s + f(e["value"]["x"], e["value"]["y"]))
+    cosine = total(lambda x, y: x * y) / (F.sqrt(total(lambda x, y: x * x)) * F.sqrt(total(lambda x, y: y * y)) + EPSILON)
+    shared = F.filter("t", lambda e: (e["value"]["x"] != 0) & (e["value"]["y"] != 0))
+    indices = F.concat(F.transform("t", lambda e: e["key"]), F.transform(shared, lambda e: e["key"] + size), F.array(F.lit(2 * size)))
+    values = F.concat(F.transform("t", lambda e: F.abs(e["value"]["x"] - e["value"]["y"])), F.transform(shared, lambda e: e["value"]["x"] * e["value"]["y"]), F.array(cosine))
+    return rows.select("id1", "id2", F.lit(2 * size + 1).alias("width"), indices.alias("indices"), values.alias("values"))
+
+
+def with_dense(vectors: DataFrame, dense: Column) -> DataFrame:
+    """Sparse vectors (width, indices, values) with a dense array put behind them."""
+    after = F.transform(dense, lambda _, i: F.col("width") + i)
+    return vectors.withColumns({"indices": F.concat("indices", after), "values": F.concat("values", dense.cast("array<double>")), "width": F.col("width") + F.size(dense)})

@@ -37,13 +37,15 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import io_plans, ml_plans
+    from . import flows, io_plans, ml_plans
 
-    return QUERIES | io_plans.QUERIES | ml_plans.QUERIES
+    return QUERIES | io_plans.QUERIES | ml_plans.QUERIES | flows.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from . import flows, io_plans, ml_plans
+
+    return ORACLES | io_plans.oracles() | ml_plans.ORACLES | flows.ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -439,12 +441,13 @@ best AS (SELECT id, l1, l2 FROM cand QUALIFY row_number() OVER (PARTITION BY id
 pred AS (SELECT id, {CLASS_LIST}[l1 % 8 + 1] AS actual, {CLASS_LIST}[l2 % 8 + 1] AS predicted FROM best)"""
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class of the most similar of the next ten vectors as the prediction: id, actual, predicted."""
-    rows = vector_pairs(spark, sf_dir, 10).select("id1", "id2", "label1", "label2", F.round(vec.cosine(F.col("a"), F.col("b")), 9).alias("c"))
+def predictions(spark: SparkSession, sf_dir: str, reach: int = 10) -> DataFrame:
+    """Class of the most similar of the next ``reach`` vectors as the prediction (the last vector has none): id, actual,
+    predicted, id2, cosine."""
+    rows = vector_pairs(spark, sf_dir, reach).select("id1", "id2", "label1", "label2", F.round(vec.cosine(F.col("a"), F.col("b")), 9).alias("c"))
     best = rows.groupBy(F.col("id1").alias("id")).agg(F.max(F.struct("c", (-F.col("id2")).alias("near"), "label1", "label2")).alias("x"))
     name = lambda c: F.element_at(F.array(*map(F.lit, tax.CLASSES)), (F.col(c) % 8 + 1).cast("int"))
-    return best.select("id", name("x.label1").alias("actual"), name("x.label2").alias("predicted"))
+    return best.select("id", name("x.label1").alias("actual"), name("x.label2").alias("predicted"), (-F.col("x.near")).alias("id2"), F.col("x.c").alias("cosine"))
 
 
 def targets() -> dict[str, Column]:
@@ -501,7 +504,7 @@ def binary_metrics_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 t IS NULL OR strict IS NULL AS excluded_from_main_eval, CASE WHEN t IS NOT NULL AND strict IS NOT NULL THEN t = strict END AS correct_binary FROM b""",
 )
 def prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return met.prediction_rows(predictions(spark, sf_dir), targets())
+    return met.prediction_rows(predictions(spark, sf_dir).drop("id2", "cosine"), targets())
 
 
 REPORTED = ", ".join(f"({i}, '{c}')" for i, c in enumerate(tax.REPORT_ORDER))
@@ -535,7 +538,7 @@ SELECT id, actual, predicted, slice, substring(text, 1, 250) || '...' AS excerpt
 )
 def error_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), txt.excerpt(F.col("text")).alias("excerpt"))
-    return met.error_slices(predictions(spark, sf_dir)).join(texts, "id")
+    return met.error_slices(predictions(spark, sf_dir).drop("id2", "cosine")).join(texts, "id")
 
 
 @query("error_counts", f"WITH {PRED} SELECT sum(CASE WHEN actual = 'T0' AND predicted <> 'T0' THEN 1 ELSE 0 END)::BIGINT AS false_positives, sum(CASE WHEN actual <> 'T0' AND predicted = 'T0' THEN 1 ELSE 0 END)::BIGINT AS false_negatives, sum(CASE WHEN actual = 'T0' THEN 1 ELSE 0 END)::BIGINT AS t0_rows FROM pred")

@@ -1,64 +1,17 @@
-"""Queries of syntax-tree features and learned classifiers (rows-only: SQL can't express them)."""
+"""Queries of learned classifiers and embeddings."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import java_tree
-from ..functions.lexer import java_tokens
 from ..functions.vectors import doubles, pair_vector
 from ..operators import models
-
-#: Methods written for this engine, by name.
-METHODS = {
-    "sum": "int sum(int[] xs) { int total = 0; for (int x : xs) { total += x; } return total; }",
-    "sum_renamed": "int add(int[] values) { int result = 0; for (int v : values) { result += v; } return result; }",
-    "sum_indexed": "int sum(int[] xs) { int t = 0; for (int i = 0; i < xs.length; i++) { t = t + xs[i]; } return t; }",
-    "max": "int max(int a, int b) { if (a > b) { return a; } return b; }",
-    "read": 'String read(Reader r) throws IOException { try { return r.line().trim(); } catch (IOException e) { throw new Failure("read", e); } finally { r.close(); } }',
-    "broken": "int broken( { return 1;",
-    "lambda": "List<String> names(List<User> us) { return us.stream().filter(u -> u.active()).map(User::name).toList(); }",
-}
-
-
-def _methods(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(METHODS.items()), "name string, code string")
-
-
-def ast_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 28 syntax-tree features of the inline methods."""
-    return _methods(spark).select("name", java_tree.tree_features(F.col("code")).alias("f")).select("name", "f.*")
-
-
-def ast_pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """58-wide syntax-tree pair vectors of neighbouring inline methods."""
-    rows = _methods(spark).withColumn("v", java_tree.tree_vector(F.col("code")))
-    a, b = rows.select(F.col("name").alias("name1"), F.col("v").alias("a")), rows.select(F.col("name").alias("name2"), F.col("v").alias("b"))
-    return a.join(b, F.expr("name1 < name2")).select("name1", "name2", pair_vector(F.col("a"), F.col("b"), distance=True).alias("features"))
-
-
-def parse_success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the inline methods that parse."""
-    rows = _methods(spark).select(java_tree.tree_features(F.col("code"))["parse_success"].alias("ok"))
-    return rows.agg(F.avg("ok").alias("parse_success_rate"), F.count(F.lit(1)).alias("n"))
-
-
-def lexer_inline_java(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised tokens of the inline methods."""
-    return _methods(spark).select("name", java_tokens(F.col("code")).alias("tokens"))
-
-
-def hybrid_pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedding and syntax-tree pair vectors of neighbouring inline methods, side by side."""
-    rows = models.embed(_methods(spark), "code", "e", models.hashed_text_model()).withColumn("v", java_tree.tree_vector(F.col("code")))
-    a = rows.select(F.col("name").alias("name1"), F.col("v").alias("v1"), doubles(F.col("e")).alias("e1"))
-    b = rows.select(F.col("name").alias("name2"), F.col("v").alias("v2"), doubles(F.col("e")).alias("e2"))
-    lexical, tree = pair_vector(F.col("e1"), F.col("e2")), pair_vector(F.col("v1"), F.col("v2"), distance=True)
-    return a.join(b, F.expr("name1 < name2")).select("name1", "name2", models.hybrid_vector(lexical, tree).alias("features"))
-
+from ..operators.tables import shared_folder
+from ..sources import readers, sinks
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from .catalog import vector_pairs
@@ -81,18 +34,55 @@ def ovr_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def function_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch embedding interface with the weightless stand-in model, on all documents."""
+    """Batch embedding interface on all documents, with a stand-in model that has no weights: letter frequencies."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return models.embed(docs, "text", "embedding", models.hashed_text_model()).select("doc_id", F.size("embedding").alias("width"), F.element_at("embedding", 1).alias("first"))
+    rows = models.embed(docs, "text", "embedding", models.letter_model())
+    return rows.select("doc_id", F.size("embedding").alias("width"), *(F.round(F.element_at("embedding", i).cast("double"), 4).alias(f"e{i}") for i in (1, 5, 20)))
+
+
+_LETTERS = ", ".join(f"(length(t) - length(replace(t, '{c}', '')))" for c in models.LETTERS)
+_LETTER_SQL = f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), v AS (SELECT doc_id, [{_LETTERS}] AS e FROM d),
+n AS (SELECT doc_id, len(e) AS width, e, sqrt(list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE) * x))) AS norm FROM v)
+SELECT doc_id, CAST(width AS INTEGER) AS width, {', '.join(f'round(CASE WHEN norm = 0 THEN 0.0 ELSE e[{i}] / norm END, 4) AS e{i}' for i in (1, 5, 20))} FROM n"""
+
+
+def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted pipeline written, read back and applied: test pairs, and how many of its predictions differ."""
+    train, test = _vectors(spark, sf_dir)
+    model = models.fit(train, kind="forest", trees=5, depth=4)
+    path = f"{shared_folder(spark)}/clonelens-io/{uuid.uuid4().hex}"
+    sinks.save_model(model, path)
+    one, two = models.predict(model, test), models.predict(readers.load_model(spark, path), test)
+    both = one.select("id1", "predicted").join(two.select("id1", F.col("predicted").alias("again")), "id1")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted") != F.col("again")).alias("different"))
+
+
+def label_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class numbers of a fitted model, through the label map document."""
+    train, _ = _vectors(spark, sf_dir)
+    path = f"{shared_folder(spark)}/clonelens-io/{uuid.uuid4().hex}.json"
+    sinks.label_map(spark, models.class_labels(models.fit(train, kind="forest", trees=1, depth=1)), path)
+    return spark.createDataFrame([(int(k), v) for k, v in readers.metrics_json(spark, path, {}).items()], "place int, clone_type string")
 
 
+def boosted_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosting with early stopping on the valid pairs: actual and predicted class of the test pairs."""
+    rows, test = _vectors(spark, sf_dir)
+    model = models.fit_boosted(rows.where("id1 % 5 <> 1"), rows.where("id1 % 5 = 1"), rounds=20, depth=3)
+    return model.predict(test).select("id1", "id2", "actual", "predicted")
+
+
+_PAIRS_SQL = "SELECT a.vec_id AS id1, CASE WHEN a.label = b.label THEN 'T1' WHEN a.label % 2 = 0 THEN 'T0' ELSE 'T4' END AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "ast_features": ast_features,
-    "ast_pair_vectors": ast_pair_vectors,
-    "parse_success_rate": parse_success_rate,
-    "lexer_inline_java": lexer_inline_java,
-    "hybrid_pair_vectors": hybrid_pair_vectors,
     "rf_multiclass": rf_multiclass,
     "ovr_gbt": ovr_gbt,
+    "boosted_early_stop": boosted_early_stop,
     "function_embedding": function_embedding,
+    "model_round_trip": model_round_trip,
+    "label_indices": label_indices,
+}
+ORACLES: dict[str, str] = {
+    "function_embedding": _LETTER_SQL,
+    "model_round_trip": f"SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM ({_PAIRS_SQL}) WHERE id1 % 5 = 0",
+    "label_indices": f"SELECT CAST(row_number() OVER (ORDER BY c) - 1 AS INTEGER) AS place, c AS clone_type FROM (SELECT DISTINCT c FROM ({_PAIRS_SQL}) WHERE id1 % 5 <> 0)",
 }

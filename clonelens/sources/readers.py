@@ -18,6 +18,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _glob(spark: SparkSession, pattern: str) -> list:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return list(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or [])
+
+
 def jdbc_clones(spark: SparkSession, url: str, table: str = "CLONES", partitions: int = 8, column: str | None = None, bounds: tuple[int, int] = (0, 1), **options: str) -> DataFrame:
     """Five text columns of the clone table; NULL becomes the text ``null``. Partitioned on a numeric column if named."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize="10000", **options)
@@ -54,13 +59,16 @@ def naive_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_files(spark: SparkSession, folders: list[str], pattern: str = "*.java") -> DataFrame:
-    """path, prompt (parent folder's parent name) and content of each file; missing folders are skipped."""
+    """path, prompt (parent folder's parent name) and content of each file; missing folders are skipped. Empty files are
+    listed on the driver, since Spark's sources give no row for them."""
     found = [f for f in folders if exists(spark, f)]
     if not found:
         return spark.createDataFrame([], "path string, prompt string, content string")
-    rows = spark.read.option("pathGlobFilter", pattern).text(found, wholetext=True)
-    path = F.col("_metadata.file_path")
-    return rows.select(path.alias("path"), F.element_at(F.split(path, "/"), -3).alias("prompt"), F.col("value").alias("content"))
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(found).select("path", "content")
+    empty = [(x.getPath().toString(), bytearray()) for f in found for x in _glob(spark, f"{f}/{pattern}") if not x.getLen()]
+    if empty:
+        rows = rows.unionByName(spark.createDataFrame(empty, "path string, content binary"))
+    return rows.select("path", F.element_at(F.split("path", "/"), -3).alias("prompt"), F.col("content").cast("string").alias("content"))
 
 
 def strict_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType = BALANCED) -> DataFrame:

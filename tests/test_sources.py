@@ -5,9 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from clonelens.operators import models, pairs
+from clonelens.operators import models, pairs, tfidf
 from clonelens.operators.tables import positions
-from clonelens.plans import ml_plans
 from clonelens.sources import readers, sinks
 from clonelens.streaming import scoring
 
@@ -94,10 +93,34 @@ def test_models_round_trip(spark, tmp_path):
         readers.load_model(spark, str(tmp_path / "absent"))
 
 
-def test_ast_features_query(spark):
-    rows = {r["name"]: r for r in ml_plans.ast_features(spark, "").collect()}
-    assert rows["broken"]["parse_success"] == 0 and rows["sum"]["n_ForStatement"] == 1 and rows["read"]["n_CatchClause"] == 1
-    assert rows["sum"]["total_nodes"] == rows["sum_renamed"]["total_nodes"]
+def test_boosting_stops_early_and_decides_by_margin(spark):
+    rows = spark.createDataFrame([([float(i % 3), float(i % 2)], f"T{i % 3}", i) for i in range(240)], "v array<double>, cls string, id long")
+    data = models.labelled(rows, F.col("v"), "cls")
+    model = models.fit_boosted(data.where("id % 4 <> 0"), data.where("id % 4 = 0"), rounds=12, depth=3)
+    assert model.labels == ["T0", "T1", "T2"] and all(len(m.trees) <= 12 for m in model.models)
+    out = model.predict(data)
+    assert out.columns == ["v", "id", "actual", "predicted"] and out.where("actual = predicted").count() == 240
+
+
+def test_sparse_pair_vectors(spark):
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "b", 1), (2, "c", 4), (3, "z", 1)], "key long, term string, n long")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "id1 long, id2 long")
+    idfs = tfidf.fit(counts, pairs.where("id1 = 1"), size=3)
+    assert [tuple(r)[:3] for r in idfs.orderBy("at").collect()] == [("a", 2, 1), ("b", 2, 2), ("c", 4, 1)]
+    got = {r["id1"]: r for r in tfidf.pair_vectors(pairs, tfidf.weights(counts, idfs), idfs, size=3).collect()}
+    assert [r["width"] for r in got.values()] == [7] * 3 and got[1]["indices"] == [0, 1, 2, 4, 6]
+    x, y = got[1]["values"][0], got[1]["values"][2]
+    assert x > 0 and y > 0 and got[1]["values"][4] == pytest.approx(got[1]["values"][3]) and got[3]["values"] == [0.0] and got[2]["indices"][-1] == 6
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from clonelens.operators import tables
+
+    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda _: "spark://somewhere:7077"))
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    monkeypatch.setattr(tables, "_checkpoint_dir", lambda _: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_folder(spark)
 
 
 def test_stream_scoring(spark, tmp_path):
