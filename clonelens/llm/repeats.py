@@ -5,24 +5,25 @@ repeated string covers is removed; matches never cross documents.
 
 Parsing. Each text is rolled over with a 16-byte hash. The trigger of a starting place s is the smallest hash in the
 ``reach`` places from s on, so it depends on the bytes of s's own string alone; the starting places that share a
-trigger form a phrase. The *context* of a phrase are bytes that all its strings have in common from the trigger on (up
-to ``depth - reach + 1``); its *entry* are all bytes its strings cover. The dictionary holds the distinct entries, and
+trigger form a phrase. The *context* of a phrase are the bytes that all its strings have in common from the trigger on
+(``depth - reach + 1``); its *entry* are all bytes its strings cover. The dictionary holds the distinct entries, and
 the parse is the sequence of entries of a document. Equal strings have equal triggers, hence equal contexts: only
 entries of one context can hold equal strings. So the suffixes of the dictionary need to be merged with the parse
 inside a context only, and only into classes of equal strings, not into an order:
 
 1. contexts are counted; those seen once cannot repeat;
 2. entries of the others are counted: an entry seen twice repeats with all its strings, without a look at them;
-3. contexts with several entries are opened: the distinct entries bring their bytes once, from one of their places, and
-   the strings of entries seen once are looked up among the dictionary suffixes of their context. Contexts with more
-   than ``group_limit`` entries are not gathered in a task; their suffixes are counted by hash, with map-side sums.
+3. contexts with several entries are opened: the distinct entries bring their bytes once, from one of their places. Of
+   each run of PIECE starting places, entries first compare what all of its strings have in common; where that is
+   equal, the dictionary suffixes themselves are, by hash. Both are counts with map-side sums: no context, however
+   large, is gathered in a task.
 
 Step 3 works on a small part of highly repetitive text, because copies share their entries. A sorted suffix array of the
 corpus is not built: it would hold a row for every byte (see the README for figures).
 
-Passages. With ``passage`` bytes as the context's size, a context seen twice is itself a string of that many bytes that
-starts elsewhere too. These strings tell of every passage of ``passage + reach + 15`` bytes that repeats, though they do
-not cover all of it.
+Passages. The first ``passage`` bytes of a context, seen twice, are a string of that many bytes that starts elsewhere
+too. These strings tell of every passage of ``passage + reach + 15`` bytes that repeats, though they do not cover all of
+it. They are what step 1 counts, if asked for; a context seen twice begins with one.
 
 Hashes: contexts, entries and strings are identified by independent 64-bit polynomial hashes of their bytes, strings
 always together with their context (128 bits). Bit tables (see ``bit_table``) only save rows.
@@ -40,7 +41,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bit_table, discard, free_names, in_table, materialise
@@ -51,16 +53,17 @@ GRAM = 16
 #: Bytes of the repeated strings that the report's further columns tell of.
 PASSAGE = 200
 SLICE = 1 << 20
-GROUP_LIMIT = 1024
+#: Starting places whose strings are first compared by their common bytes.
+PIECE = 32
 CONTEXT_SCHEMA = "context bigint, n int"
-ENTRY_SCHEMA = "context bigint, entry bigint, doc_key binary, first int, last int, trigger int"
-BYTES_SCHEMA = "context bigint, entry bigint, data binary"
+ENTRY_SCHEMA = "passage bigint, context bigint, entry bigint, doc_key binary, first int, last int, trigger int"
+BYTES_SCHEMA = "context bigint, entry bigint, trigger int, pieces array<bigint>, data binary"
 
 
 @dataclass(frozen=True)
 class Parsing:
-    """depth: bytes of a repeated string; reach: places that share a trigger at most; passage: bytes of a context, 0 for
-    all that the strings of a phrase have in common."""
+    """depth: bytes of a repeated string; reach: places that share a trigger at most; passage: bytes of a passage's string,
+    0 for none."""
 
     depth: int = DEPTH
     reach: int = REACH
@@ -68,16 +71,21 @@ class Parsing:
 
     @property
     def context(self) -> int:
-        return self.passage or self.depth - self.reach + 1
+        return self.depth - self.reach + 1
+
+    @property
+    def counted(self) -> int:
+        """Bytes from the trigger on that step 1 counts."""
+        return self.passage or self.context
 
     @property
     def least(self) -> int:
-        """Bytes from a starting place on that hold its trigger and context."""
-        return self.context + self.reach - 1
+        """Bytes from a starting place on that hold its trigger and what is counted."""
+        return self.counted + self.reach - 1
 
     def __post_init__(self):
-        if not GRAM <= self.context <= self.depth - self.reach + 1:
-            raise ValueError("a context must hold a trigger and lie in every string of its phrase")
+        if not GRAM <= self.counted <= self.context:
+            raise ValueError("a passage's string must hold a trigger and lie in every string of its phrase")
 
 
 _M = (1 << 64) - 1
@@ -115,15 +123,15 @@ def _powers() -> _Tables:
 
 @dataclass
 class Parse:
-    """Phrases of one slice: first and last starting place, trigger, context hash; ``hash(a, b)`` of any substring.
-    ``whole`` is the last starting place of a string (``last`` may lie behind it: the phrase has no string there)."""
+    """Phrases of one slice: first and last starting place, trigger, hash of what is counted; ``hash(a, b)`` of any
+    substring. ``whole`` is the last starting place of a string (``last`` may lie behind it: no string is there)."""
 
     first: np.ndarray
     last: np.ndarray
     trigger: np.ndarray
-    context: np.ndarray
+    counted: np.ndarray
     sums: np.ndarray
-    depth: int
+    how: Parsing
     whole: int
 
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,9 +147,14 @@ class Parse:
         ends = self.ends()
         with np.errstate(over="ignore"):
             place = (self.trigger - self.first).astype(np.uint64) << np.uint64(32) | (ends - self.first + 1).astype(np.uint64)
-            full = _mix(self.hash(self.first, np.minimum(ends + self.depth, len(self.sums) - 1)) + _mix(place + np.uint64(1)))
+            full = _mix(self.hash(self.first, np.minimum(ends + self.how.depth, len(self.sums) - 1)) + _mix(place + np.uint64(1)))
         return np.where(ends < self.first, np.uint64(0), full)
 
+    def context(self) -> np.ndarray:
+        """Hash of the context of each phrase; 0 where it has no string (the context may lie behind the text)."""
+        held = self.ends() >= self.first
+        return np.where(held, self.hash(self.trigger, np.where(held, self.trigger + self.how.context, self.trigger)), np.uint64(0))
+
 
 def parse_slice(data: np.ndarray, how: Parsing = Parsing()) -> Parse | None:
     """Parse the bytes of one slice; None when it is shorter than ``how.least``. Bytes behind the starting places of a
@@ -169,8 +182,8 @@ def parse_slice(data: np.ndarray, how: Parsing = Parsing()) -> Parse | None:
     for at in range(0, len(far), 4096):
         part = far[at : at + 4096]
         trigger[part] += np.argmax(rolling[last[part][:, None] + np.arange(reach)] == least[last[part]][:, None], axis=1)
-    parse = Parse(first, last, trigger, first, sums, how.depth, n - how.depth)
-    parse.context = parse.hash(trigger, trigger + how.context)
+    parse = Parse(first, last, trigger, first, sums, how, n - how.depth)
+    parse.counted = parse.hash(trigger, trigger + how.counted)
     return parse
 
 
@@ -192,7 +205,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def count_contexts(docs: DataFrame, how: Parsing) -> DataFrame:
-    """Pass 1: contexts that occur at least twice."""
+    """Pass 1: the hashes of what is counted that occur at least twice, as ``context``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -205,7 +218,7 @@ def count_contexts(docs: DataFrame, how: Parsing) -> DataFrame:
         for batch in batches:
             for value in batch.column(1):
                 for _, data in slices(value.as_py(), how):
-                    held.append(parse_slice(data, how).context)
+                    held.append(parse_slice(data, how).counted)
                     size += len(held[-1])
                 if size > 1_000_000:
                     yield sums()
@@ -218,8 +231,8 @@ def count_contexts(docs: DataFrame, how: Parsing) -> DataFrame:
 
 
 def find_entries(docs: DataFrame, table, how: Parsing) -> DataFrame:
-    """Pass 2: one row per phrase whose context may occur twice: context, entry, doc_key, first, last (places of its
-    strings; last is before first where it has none), trigger."""
+    """Pass 2: one row per phrase whose counted bytes may occur twice: their hash (passage), context, entry, doc_key, first,
+    last (places of its strings; last is before first, and context and entry are 0, where it has none), trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
@@ -229,43 +242,65 @@ def find_entries(docs: DataFrame, table, how: Parsing) -> DataFrame:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for at, data in slices(value.as_py(), how):
                     p = parse_slice(data, how)
-                    on = np.flatnonzero(in_table(bits, p.context.view(np.int64)))
+                    on = np.flatnonzero(in_table(bits, p.counted.view(np.int64)))
                     if len(on):
-                        parts.append((p.context[on], p.entry()[on], p.first[on] + at, p.ends()[on] + at, p.trigger[on] + at))
+                        parts.append((p.counted[on], p.context()[on], p.entry()[on], p.first[on] + at, p.ends()[on] + at, p.trigger[on] + at))
                         keys += [key] * len(on)
             if parts:
-                context, entry, *places = (np.concatenate(c) for c in zip(*parts))
-                columns = [_long(context), _long(entry), pa.array(keys, pa.binary()), *(pa.array(x.astype(np.int32)) for x in places)]
-                yield pa.RecordBatch.from_arrays(columns, names=["context", "entry", "doc_key", "first", "last", "trigger"])
+                passage, context, entry, *places = (np.concatenate(c) for c in zip(*parts))
+                columns = [_long(passage), _long(context), _long(entry), pa.array(keys, pa.binary()), *(pa.array(x.astype(np.int32)) for x in places)]
+                yield pa.RecordBatch.from_arrays(columns, names=["passage", "context", "entry", "doc_key", "first", "last", "trigger"])
 
     return _texts(docs).where(F.length("data") >= how.least).mapInArrow(run, ENTRY_SCHEMA)
 
 
-def bring_bytes(docs: DataFrame, chosen: DataFrame, how: Parsing) -> DataFrame:
-    """chosen(context, entry, doc_key, first, last) to context, entry and the bytes the entry covers. Texts without a
-    chosen place are left out before the shuffle, by a bit table."""
-    key = F.conv(F.substring(F.hex("doc_key"), 1, 15), 16, 10).cast("bigint")
-    wanted = chosen.select(key.alias("slot"), "doc_key").distinct()
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "slot"))
+def key_slots(spans: DataFrame) -> np.ndarray:
+    """Bits of doc_key, for ``split_texts``."""
+    return bit_table(spans.select(F.conv(F.substring(F.hex("doc_key"), 1, 15), 16, 10).cast("bigint").alias("slot")).distinct(), "slot")
+
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def split_texts(docs: DataFrame, table, inside: bool, key: str = "doc_key") -> DataFrame:
+    """The rows of docs(key, ...) whose key may be (inside) or is not (else) in a table of ``key_slots``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for batch in batches:
             # the first 15 hexadecimal digits of a key
-            slots = np.fromiter((int.from_bytes(x[:8], "big") >> 4 for x in batch.column(0).to_pylist()), dtype=np.int64, count=batch.num_rows)
-            yield batch.filter(pa.array(in_table(bits, slots)))
+            slots = np.fromiter((int.from_bytes(x[:8], "big") >> 4 for x in batch.column(batch.schema.get_field_index(key)).to_pylist()), dtype=np.int64, count=batch.num_rows)
+            yield batch.filter(pa.array(in_table(bits, slots) == inside))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def bring_bytes(docs: DataFrame, chosen: DataFrame, how: Parsing) -> DataFrame:
+    """chosen(context, entry, doc_key, first, last, trigger) to context, entry, the trigger's place in the entry, hashes of
+    the common bytes of its pieces (null where a piece has no string), and the bytes the entry covers. Texts without a
+    chosen place are left out before the shuffle, by a bit table."""
+    table = docs.sparkSession.sparkContext.broadcast(key_slots(chosen))
+
+    common = how.depth - PIECE + 1
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for value, places in zip(batch.column(0), batch.column(1).to_pylist()):
-                data = value.as_buffer()
-                rows += [(x["context"], x["entry"], data[x["first"] : x["last"] + how.depth].to_pybytes()) for x in places]
+                text = value.as_buffer()
+                for x in places:
+                    data = text[x["first"] : x["last"] + how.depth].to_pybytes()
+                    trigger = x["trigger"] - x["first"]
+                    low, high = trigger - (x["last"] - x["first"]), trigger  # how far before the trigger its strings start
+                    pieces: list[int | None] = [None] * -(-how.reach // PIECE)
+                    for k in range(low // PIECE, high // PIECE + 1):
+                        at = trigger - k * PIECE
+                        pieces[k] = xxhash.xxh3_64_intdigest(data[max(0, at) : at + common], seed=k + 1) - (1 << 63)
+                    rows.append((x["context"], x["entry"], trigger, pieces, data))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["context", "entry", "data"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["context", "entry", "trigger", "pieces", "data"])
 
-    texts = _texts(docs).where(F.length("data") >= how.depth).mapInArrow(some, "doc_key binary, data binary").dropDuplicates(["doc_key"])
-    places = chosen.groupBy("doc_key").agg(F.collect_list(F.struct("context", "entry", "first", "last")).alias("places"))
+    texts = _texts(docs).where(F.length("data") >= how.depth)
+    texts = split_texts(texts, table, True).dropDuplicates(["doc_key"])
+    places = chosen.groupBy("doc_key").agg(F.collect_list(F.struct("context", "entry", "first", "last", "trigger")).alias("places"))
     return texts.join(places, "doc_key").select("data", "places").mapInArrow(cut_out, BYTES_SCHEMA)
 
 
@@ -278,97 +313,66 @@ def suffix_hashes(data: bytes, depth: int) -> np.ndarray:
         return (sums[depth:] - sums[:-depth]) * t.inverses[: len(array) - depth + 1]
 
 
-def open_contexts(entries: DataFrame, depth: int) -> DataFrame:
-    """entries(context, entry, data) of bounded contexts to context, entry, places: the starting places (from the
-    entry's first) of strings that another entry of the context, or another place of the entry, holds too.
-
-    A task reads its contexts in order and works on whole contexts, about 20,000 entries at a time."""
-
-    def repeated(rows: list[tuple]) -> pa.RecordBatch:
-        hashes = [suffix_hashes(r[2], depth) for r in rows]
-        sizes = np.array([len(h) for h in hashes])
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        context = np.array([r[0] for r in rows], dtype=np.int64)[owner]
-        suffix = np.concatenate(hashes)
-        order = np.lexsort((suffix, context))  # the suffixes of each context in one order: equal ones are neighbours
-        same = (suffix[order][1:] == suffix[order][:-1]) & (context[order][1:] == context[order][:-1])
-        twice = np.zeros(len(order), dtype=bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        ends = np.cumsum(sizes)
-        places = [np.flatnonzero(twice[e - s : e]).astype(np.int32).tolist() for s, e in zip(sizes, ends)]
-        kept = [i for i, p in enumerate(places) if p]
-        columns = [pa.array([rows[i][0] for i in kept], pa.int64()), pa.array([rows[i][1] for i in kept], pa.int64()), pa.array([places[i] for i in kept], pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(columns, names=["context", "entry", "places"])
+def open_contexts(entries: DataFrame, how: Parsing) -> DataFrame:
+    """entries(context, entry, trigger, pieces, data) to context, entry, places: the starting places (from the entry's
+    first) of strings that another entry of the context holds too. Equal strings lie equally far from their trigger,
+    hence in the same piece, and no two places of one entry hold equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(held) >= 5_000 and row[0] != held[-1][0]:
-                    yield repeated(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield repeated(held)
-
-    near = entries.select("context", "entry", "data").repartition("context").sortWithinPartitions("context")
-    return near.mapInArrow(run, "context bigint, entry bigint, places array<int>")
-
-
-def open_large_contexts(entries: DataFrame, depth: int) -> DataFrame:
-    """As ``open_contexts`` for contexts of any size: suffixes are counted by hash, with sums before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for context, entry, data in zip(*(c.to_pylist() for c in batch.columns)):
-                h = suffix_hashes(data, depth)
-                n = len(h)
-                columns = [pa.array([context] * n, pa.int64()), pa.array([entry] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), _long(h)]
-                yield pa.RecordBatch.from_arrays(columns, names=["context", "entry", "place", "suffix"])
-
-    suffixes = entries.select("context", "entry", "data").mapInArrow(run, "context bigint, entry bigint, place int, suffix bigint")
-    own = F.xxhash64("entry", "place")
-    twice = suffixes.groupBy("context", "suffix").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("context", "suffix")
-    return suffixes.join(twice, ["context", "suffix"]).groupBy("context", "entry").agg(F.collect_set("place").alias("places"))
+            parts = []
+            for context, entry, trigger, data, pieces in zip(*(c.to_pylist() for c in batch.columns)):
+                h = suffix_hashes(data, how.depth)
+                at = np.flatnonzero(np.isin((trigger - np.arange(len(h))) // PIECE, pieces))
+                parts.append((np.full(len(at), context), np.full(len(at), entry), at.astype(np.int32), h[at]))
+            if parts:
+                context, entry, place, suffix = (np.concatenate(c) for c in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(entry), pa.array(place), _long(suffix)], names=["context", "entry", "place", "suffix"])
+
+    keys = entries.select("context", "entry", F.posexplode("pieces").alias("piece", "key")).where("key is not null")
+    shared = keys.groupBy("key").agg(F.min("entry").alias("low"), F.max("entry").alias("high")).where("low <> high").select("key")
+    wanted = keys.join(shared, "key", "left_semi").groupBy("context", "entry").agg(F.collect_set("piece").alias("wanted"))
+    opened = entries.join(wanted, ["context", "entry"]).select("context", "entry", "trigger", "data", "wanted")
+    suffixes = materialise(opened.mapInArrow(run, "context bigint, entry bigint, place int, suffix bigint"), "suffixes")
+    twice = suffixes.groupBy("context", "suffix").agg(F.min("entry").alias("low"), F.max("entry").alias("high")).where("low <> high").select("context", "suffix")
+    out = materialise(suffixes.join(twice, ["context", "suffix"]).groupBy("context", "entry").agg(F.collect_set("place").alias("places")), "places")
+    discard(suffixes)
+    return out
 
 
-def repeated_spans(docs: DataFrame, how: Parsing = Parsing(), group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """``docs(text)`` to doc_key, the sorted byte spans [first, last) that repeated strings cover, and the sorted
-    ``passages`` (empty where ``how.passage`` is 0): spans of the contexts that occur again.
+def repeated_spans(docs: DataFrame, how: Parsing = Parsing()) -> tuple[DataFrame, DataFrame]:
+    """``docs(text)`` to two stored tables: doc_key and the sorted byte ``spans`` [first, last) that repeated strings
+    cover; doc_key and the sorted ``passages``, spans of the passages' strings (no rows where ``how.passage`` is 0).
 
     doc_key is the MD5 of the text's bytes; texts without a span have no row.
     """
     depth, sc = how.depth, docs.sparkSession.sparkContext
     contexts = materialise(count_contexts(docs, how), "repeated-contexts")
     phrases = materialise(find_entries(docs, sc.broadcast(bit_table(contexts, "context")), how), "phrases")
-    discard(contexts)
-    place = F.struct("doc_key", "first", "last")
-    counted = materialise(phrases.groupBy("context", "entry").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")), "entries")
-    entries = F.count_if(F.col("entry") != 0)
-    groups = materialise(counted.groupBy("context").agg(entries.cast("int").alias("m"), F.sum("n").alias("seen")).where("seen > 1"), "contexts")
-    several = counted.where("entry <> 0").join(groups.where("m > 1"), "context")
-    found = materialise(bring_bytes(docs, several.select("context", "entry", "at.*"), how).join(groups.select("context", "m"), "context"), "entry-bytes")
-    places = open_contexts(found.where(F.col("m") <= group_limit), depth).union(open_large_contexts(found.where(F.col("m") > group_limit), depth))
-    # entries seen once repeat at the places found; entries seen more often repeat as a whole
+    place = F.struct("doc_key", "first", "last", "trigger")
+    counted = materialise(phrases.where("entry <> 0").groupBy("context", "entry").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")), "entries")
+    # entries seen twice repeat as a whole: a context is opened for the others
+    groups = counted.groupBy("context").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("once")).where("m > 1 AND once > 0")
+    several = materialise(counted.join(groups.select("context"), "context").select("context", "entry", "at.*"), "several")
+    found = materialise(bring_bytes(docs, several, how), "entry-bytes")
+    places = open_contexts(found, how)
     single = counted.where("n = 1").join(places, ["context", "entry"]).select("context", "entry", "places")
-    told = counted.where("n > 1 AND entry <> 0").select("context", "entry", F.lit(None).cast("array<int>").alias("places")).union(single)
-    told = told.withColumn("repeats", F.lit(True))
-    if how.passage:  # every phrase of a repeated context, whether its strings repeat or not
-        told = counted.select("context", "entry").join(groups.select("context"), "context").join(told, ["context", "entry"], "left")
+    told = counted.where("n > 1").select("context", "entry", F.lit(None).cast("array<int>").alias("places")).union(single)
     told = phrases.join(told, ["context", "entry"])
     span = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
     spans = F.when(F.col("places").isNull(), F.array(span(F.col("first"), F.col("last") + depth))).otherwise(
         F.transform("places", lambda p: span(F.col("first") + p, F.col("first") + p + depth))
     )
-    none = F.array().cast("array<struct<first:int,last:int>>")
-    context = F.array(span(F.col("trigger"), F.col("trigger") + how.context)) if how.passage else none
-    parts = told.select("doc_key", F.when(F.col("repeats"), _runs(spans, depth)).otherwise(none).alias("spans"), context.alias("passages"))
-    # rows of equal texts have equal parts
-    merged = parts.groupBy("doc_key").agg(*(F.sort_array(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("spans", "passages")))
-    out = materialise(merged, "spans")
-    discard(phrases, counted, groups, found)
-    return out
+    out = materialise(_by_text(told.select("doc_key", _runs(spans, depth).alias("spans")), "spans"), "spans")
+    seen = phrases.join(contexts.select(F.col("context").alias("passage")), "passage", "left_semi") if how.passage else phrases.limit(0)
+    passages = materialise(_by_text(seen.select("doc_key", F.array(span(F.col("trigger"), F.col("trigger") + how.passage)).alias("passages")), "passages"), "passages")
+    discard(contexts, phrases, counted, several, found, places)
+    return out, passages
+
+
+def _by_text(parts: DataFrame, name: str) -> DataFrame:
+    """doc_key and all parts of a text, sorted; rows of equal texts have equal parts."""
+    return parts.groupBy("doc_key").agg(F.sort_array(F.flatten(F.collect_set(name))).alias(name))
 
 
 def _runs(spans, depth: int):
@@ -393,46 +397,60 @@ def cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, list[tuple[int, i
     return b"".join(kept), [(a, b) for a, b in runs]
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, str, str]:
-    """docs with the spans and passages of their text (null if none), and the names of these two columns."""
-    key, own, cuts, passages = free_names(docs, "repeat_key", "span_key", "repeat_spans", "repeat_passages")
-    found = spans.select(F.col("doc_key").alias(own), F.col("spans").alias(cuts), F.col("passages").alias(passages))
-    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    return docs.withColumn(key, digest).join(found, F.col(key) == F.col(own), "left").drop(key, own), cuts, passages
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def repeat_report(docs: DataFrame, depth: int = DEPTH, passage: int = PASSAGE) -> DataFrame:
     """The digest columns of the contract: doc_id, n_bytes, n_removed, n_spans, kept_sha256; then n_passages (maximal runs
-    of strings of ``passage`` bytes, starting at triggers, that start elsewhere too) and n_passage_bytes in them."""
+    of strings of ``passage`` bytes, starting at triggers, that start elsewhere too) and n_passage_bytes in them.
+
+    Only texts that lose bytes are shuffled; of the others, the digest is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, spans, passages in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for text, spans in zip(batch.column(2), batch.column(3).to_pylist()):
                 data = (text.as_py() or "").encode()
                 kept, runs = cut(data, spans)
-                _, again = cut(b"", passages)
-                rows.append((doc_id, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), len(again), sum(b - a for a, b in again)))
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"]
-            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names=names)
+                rows.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, [pa.int64()] * 3 + [pa.string()])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "doc_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    told, cuts, passages = with_spans(docs, repeated_spans(docs, Parsing(depth, passage=passage)))
-    kind = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, n_passage_bytes bigint"
-    return told.select("doc_id", "text", cuts, passages).mapInArrow(run, kind)
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [cut(b"", own)[1] for own in batch.column(6).to_pylist()]
+            columns = [pa.array([len(x) for x in found], pa.int64()), pa.array([sum(b - a for a, b in x) for x in found], pa.int64())]
+            names = [n for n in batch.schema.names if n not in ("doc_key", "passages")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *columns], names=[*names, "n_passages", "n_passage_bytes"])
+
+    docs = docs.select(F.col("doc_id").cast("bigint"), _digest(F.col("text")).alias("doc_key"), "text")
+    spans, passages = repeated_spans(docs, Parsing(depth, passage=passage))
+    table = docs.sparkSession.sparkContext.broadcast(key_slots(spans))
+    cuts = split_texts(docs, table, True).join(spans, "doc_key", "left").select("doc_id", "doc_key", "text", "spans")
+    rest = split_texts(docs, table, False).select("doc_id", "doc_key", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    kind = "doc_id bigint, doc_key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    told = cuts.mapInArrow(run, kind).union(rest.mapInArrow(run, kind)).join(passages, "doc_key", "left")
+    names = ["doc_id", "doc_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passages"]
+    return told.select(*names).mapInArrow(total, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, n_passage_bytes bigint")
 
 
 def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """docs with all repeated bytes taken out of ``text``; characters cut in part go as a whole."""
-    told, cuts, passages = with_spans(docs, repeated_spans(docs.select("text"), Parsing(depth)))
+    """docs with all repeated bytes taken out of ``text``; characters cut in part go as a whole. Only texts that lose bytes
+    are shuffled."""
+    key, own, cuts = free_names(docs, "repeat_key", "span_key", "repeat_spans")
+    spans, _ = repeated_spans(docs.select("text"), Parsing(depth))
+    table = docs.sparkSession.sparkContext.broadcast(key_slots(spans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            spans = batch.column(batch.schema.get_field_index(cuts)).to_pylist()
-            texts = [t if t is None or not s else cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column(at).to_pylist(), spans)]
+            own = batch.column(batch.schema.get_field_index(cuts)).to_pylist()
+            texts = [t if t is None or not s else cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column(at).to_pylist(), own)]
             names = [n for n in batch.schema.names if n != cuts]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names], names=names)
 
-    return told.drop(passages).mapInArrow(run, docs.schema)
+    keyed = docs.withColumn(key, _digest(F.col("text")))
+    found = spans.select(F.col("doc_key").alias(own), F.col("spans").alias(cuts))
+    told = split_texts(keyed, table, True, key).join(found, F.col(key) == F.col(own), "left").drop(key, own)
+    return told.mapInArrow(run, docs.schema).union(split_texts(keyed, table, False, key).drop(key))

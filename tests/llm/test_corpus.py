@@ -146,12 +146,9 @@ def repeat_texts(rng):
     return texts + [t for t in EDGE if t is None or len(t) < 1000]
 
 
-@pytest.mark.parametrize("limit", [1024, 1])
 @pytest.mark.parametrize("passage", [200, 0])
-def test_repeats_against_brute_force(spark, monkeypatch, limit, passage):
+def test_repeats_against_brute_force(spark, passage):
     texts = repeat_texts(random.Random(12))
-    plain = repeats.repeated_spans
-    monkeypatch.setattr(repeats, "repeated_spans", lambda d, how: plain(d, how, group_limit=limit))
     rows = docs(spark, texts, True).withColumns({"repeat_key": F.lit(1), "repeat_spans": F.lit("clash"), "_span_key": F.lit(2)})
     got = {r["doc_id"]: tuple(r)[1:] for r in repeats.repeat_report(rows, passage=passage).collect()}
     assert [got[i][:4] for i in range(len(texts))] == plain_repeats(texts, 400)
@@ -177,7 +174,7 @@ def test_slices_give_the_parse_of_the_whole(monkeypatch):
         if whole is None:
             assert not parts
             continue
-        assert (np.concatenate([np.repeat(p.context, p.last - p.first + 1) for p in parts]) == np.repeat(whole.context, whole.last - whole.first + 1)).all()
+        assert (np.concatenate([np.repeat(p.counted, p.last - p.first + 1) for p in parts]) == np.repeat(whole.counted, whole.last - whole.first + 1)).all()
         size = lambda p: int(np.maximum(p.ends() - p.first + 1, 0).sum())
         assert sum(map(size, parts)) == size(whole) == max(0, len(data) - 399)
 
@@ -224,7 +221,7 @@ def test_spans_are_what_the_suffix_array_says(spark):
     for (a, p), (b, q) in zip(order, order[1:]):  # neighbours in corpus order with a common prefix of depth
         if len(data[a]) - p >= depth and data[a][p : p + depth] == data[b][q : q + depth]:
             on[a][p : p + depth] = on[b][q : q + depth] = True
-    got = {bytes(r["doc_key"]): r["spans"] for r in repeats.repeated_spans(docs(spark, texts), repeats.Parsing(depth, 32)).collect()}
+    got = {bytes(r["doc_key"]): r["spans"] for r in repeats.repeated_spans(docs(spark, texts), repeats.Parsing(depth, 32))[0].collect()}
     for t, mask in zip(data, on):
         kept, spans = repeats.cut(t, got.get(hashlib.md5(t).digest()))
         assert (len(t) - len(kept), len(spans)) == (int(mask.sum()), runs(mask))
