@@ -3,7 +3,8 @@
 The page is parsed into a light DOM. Boilerplate elements are cut first (navigation, headers, footers, asides,
 forms, scripts, styles, and blocks whose role, class or id names a menu, advert, notice, sidebar or comment list).
 On what is left, every node's composite density is the characters per tag adjusted by its share of link text; a
-node's density sum is the sum of its children's densities. The subtree of largest density sum gives the threshold,
+node's density sum is the sum of its children's densities (inline children, such as a bold phrase, are part of the
+node's own text and not of its structure). The subtree of largest density sum gives the threshold,
 the smallest density on its path up to the body. The result is the subtree and every other subtree at or above the
 threshold; one inside an ``article`` or ``main`` element is extended to the whole (outermost) element. Where the body
 itself has the largest density sum, it is the result.
@@ -19,6 +20,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,11 +65,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "link_chars", "tags", "link_tags", "density", "density_sum", "inside")
+    __slots__ = ("tag", "parent", "children", "chars", "link_chars", "tags", "link_tags", "density", "density_sum", "outer")
 
     def __init__(self, tag: str, parent: "Node | None"):
         self.tag, self.parent, self.children = tag, parent, []
-        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        #: the outermost article or main around the node, itself included
+        self.outer = (parent.outer if parent is not None else None) or (self if tag in ("article", "main") else None)
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.density_sum = 0.0
 
@@ -95,42 +99,109 @@ def is_boilerplate(tag: str, attributes: str, inside: bool = False) -> bool:
     return False
 
 
+class Path:
+    """The open elements, outermost first, with the places of each tag and of the blocks among them, so that no tag needs
+    a walk over elements that stay open."""
+
+    def __init__(self):
+        self.open = [Node("#root", None)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    @property
+    def now(self) -> Node:
+        return self.open[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.open))
+        self.open.append(node)
+
+    def close(self, at: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.open) > at:
+            node = self.open.pop()
+            self.places[node.tag].pop()
+            if node.tag not in INLINE:
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of a tag; 0 (the root's) if there is none."""
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    def end(self, tag: str) -> None:
+        """An end tag: closes its element; that of an inline element does not reach past a block; others are ignored."""
+        at = self.last(tag)
+        if at and (tag not in INLINE or at > self.blocks[-1]):
+            self.close(at)
+
+    def begin(self, tag: str) -> None:
+        """What a start tag closes by itself: a paragraph before a block, the item, cell or row before it in its list or
+        table (a row also closes the cells and rows that hold it)."""
+        if tag in CLOSES_P:
+            if self.open[self.blocks[-1]].tag == "p":
+                self.close(self.blocks[-1])
+        elif tag in SAME_CLOSES:
+            scope = max((self.last(x) for x in SCOPES.get(tag, ())), default=0)
+            same = [x for x in SAME_CLOSES[tag] if self.last(x) > scope]
+            if same and tag == "tr":
+                self.close(min(self.places[x][bisect(self.places[x], scope)] for x in same))
+            elif same:
+                self.close(max(map(self.last, same)))
+
+
+class Cut:
+    """Open elements inside one that is left out."""
+
+    def __init__(self):
+        self.open: list[str] = []
+        self.count: Counter[str] = Counter()
+
+    def push(self, tag: str) -> None:
+        self.open.append(tag)
+        self.count[tag] += 1
+
+    def pop(self) -> str:
+        tag = self.open.pop()
+        self.count[tag] -= 1
+        return tag
+
+    def end(self, tag: str) -> None:
+        if self.count[tag]:
+            while self.pop() != tag:
+                pass
+
+    def clear(self) -> None:
+        self.open.clear()
+        self.count.clear()
+
+
 def parse(source: str) -> Node:
     """Light DOM: text leaves are strings, boilerplate is left out, the root's only fixed child is none."""
-    root = Node("#root", None)
-    now, at, cut_depth = root, 0, 0
-    open_cut: list[str] = []  # open elements inside a cut one
+    path, cut, at = Path(), Cut(), 0
+    root = path.now
     for m in TOKEN.finditer(source):
         if m.start() < at:
             continue
-        if m.start() > at and not cut_depth:
-            now.children.append(html.unescape(source[at : m.start()]))
+        if m.start() > at and not cut.open:
+            path.now.children.append(html.unescape(source[at : m.start()]))
         at = m.end()
         tag = m[2]
         if tag is None:
-            if m[0].startswith("<![CDATA[") and not cut_depth:
-                now.children.append(m[0][9:].removesuffix("]]>"))
+            if m[0].startswith("<![CDATA[") and not cut.open:
+                path.now.children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if m[1]:
-            if cut_depth:
-                if tag in open_cut:
-                    while open_cut.pop() != tag:
-                        pass
-                    cut_depth = len(open_cut)
-                    continue
-                if tag not in ("body", "html", "article", "main"):
-                    continue
-                open_cut.clear()  # an unclosed cut element ends with the article or page around it
-                cut_depth = 0
-            node = now
-            while node is not root and node.tag != tag:
-                if tag in INLINE and node.tag not in INLINE:
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                now = node.parent
+            if not cut.open:
+                path.end(tag)
+            elif cut.count[tag]:
+                cut.end(tag)
+            elif tag in ("body", "html", "article", "main"):
+                cut.clear()  # an unclosed cut element ends with the article or page around it
+                path.end(tag)
             continue
         attributes = m[3]
         closed = attributes.endswith("/") and tag not in RAW
@@ -138,46 +209,30 @@ def parse(source: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
-        if cut_depth:
-            if tag in ("article", "main") and not any(x in ("article", "main") for x in open_cut) and open_cut[0] in ("p", "li", "input", "option", "label"):
-                open_cut.clear()
-                cut_depth = 0
-            elif tag not in VOID and not closed:
-                if tag in ("p", "li", "option", "dt", "dd") and open_cut and open_cut[-1] == tag and len(open_cut) > 1:
-                    open_cut.pop()
-                open_cut.append(tag)
-                cut_depth = len(open_cut)
-                continue
+        if cut.open:
+            if tag in ("article", "main") and not cut.count["article"] and not cut.count["main"] and cut.open[0] in ("p", "li", "input", "option", "label"):
+                cut.clear()
             else:
+                if tag not in VOID and not closed:
+                    if tag in ("p", "li", "option", "dt", "dd") and cut.open[-1] == tag and len(cut.open) > 1:
+                        cut.pop()
+                    cut.push(tag)
                 continue
-        if tag in CLOSES_P:
-            node = now
-            while node is not root and (node.tag in INLINE):
-                node = node.parent
-            if node.tag == "p":
-                now = node.parent
-        elif tag in SAME_CLOSES:
-            node = now
-            while node is not root and node.tag not in SCOPES.get(tag, ()):
-                if node.tag in SAME_CLOSES[tag]:
-                    now = node.parent
-                    if tag not in ("tr",):
-                        break
-                node = node.parent
-        if is_boilerplate(tag, attributes, now.inside):
+        path.begin(tag)
+        now = path.now
+        if is_boilerplate(tag, attributes, now.outer is not None):
             if tag not in VOID and not closed:
-                open_cut = [tag]
-                cut_depth = 1
+                cut.push(tag)
             else:
                 now.children.append(Node(tag, now))
             continue
         child = Node(tag, now)
         now.children.append(child)
         if tag not in VOID and not closed:
-            now = child
-    if at < len(source) and not cut_depth:
+            path.push(child)
+    if at < len(source) and not cut.open:
         tail = source[at:]
-        now.children.append(html.unescape(tail.split("<")[0] if re.match(r"[^<]*<[a-zA-Z/!]", tail) else tail))
+        path.now.children.append(html.unescape(tail.split("<")[0] if re.match(r"[^<]*<[a-zA-Z/!]", tail) else tail))
     return root
 
 
@@ -209,7 +264,7 @@ def measure(root: Node) -> list[Node]:
         base = math.log(c / max(1, c - node.link_chars) * lc + page_ratio * c + math.e)
         node.density = max(0.0, c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(max(base, 1.0001))) if base > 1 else c / t
     for node in order:
-        node.density_sum = sum(x.density for x in node.children if isinstance(x, Node)) or node.density
+        node.density_sum = sum(x.density for x in node.children if isinstance(x, Node) and x.tag not in INLINE)
     return order
 
 
@@ -235,11 +290,7 @@ def select(root: Node) -> list[Node]:
     while stack:
         node = stack.pop()
         if node is best or (node.density >= threshold and id(node) not in on_path and node.chars):
-            top, up = node, node.parent
-            while node.inside and up is not None:  # the outermost article or main around it
-                if up.tag in ("article", "main"):
-                    top = up
-                up = up.parent
+            top = node.outer or node
             if not found or found[-1] is not top:
                 found.append(top)
         else:

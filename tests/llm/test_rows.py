@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -163,11 +165,76 @@ def test_every_article_above_the_threshold_is_kept(frame):
     assert html_text.main_text(page) == " ".join(f"Part {i} {t.strip()}" for i, t in enumerate(stories))
 
 
+def plain_select(root):
+    """The selection by definition: every density from its own subtree, every subtree tried."""
+    below = lambda n: [n, *(x for c in n.children if isinstance(c, html_text.Node) for x in below(c))]
+    chars = lambda n: sum(chars(c) if isinstance(c, html_text.Node) else len(" ".join(c.split())) for c in n.children)
+    link_chars = lambda n: chars(n) if n.tag == "a" else sum(link_chars(c) for c in n.children if isinstance(c, html_text.Node))
+    link_tags = lambda n: len(below(n)) - 1 if n.tag == "a" else sum((c.tag == "a") + link_tags(c) for c in n.children if isinstance(c, html_text.Node))
+    nodes = below(root)
+    body = next((n for n in nodes if n.tag == "body"), root)
+
+    def density(n):
+        c, t, lc, lt = chars(n), max(1, len(below(n)) - 1), max(1, link_chars(n)), max(1, link_tags(n))
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - link_chars(n)) * lc + link_chars(body) / max(1, chars(body)) * c + math.e)
+        return max(0.0, c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(max(base, 1.0001))) if base > 1 else c / t
+
+    total = {id(n): sum(density(c) for c in n.children if isinstance(c, html_text.Node) and c.tag not in html_text.INLINE) for n in nodes}
+    best = next(n for n in nodes if total[id(n)] == max(total.values()))
+    if not chars(best):
+        return [root] if chars(root) else []
+    if best in (root, body) or best.tag == "html":
+        return [best]
+    path = [best]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(map(density, path))
+    chosen = [n for n in below(body) if n is best or (density(n) >= threshold and chars(n) and n not in path)]
+    inside = {id(x) for n in chosen for x in below(n)[1:]}
+    return [n for n in chosen if id(n) not in inside]
+
+
+def test_selection_against_definition():
+    rng = random.Random(31)
+
+    def element(depth):
+        text = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.choice([0, 0, 1, 3, 9, 25])))
+        tag = rng.choice(["div", "div", "section", "p", "a", "b", "ul"])
+        return f"<{tag}>{text()}" + "".join(element(depth - 1) + text() for _ in range(rng.randint(0, 3) if depth else 0)) + f"</{tag}>"
+
+    several = 0
+    for _ in range(300):
+        root = html_text.parse("<body>" + "".join(element(rng.randint(1, 3)) for _ in range(rng.randint(1, 4))) + "</body>")
+        got = html_text.select(root)
+        assert list(map(id, got)) == list(map(id, plain_select(root)))
+        several += len(got) > 1
+    assert several > 20
+
+
+STORY = "<div class='ad'>Buy</div><div>{0}<h1>Title of it</h1><p><b>First long paragraph of the story, with words enough.</b><br><p>Second.</p><p>Third one, a bit longer again.</p>{1}</div><footer>Imprint</footer>"
+
+
+def test_pages_without_semantic_tags():
+    want = "Title of it First long paragraph of the story, with words enough. Second. Third one, a bit longer again."
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(12)) + "</ul>"
+    for before, after in (("", ""), ("<article>", "</article>"), ("<section>", "</section>"), ("<main><div>", "</div></main>")):
+        assert html_text.main_text(f"<body>{menu}{STORY.format(before, after)}</body>") == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "</span>" * 100_000, "<table><tr><td>" + "<b>" * 50_000 + "<td>x" * 50_000, "<div>" * 100_000 + "</i>" * 100_000, "<nav>" + "<div>" * 100_000 + "</span>" * 100_000])
+def test_stray_tags_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 20
+
+
 def test_html_query_and_deep_nesting(spark):
     deep = "<div>" * 30_000 + "<p>deep</p>"
-    pages = spark.createDataFrame([(1, "u", deep), (2, None, None), (2, None, None)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "u", deep), (2, None, None), (2, None, None), (None, "u", "<p>x y</p>")], "page_id long, url string, html string")
     got = html_text.extract_text(pages.withColumn("text", F.lit("clash"))).collect()
-    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == [(1, "deep", 4), (2, "", 0), (2, "", 0)]
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "x y", 3), (1, "deep", 4), (2, "", 0), (2, "", 0)]
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
@@ -420,6 +487,27 @@ def test_packing_is_whole_and_gapless(spark):
     assert packing.pack_documents(null_ids).count() == 2
 
 
+# ---------------------------------------------------------------- null ids, repeated rows
+
+
+@pytest.mark.parametrize("name", ["toxicity", "license", "quality", "leaks", "urls"])
+def test_null_ids_and_repeated_rows_are_rows_each(spark, name):
+    text = "Released under the MIT License, all rights reserved, with ten or more words in it, you see"
+    rows = spark.createDataFrame([(None, text, "en"), (None, text, "en"), (7, text, None), (7, text, None), (7, "another one", "en"), (None, None, None)], "doc_id long, text string, lang string")
+    rows = rows.withColumns({"host": F.lit("clash"), "text_hash": F.lit(1), "f_id": F.lit(2), "url": F.lit("http://m.a.net/x"), "page_id": F.col("doc_id")})
+    run = {
+        "toxicity": lambda: toxicity.toxicity_report(rows, spark.createDataFrame([(7, 1), (None, 0)], "doc_id long, toxic int")),
+        "license": lambda: license_scan.license_report(rows),
+        "quality": lambda: quality.quality_report(rows),
+        "leaks": lambda: dec.leak_report(rows, spark.createDataFrame([(1, "with ten or more words in it"), (None, "another")], "item_id long, text string")).drop("spans"),
+        "urls": lambda: url_filter.judge_urls(rows, url_filter.RULES, url_filter.mirror_hosts(rows)),
+    }[name]
+    got = [tuple(r) for r in run().collect()]
+    assert len(got) == 6 and sum(r[0] is None for r in got) == 3
+    if name not in ("toxicity", "urls"):  # equal rows get equal results
+        assert len(set(got)) == 4 and max(got.count(r) for r in got) == 2
+
+
 # ---------------------------------------------------------------- decontamination
 
 
