@@ -1,12 +1,13 @@
 """License scan: exact set-similarity join of text blocks with license templates, in built-in functions only.
 
 Blocks are the lines of a text and, so that a line break inside a notice hides nothing, for every template all runs of
-consecutive words of the text that are 1 / threshold times as long as the template. A block matches a template when it holds at least ``threshold`` of the template's
-distinct words. Template words are ordered by their frequency over all blocks of the corpus, rarest first. A
-matching block must hold a word of the template's prefix (its rarest |T| - need + 1 words), so only blocks with a
-prefix word are joined; length and position filters cut the rest before the exact overlap is computed. Runs are looked
-for in overlapping pieces of the text, which pass the same filters first. Only the
-templates (a fixed list) are broadcast, and only their words' frequencies are collected.
+consecutive words of the text that are 1 / threshold times as long as the template. A block matches a template when it
+holds at least ``threshold`` of the template's distinct words. Template words are ordered by the number of texts that
+hold them, rarest first. A matching block must hold a word of the template's prefix (its rarest |T| - need + 1 words), so
+only blocks with a prefix word are joined; length and position filters cut the rest before the exact overlap is computed.
+A block holds no word that its text lacks, so the same filters first decide which texts are cut into blocks at all; runs
+are looked for in overlapping pieces of these. Only the templates (a fixed list) are broadcast, and only their words'
+frequencies are collected.
 
 Defined cases: null and empty texts have no words, no labels and score 0; blocks without words match nothing;
 repeated rows get the same labels each; a null doc_id is kept; an empty table gives no rows; other columns are
@@ -17,10 +18,13 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The phrases of the contract.
@@ -87,28 +91,46 @@ def phrase_places(words: Column, phrase: str) -> tuple[Column, Column, Column]:
     return F.when(there, count).otherwise(F.lit(0).cast("bigint")), F.when(there, first.cast("bigint")), F.when(there, last.cast("bigint"))
 
 
-def block_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """One row per line with a template word: doc_id, text_hash, and its template words in vocabulary order."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.split("text", "\n")).alias("line"))
-    own = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(normalised(F.col("line")), " "))
-    return lines.select("doc_id", "text_hash", own.alias("held")).where(F.size("held") > 0)
+def held_words(words: Column, vocabulary: list[str]) -> Column:
+    """Template words of normalised words, in vocabulary order."""
+    return F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(words, " "))
+
+
+def vocabulary_of(templates: list[tuple[str, str]]) -> list[str]:
+    return sorted({w for _, t in templates for w in template_words(t)})
+
+
+def needed_words(text: str, threshold: float) -> int:
+    return math.ceil(threshold * len(template_words(text)) - 1e-9)
+
+
+def frequency_order(held: DataFrame, templates: list[tuple[str, str]]) -> list[str]:
+    """All template words, rarest over the texts' ``held`` words first (ties by word); one row per word is collected."""
+    counts = {r["word"]: r["n"] for r in held.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return sorted(vocabulary_of(templates), key=lambda w: (counts.get(w, 0), w))
+
 
+def likely_texts(docs: DataFrame, order: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """The texts that hold enough words of a template: doc_id, text_hash, text, and their words in order."""
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", normalised(F.col("text")).alias("words"))
+    words = words.withColumn("held", held_words(F.col("words"), order)).where(F.size("held") >= min(needed_words(t, threshold) for _, t in templates))
+    enough = [F.size(F.array_intersect("held", F.array(*map(F.lit, template_words(t))))) >= needed_words(t, threshold) for _, t in templates]
+    return words.where(reduce(lambda x, y: x | y, enough)).drop("held")
 
-def piece_words(docs: DataFrame, vocabulary: list[str], longest: int) -> DataFrame:
+
+def block_words(texts: DataFrame, order: list[str]) -> DataFrame:
+    """One row per line with a template word: doc_id, text_hash, and its template words in order."""
+    lines = texts.select("doc_id", "text_hash", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select("doc_id", "text_hash", held_words(normalised(F.col("line")), order).alias("held")).where(F.size("held") > 0)
+
+
+def piece_words(texts: DataFrame, order: list[str], longest: int) -> DataFrame:
     """As block_words, for pieces of texts with more than one line; ``piece`` holds the piece's words in order. Pieces
     overlap so that every run of up to ``longest`` words lies in one."""
-    texts = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(normalised(F.col("text")), " ").alias("words"))
+    words = texts.where(F.contains("text", F.lit("\n"))).withColumn("words", F.split("words", " "))
     starts = F.sequence(F.lit(1), F.size("words"), F.lit(PIECE))
-    pieces = texts.select("doc_id", "text_hash", F.explode(F.transform(starts, lambda i: F.slice("words", i, PIECE + longest - 1))).alias("piece"))
-    own = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("piece"))
-    return pieces.select("doc_id", "text_hash", "piece", own.alias("held"))
-
-
-def frequency_order(docs: DataFrame, templates: list[tuple[str, str]]) -> list[str]:
-    """All template words, rarest over the corpus's blocks first (ties by word); one row per word is collected."""
-    words = sorted({w for _, t in templates for w in template_words(t)})
-    counts = {r["word"]: r["n"] for r in block_words(docs, words).select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return sorted(words, key=lambda w: (counts.get(w, 0), w))
+    pieces = words.select("doc_id", "text_hash", F.explode(F.transform(starts, lambda i: F.slice("words", i, PIECE + longest - 1))).alias("piece"))
+    return pieces.select("doc_id", "text_hash", "piece", F.array_intersect(F.array(*map(F.lit, order)), F.col("piece")).alias("held"))
 
 
 def prefix_index(docs: DataFrame, order: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
@@ -117,17 +139,18 @@ def prefix_index(docs: DataFrame, order: list[str], templates: list[tuple[str, s
     rows = []
     for k, (label, text) in enumerate(templates):
         words = sorted(template_words(text), key=rank.__getitem__)
-        need = math.ceil(threshold * len(words) - 1e-9)
+        need = needed_words(text, threshold)
         listed = ", ".join(f"'{w}'" for w in words)
         rows += [f"('{w}', {i}, {k}, '{label}', {need}, array({listed}), {run_words(text, threshold)})" for i, w in enumerate(words[: len(words) - need + 1])]
     return docs.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(word, t_pos, template, label, need, t_words, t_run)")
 
 
-def match_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs(doc_id, text)`` to doc_id, text_hash, template, label, containment of every matching block."""
-    order = frequency_order(docs, templates)
+def match_blocks(docs: DataFrame, held: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs(doc_id, text)`` to doc_id, text_hash, template, label, containment of every matching block; ``held`` are the
+    template words of every text."""
+    order = frequency_order(held, templates)
     index = prefix_index(docs, order, templates, threshold)
-    least = min(math.ceil(threshold * len(template_words(t)) - 1e-9) for _, t in templates)
+    least = min(needed_words(t, threshold) for _, t in templates)
     t_size = F.size("t_words")
 
     def candidates(blocks: DataFrame, *kept: str) -> DataFrame:
@@ -137,11 +160,12 @@ def match_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         near = words.join(F.broadcast(index), "word").where((size >= F.col("need")) & (room >= F.col("need")))
         return near.withColumn("overlap", F.size(F.array_intersect("held", "t_words"))).where(F.col("overlap") >= F.col("need"))
 
-    lines = candidates(block_words(docs, order))
+    texts = likely_texts(docs, order, templates, threshold)
+    lines = candidates(block_words(texts, order))
     longest = max(run_words(t, threshold) for _, t in templates)
     runs = F.sequence(F.lit(1), F.greatest(F.size("piece") - F.col("t_run") + 1, F.lit(1)))
     best = F.array_max(F.transform(runs, lambda i: F.size(F.array_intersect("t_words", F.slice("piece", i, F.col("t_run"))))))
-    wrapped = candidates(piece_words(docs, order, longest), "piece").withColumn("overlap", best).where(F.col("overlap") >= F.col("need"))
+    wrapped = candidates(piece_words(texts, order, longest), "piece").withColumn("overlap", best).where(F.col("overlap") >= F.col("need"))
     columns = ("doc_id", "text_hash", "template", "label", (F.col("overlap") / t_size).alias("containment"))
     return lines.select(*columns).union(wrapped.select(*columns))
 
@@ -149,8 +173,6 @@ def match_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 def license_report(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of the license contract: base phrases, and the labels of the matching blocks beside them."""
     docs = docs.select("doc_id", "text")
-    found = match_blocks(docs, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    found = found.select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "more", "best")
     words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), normalised(F.col("text")).alias("words"))
     places = {p: phrase_places(F.col("words"), p) for p in PHRASES}
     base = words.select(
@@ -161,7 +183,11 @@ def license_report(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
         F.least(*(a for _, a, _ in places.values())).alias("first_word"),
         F.greatest(*(b for _, _, b in places.values())).alias("last_word"),
         F.array_compact(F.array(*(F.when(a.isNotNull(), F.lit(PHRASES[p])) for p, (_, a, _) in places.items()))).alias("base"),
+        held_words(F.col("words"), vocabulary_of(templates)).alias("held"),
     )
+    base = materialise(base, "license-words")
+    found = match_blocks(docs, base, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    found = found.select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "more", "best")
     joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_hash") == F.col("f_hash")), "left")
     none = F.array().cast("array<string>")
     return joined.select(
@@ -177,21 +203,25 @@ def license_report(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
 
 
 def oracle_sql() -> str:
-    """The same result in DuckDB SQL, by comparing every block with every template."""
-    rows = ", ".join(f"('{label}', [{', '.join(repr(w) for w in template_words(t))}], {math.ceil(THRESHOLD * len(template_words(t)) - 1e-9)})" for label, t in TEMPLATES)
+    """The same result in DuckDB SQL, by comparing every line, and every run of words of the texts that hold enough of a
+    template's words, with the templates."""
+    rows = ", ".join(f"('{label}', [{', '.join(repr(w) for w in template_words(t))}], {needed_words(t, THRESHOLD)}, {run_words(t, THRESHOLD)})" for label, t in TEMPLATES)
     cut = "list_filter(regexp_split_to_array(translate({0}, '" + UPPER + "', '" + LOWER + r"'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     place = "list_filter(range(0, len(w)), lambda i: {0})"
     tests = {p: " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())) for p in PHRASES}
     starts = ", ".join(f"{place.format(t)} AS p{k}" for k, t in enumerate(tests.values()))
     marks = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(PHRASES.values()))
     return f"""
-WITH templates(label, words, need) AS (VALUES {rows}),
+WITH templates(label, words, need, k) AS (VALUES {rows}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 word AS (SELECT r, doc_id, {cut.format('text')} AS w FROM docs),
 place AS (SELECT r, doc_id, w, {starts} FROM word),
 base AS (SELECT r, doc_id, len(w) AS n_words, p0 || p1 || p2 AS p, list_filter([{marks}], lambda x: x IS NOT NULL) AS base FROM place),
 line AS (SELECT r, list_distinct({cut.format('l')}) AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM docs)),
-hit AS (SELECT r, label, len(list_intersect(w, words)) / len(words) AS c FROM line, templates WHERE len(list_intersect(w, words)) >= need),
+likely AS (SELECT r, w, label, words, need, k FROM word JOIN docs USING (r), templates WHERE contains(text, chr(10)) AND len(list_intersect(list_distinct(w), words)) >= need),
+run AS (SELECT r, label, words, need, list_distinct(w[s:s + k - 1]) AS w FROM (SELECT *, unnest(range(1, greatest(len(w) - k + 1, 1) + 1)) AS s FROM likely)),
+block AS (SELECT r, w, label, words, need FROM line, templates UNION ALL SELECT r, w, label, words, need FROM run),
+hit AS (SELECT r, label, len(list_intersect(w, words)) / len(words) AS c FROM block WHERE len(list_intersect(w, words)) >= need),
 found AS (SELECT r, list(DISTINCT label) AS more, max(c) AS best FROM hit GROUP BY r)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base,
   CAST(list_min(p) AS BIGINT) AS first_word, CAST(list_max(p) AS BIGINT) AS last_word,

@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,6 +365,28 @@ def test_notices_wrapped_over_lines_are_found(spark):
     assert {(r["labels"], r["score"]) for i, r in got.items() if i > 3} == {("apache-2.0", 1.0)}
 
 
+def test_licenses_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(41)
+    pool = [w for _, t in license_scan.TEMPLATES for w in t.replace(",", "").split()] + WORDS
+    texts = [*EDGE[:6], "a\nReleased under\nthe MIT License\nb", "Released under the MIT License"]
+    for _ in range(60):
+        words = [rng.choice(pool) for _ in range(rng.randint(0, 500))]
+        if rng.random() < 0.7:
+            notice = rng.choice(license_scan.TEMPLATES)[1].split()
+            if rng.random() < 0.5:
+                notice.insert(rng.randrange(len(notice)), "x")
+            if rng.random() < 0.3:
+                notice.pop(rng.randrange(len(notice)))
+            at = rng.randint(0, len(words))
+            words[at:at] = notice
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", ", "]) for w in words))
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841 - DuckDB reads it by name
+    want = {r[0]: r[1:] for r in duckdb.sql(license_scan.oracle_sql()).fetchall()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in license_scan.license_report(docs(spark, texts)).collect()}
+    assert got == want and sum(bool(r[5]) for r in got.values()) > 10
+
+
 # ---------------------------------------------------------------- quality
 
 
