@@ -7,7 +7,7 @@ similarity reaches num / den; the join finds the connected components of all lin
    first n - need + 1 shingles, ``need`` being the least overlap that any link of it has; linked nodes share one. At
    their first common shingle the places in the two prefixes add up to no more than ``stray``, so a shingle that no
    two holders have early enough is dropped.
-2. Groups: of the nodes that hold a prefix shingle, one leads (most frequent shingles in its prefix first, as an
+2. Groups: of the nodes that hold a prefix shingle, one leads (that with the most frequent shingles in its prefix, as an
    original among its edited copies has). Nodes are compared with their leaders; linked ones form groups of similar
    documents. This is linear in the nodes, whatever the size of a family of copies.
 3. Matrix: for every prefix shingle, the groups that hold it; for every group, the union of its members' shingles, as a
@@ -127,8 +127,9 @@ def words_of(table: pa.Scalar | bytes) -> np.ndarray:
     return np.frombuffer(table.as_buffer() if isinstance(table, pa.Scalar) else table, dtype="<u8")
 
 
-def frequent_shingles(docs: DataFrame, join: Join) -> tuple[np.ndarray, int]:
-    """The most frequent shingles, rarest first, and the rank of the first that is hot. Every text is counted, in chunks of 4 million shingles a task; a
+def frequent_shingles(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent shingles, rarest first, eighths of the logarithm of their counts, and the rank of the first that
+    is hot. Every text is counted, in chunks of 4 million shingles a task; a
     chunk passes on what it holds FREQUENT_LEAST times. The order they give is used by both sides of the join, so
     its precision affects the work only, never the result."""
 
@@ -167,30 +168,36 @@ def frequent_shingles(docs: DataFrame, join: Join) -> tuple[np.ndarray, int]:
         tokens, n = top.column("token").to_numpy(), top.column("n").to_numpy()
     discard(counts)
     order = np.lexsort((tokens, n))
-    return tokens[order].astype(np.uint64), (1 << 62) + int(np.searchsorted(n[order], HOT))
+    logs = np.minimum(255, 8 * np.log2(np.maximum(1, n[order]))).astype(np.uint8)
+    return tokens[order].astype(np.uint64), logs, (1 << 62) + int(np.searchsorted(n[order], HOT))
 
 
 class Order:
     """Ranks of shingles: hash order below 2**62, the frequent ones above it by frequency."""
 
-    def __init__(self, frequent: np.ndarray):
+    def __init__(self, frequent: np.ndarray, logs: np.ndarray):
         by = np.argsort(frequent, kind="stable")
-        self.keys, self.places = frequent[by], by.astype(np.uint64)
+        self.keys, self.places, self.logs = frequent[by], by.astype(np.uint64), logs
 
-    def ranks(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
-        """Sorted ranks of sorted tokens, and how many of them are frequent."""
+    def ranks(self, tokens: np.ndarray) -> np.ndarray:
+        """Sorted ranks of sorted tokens."""
         if not len(self.keys) or not len(tokens):
-            return tokens, 0
+            return tokens
         at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
         on = self.keys[at] == tokens
-        return np.concatenate([tokens[~on], np.sort(self.places[at[on]]) + np.uint64(1 << 62)]), int(on.sum())
+        return np.concatenate([tokens[~on], np.sort(self.places[at[on]]) + np.uint64(1 << 62)])
+
+    def frequency(self, ranks: np.ndarray) -> int:
+        """How frequent the shingles of some ranks are, all together: the sum of their logarithms."""
+        on = ranks[ranks >= np.uint64(1 << 62)]
+        return int(self.logs[(on - np.uint64(1 << 62)).astype(np.int64)].sum(dtype=np.int64))
 
 
 def prefixes(docs: DataFrame, order, join: Join) -> DataFrame:
     """doc_id, set size, key, prefix and signatures of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = Order(order.value)
+        rank = Order(*order.value)
         for batch in batches:
             rows = []
             for doc_id, text_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -198,9 +205,8 @@ def prefixes(docs: DataFrame, order, join: Join) -> DataFrame:
                 if not len(tokens):
                     rows.append((doc_id, text_key, 0, None, 0, [], None, None))
                     continue
-                ranks, frequent = rank.ranks(tokens)
-                p = join.prefix(len(tokens))
-                rows.append((doc_id, text_key, len(tokens), key_of(tokens), max(0, frequent - (len(tokens) - p)), ranks[:p].astype(np.int64), *signatures(tokens)))
+                prefix = rank.ranks(tokens)[: join.prefix(len(tokens))]
+                rows.append((doc_id, text_key, len(tokens), key_of(tokens), rank.frequency(prefix), prefix.astype(np.int64), *signatures(tokens)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             names = ["doc_id", "text_key", "n_shingles", "key", "frequent", "prefix", "flips", "held"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], names=names)
@@ -314,8 +320,9 @@ def leader_pairs(rows: DataFrame, join: Join) -> DataFrame:
     return fit.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
 
 
-def matrix_pairs(rows: DataFrame, nodes: DataFrame, groups: DataFrame, hot: int, join: Join) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs of nodes of different groups, behind the bound of the token-group matrix, and the stored tables they read.
+def matrix_pairs(rows: DataFrame, nodes: DataFrame, groups: DataFrame, hot: int, join: Join) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Pairs of nodes of different groups, behind the bound of the token-group matrix; the queries(node, n, grp, size) of
+    large groups, of whose members only the most alike are among the pairs; and the stored tables that these read.
 
     A node asks about another group at shingles that can be the first common one of a link (see ``stray``). Where the
     group is one node, their folded signatures must allow a link at once: this keeps edited copies that are too far
@@ -348,8 +355,8 @@ def matrix_pairs(rows: DataFrame, nodes: DataFrame, groups: DataFrame, hot: int,
     pairs = near_pairs(alone.union(inside.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))), nodes, join)
     large = open_groups.where(F.col("size") > SMALL_GROUP)
     if not large.isEmpty():
-        pairs = pairs.union(open_large(large, nodes, groups, join))
-    return pairs.distinct(), [asked, open_groups]
+        pairs = pairs.union(open_large(large, nodes, groups, join, True))
+    return pairs.distinct(), large, [asked, open_groups]
 
 
 def unions(groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -406,8 +413,10 @@ def opened(asked: DataFrame, nodes: DataFrame, groups: DataFrame, join: Join) ->
     return both.mapInArrow(run, "node bigint, n bigint, grp bigint, size bigint")
 
 
-def open_large(large: DataFrame, nodes: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
-    """Pairs of queries large(node, grp, size) and members of their groups whose signatures allow a link.
+def open_large(large: DataFrame, nodes: DataFrame, groups: DataFrame, join: Join, nearest: bool) -> DataFrame:
+    """Pairs of queries large(node, grp, size) and members of their groups whose signatures allow a link; ``nearest``: of
+    every block, the member that differs least only. One link of a query with a group is enough, so the others are looked
+    at for queries only that the first did not bring in.
 
     Blocks of at most about MEMBERS members meet blocks of about ASKERS queries in one task each; only pairs that
     pass leave it, so no row is made for a pair that does not.
@@ -428,8 +437,11 @@ def open_large(large: DataFrame, nodes: DataFrame, groups: DataFrame, join: Join
                     by_width[size] = folded(block, size, True)
                 differ = np.bitwise_count(by_width[size] ^ folded(own, size, True)).sum(axis=1)
                 fits = (join.den * np.minimum(n, sizes) >= join.num * np.maximum(n, sizes)) & (differ <= stray(n, sizes, join)) & (ids != node)
-                found_a.append(np.maximum(ids[fits], node))
-                found_b.append(np.minimum(ids[fits], node))
+                met = ids[fits]
+                if nearest and len(met):
+                    met = met[[np.argmin(differ[fits])]]
+                found_a.append(np.maximum(met, node))
+                found_b.append(np.minimum(met, node))
         return pa.table({"a": pa.array(np.concatenate(found_a)), "b": pa.array(np.concatenate(found_b))})
 
     counts = large.groupBy("grp").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("askers"))
@@ -465,26 +477,32 @@ def similarity_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """``docs(doc_id, text)`` to doc_id, text_key (hash of the text), n_shingles, class (of an equal set or a component;
     null for an empty set)."""
     docs = docs.select("doc_id", "text")
-    found, hot = frequent_shingles(docs, join)
-    sets = materialise(prefixes(docs, docs.sparkSession.sparkContext.broadcast(found), join), "prefixes")
+    tokens, logs, hot = frequent_shingles(docs, join)
+    sets = materialise(prefixes(docs, docs.sparkSession.sparkContext.broadcast((tokens, logs)), join), "prefixes")
     once = sets.where("key is not null").select("key", F.col("n_shingles").alias("n"), "frequent", "prefix", "flips", "held", "text_key").dropDuplicates(["key"])
     nodes = materialise(with_fold(once).withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = shared_rows(nodes, hot, join)
     near = materialise(near_pairs(leader_pairs(rows, join), nodes, join), "leader-pairs")
     first = links(docs, near, nodes, join)
     groups = components(first)
-    pairs, read = matrix_pairs(rows, nodes, groups, hot, join)
+    pairs, large, read = matrix_pairs(rows, nodes, groups, hot, join)
     rest = materialise(pairs.join(near, ["a", "b"], "left_anti"), "matrix-pairs")
-    discard(rows, near, *read)
-    if rest.isEmpty():
-        roots = groups
-    else:
-        more = links(docs, rest, nodes, join)
-        roots = components(first.union(more))
-        discard(more, groups)
+    discard(rows)
+    found, roots = first, groups
+    if not rest.isEmpty():
+        found = materialise(first.union(links(docs, rest, nodes, join)), "links-so-far")
+        roots = components(found)
+    now = roots.select(F.col("node").alias("x"), F.col("root").alias("own"))
+    apart = large.join(now, F.col("node") == F.col("x"), "left").drop("x").join(now.withColumnRenamed("own", "theirs"), F.col("grp") == F.col("x"), "left")
+    apart = materialise(apart.where(F.coalesce("own", "node") != F.coalesce("theirs", "grp")).select("node", "grp", "size"), "apart")
+    if not apart.isEmpty():
+        tried = near.union(rest)
+        again = materialise(open_large(apart, nodes, groups, join, False).distinct().join(tried, ["a", "b"], "left_anti"), "matrix-pairs")
+        if not again.isEmpty():
+            roots = components(found.union(links(docs, again, nodes, join)))
     named = nodes.select("node", "key").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class"))
     out = materialise(sets.select("doc_id", "text_key", "n_shingles", "key").join(named, "key", "left").drop("key"), "classes")
-    discard(rest, first, roots, nodes, sets)
+    discard(near, rest, apart, nodes, sets, *read)
     return out
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clonelens.llm import common, ngram_join, repeats
+from clonelens.llm import common, ngram_join, packing, repeats
 from clonelens.llm.ngram_join import Join
 
 from .suffix_array import corpus_suffix_array
@@ -35,6 +35,31 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_raise_when_not_settled(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(3000)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        common.components(chain, max_rounds=2)
+    assert common.components(chain).where("root <> 0").count() == 0
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.shared_dir(spark)
+
+
+def test_tables_belong_to_the_call_that_wrote_them(spark, tmp_path):
+    taken = packing.pack_documents(docs(spark, ["one two", "three", None]))
+    near = ngram_join.component_report(docs(spark, ["a b c d e", "a b c d e", "x"]))
+    folder = tmp_path / "sf"
+    docs(spark, ["some words of a text that are more than ten of them in number"] * 3).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame([(1, "q")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(folder)).count() == 1
+    assert taken.count() == 3 and near.count() == 3
+
+
 # ---------------------------------------------------------------- n-gram join
 
 
@@ -96,6 +121,37 @@ def test_group_of_copies_and_empty_table(spark):
     assert [r["component_id"] for r in ngram_join.component_report(docs(spark, ["", None])).orderBy("doc_id").collect()] == [0, 1]
 
 
+def test_rows_follow_the_size_of_a_family_with_shared_edits(spark, monkeypatch):
+    """Near copies whose edits come from a small pool, and a shingle that all texts hold: rows about double with the texts."""
+    plain, counts = ngram_join.materialise, {}
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    told = {}
+    for n in (1000, 2000):
+        rng = random.Random(n)
+        base = [f"w{i}" for i in range(120)]
+        pool = [(rng.randrange(3, 120), f"edit{k}") for k in range(60)]
+        texts = []
+        for _ in range(n):
+            own = list(base)
+            for at, word in rng.sample(pool, rng.randint(0, 6)):
+                own[at] = word
+            texts.append(" ".join(own))
+        texts += ["w0 w1 w2 " + " ".join(f"other{rng.random()}" for _ in range(30)) for _ in range(n)]
+        counts.clear()
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.component_report(docs(spark, texts)).collect()}
+        told[n] = dict(counts)
+        assert len({got[i] for i in range(n, 2 * n)}) == n
+    print("ROWS", told)
+    for name, k in told[2000].items():
+        assert k <= 2.7 * told[1000][name] + 200, (name, told)
+
+
 def test_one_per_class_keeps_columns_and_tells_rows_apart(spark):
     same = "one two three four five six seven"
     rows = [(5, same), (5, same), (5, "another text under the same number"), (3, same + " "), (9, None), (9, None), (None, same), (2, "alone in its class for good")]

@@ -414,6 +414,68 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(model.log_probs(grams)).sum() == pytest.approx(1.0, abs=1e-4)
 
 
+def test_kneser_ney_against_plain_version():
+    """Modified Kneser-Ney by definition, over dictionaries of unit tuples."""
+    rng = random.Random(19)
+    text = " ".join(rng.choice(["the", "cat", "sat", "Sat", "on", "a", "mat", "é", "日", "x1"]) for _ in range(400))
+    units = [0, 0, 0, *quality.symbols(text).tolist()]
+    counts = {4: {}}
+    for i in range(len(units) - 3):
+        g = tuple(units[i : i + 4])
+        counts[4][g] = counts[4].get(g, 0) + 1
+    for order in (3, 2, 1):  # continuation counts: distinct units before
+        counts[order] = {}
+        for g in counts[order + 1]:
+            counts[order][g[1:]] = counts[order].get(g[1:], 0) + 1
+    discount = {}
+    for order, own in counts.items():
+        n = [sum(c == k for c in own.values()) for k in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else None
+        raw = [0.0, 0.5, 0.5, 0.5] if y is None else [0.0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        discount[order] = raw if y is None else [0.0] + [min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw[1:])]
+
+    def p(g):
+        order = len(g)
+        if not order:
+            return 1 / 64
+        own = {h: c for h, c in counts[order].items() if h[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        d, total = discount[order], sum(own.values())
+        back = sum(d[min(c, 3)] for c in own.values()) / total
+        c = own.get(g, 0)
+        return (c - d[min(c, 3)] if c else 0.0) / total + back * p(g[1:])
+
+    keys, n = np.unique(quality.prose_ngrams(text), return_counts=True)
+    model = quality.Model(*(a.tobytes() for a in quality.estimate(keys, n)))
+    seen = [tuple(units[i : i + 4]) for i in rng.sample(range(len(units) - 3), 60)]
+    odd = [tuple(rng.choice(units) for _ in range(4)) for _ in range(60)] + [tuple(rng.randrange(64) for _ in range(4)) for _ in range(30)]
+    grams = np.array([(a << 18) | (b << 12) | (c << 6) | d for a, b, c, d in seen + odd], dtype=np.uint32)
+    assert np.exp(model.log_probs(grams)) == pytest.approx([p(g) for g in seen + odd], rel=2e-5)
+
+
+def test_bands_reject_on_both_sides(spark):
+    rows = spark.createDataFrame([("en", 50, 400, 2.0 + i / 100, 0) for i in range(100)] + [("en", 50, 400, x, 0) for x in (0.2, 9.0)], "lang string, n_words long, n_scored long, log_ppl double, n_repeat_words long")
+    model = spark.createDataFrame([("en",), ("*",)], "lang string")
+    bands = quality.Bands()
+    (low, high), = [quality.limits(rows, model, bands)["en"]]
+    q1, q3 = 2.25, 2.76
+    assert low == pytest.approx(q1 - 3 * (q3 - q1), abs=0.08) and high == pytest.approx(q3 + 3 * (q3 - q1), abs=0.08)
+    verdict = quality.with_verdict(rows, quality.limits(rows, model, bands), bands).select("log_ppl", "kept").collect()
+    assert {r["log_ppl"] for r in verdict if not r["kept"]} == {0.2, 9.0}
+
+
+def test_long_texts_are_scored_in_parts(spark):
+    rng = random.Random(23)
+    long = " ".join(rng.choice(WORDS) for _ in range(90_000))  # over 400,000 characters
+    rows = docs(spark, [long, *(" ".join(rng.choice(WORDS) for _ in range(80)) for _ in range(60))])
+    got = {r["doc_id"]: r for r in quality.quality_report(rows).collect()}
+    model = {r["lang"]: quality.Model(*(bytes(r[c]) for c in ("keys", "logp", "contexts", "logb"))) for r in quality.train(rows).collect()}
+    use = model.get("en") or model["*"]
+    want = -float(use.log_probs(quality.prose_ngrams(long)).sum()) / quality.count_letters(long)
+    assert got[0]["log_ppl"] == pytest.approx(want, rel=1e-9) and got[0]["n_words"] == 90_000
+
+
 def test_quality_rejects_junk_and_keeps_prose(spark):
     rng = random.Random(4)
     prose = [" ".join(rng.choice(WORDS) for _ in range(60)) + "." for _ in range(300)]
