@@ -312,3 +312,40 @@ def test_pipeline_takes_effect_and_keeps_clean_documents(spark, tmp_path):
     assert all(cut[i]["n_chars"] == len(cut[i]["text"]) for i in cut)
     assert set(kept["benchmark_leaks"]) == set(range(40)) | {42, 43, 44} == set(kept["packing"])
     assert corpus_pipeline.run(spark, str(folder)).select("doc_id").distinct().count() == 43
+
+
+def test_pipeline_of_empty_tables_and_clashing_columns(spark, tmp_path):
+    folder = tmp_path / "sf"
+    clash = ["near_id", "near_key", "quality_kept", "repeat_key", "repeat_spans", "span_key", "class", "node", "doc_key", "slot", "spans"]
+    rng = random.Random(51)
+    text = " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ed"]) for _ in range(60))
+    for rows in (docs(spark, []), docs(spark, [text, text, None, ""])):
+        rows = rows.withColumns({c: F.lit(1) for c in clash})
+        rows.write.mode("overwrite").parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.mode("overwrite").parquet(str(folder / "benchmark.parquet"))
+        frame = spark.read.parquet(str(folder / "documents.parquet"))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            stage(spark, frame, str(folder)).write.mode("overwrite").parquet(str(tmp_path / name))
+            frame = spark.read.parquet(str(tmp_path / name))
+            assert frame.columns == rows.columns
+        n = frame.count()
+        assert n == (1 if rows.count() else 0)
+        assert corpus_pipeline.STAGES[-1][1](spark, frame, str(folder)).count() == n
+
+
+def test_stages_against_plain_versions_on_skewed_rows(spark, tmp_path):
+    """Near duplicates and repeated passages on a table of which a third is one family and a fifth one text."""
+    rng = random.Random(52)
+    texts = family(rng, 60, 70, 5) + [" ".join(rng.choice(WORDS) for _ in range(40))] * 40 + [t for _ in range(30) for t in family(rng, 45, 3, 2)]
+    passage = letters(rng, 420)
+    texts += [letters(rng, 300) + passage[rng.randint(0, 100) :] + letters(rng, 50) for _ in range(20)] + [None, ""]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    classes = plain_components(list(enumerate(texts)), corpus_pipeline.NEAR)
+    kept = corpus_pipeline.near_duplicates(spark, frame, "")
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, (n, root) in classes.items() if root == i or not n}
+    cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, frame, "").collect()}
+    data = [(t or "").encode() for t in texts]
+    for i, on in enumerate(repeated_bytes(data, corpus_pipeline.PASSAGE_BYTES)):
+        assert (cut[i] or "") == np.frombuffer(data[i], dtype=np.uint8)[~on].tobytes().decode("utf-8", "ignore")
