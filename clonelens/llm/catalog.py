@@ -44,10 +44,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import RULES, judge_urls, mirror_hosts
+    from .url_filter import RULES, insecure_hosts, judge_urls
 
     pages = _table(spark, sf_dir, "pages")
-    return judge_urls(pages, RULES, mirror_hosts(pages))
+    return judge_urls(pages, RULES, insecure_hosts(pages))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

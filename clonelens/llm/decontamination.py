@@ -1,8 +1,9 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows.
 
 A window is ``width`` consecutive words of an item (an item of fewer words, but at least one, is one window).
-All windows go into one automaton over the normalised text (lower-case words joined by single spaces); each
-document is scanned once, and hits are mapped back through word numbers to character offsets of the original.
+All windows go into one automaton over normalised (lower-case) words: its letters are the benchmark's words, numbered, so
+a window is a path of as many nodes as it has words. Each document is scanned once, and hits are mapped back through word
+numbers to character offsets of the original.
 
 Defined cases: null and empty texts have no words and no hits; items without words have no window; a null item_id
 still marks words but is not listed; equal item_ids are one item; repeated documents are judged each by itself;
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import alnum_words, utf8
 
 WIDTH = 10
-#: Windows in one automaton at most: its size is bounded, whatever the benchmark holds.
-BLOCK_WINDOWS = 20_000
+#: Windows in one automaton at most (ten nodes each, some 250 MB in a Python worker): its size is bounded, whatever the
+#: benchmark holds. A larger one takes a further scan for each further automaton.
+BLOCK_WINDOWS = 500_000
 ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 SPAN_SCHEMA = "doc_id bigint, n_words bigint, hits array<int>, items array<string>, spans array<struct<first:int,last:int>>"
@@ -49,31 +52,26 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def build_automaton(windows: list[tuple[bytes, int, list[str]]]):
+    """The automaton, and the numbers of the benchmark's words (from 1; any other word is 0)."""
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
+    automaton, numbers = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), {}
     for window, n, items in windows:
-        automaton.add_word(f" {window.decode('latin-1')} ", (len(window) + 2, n, tuple(items)))
+        automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in window.split(b" ")), (n, tuple(items)))
     automaton.make_automaton()
-    return automaton
+    return automaton, numbers
 
 
-def scan(words: list[bytes], automaton) -> tuple[np.ndarray, set[str]]:
-    """Word numbers inside any occurrence, and the items found. Words are joined bytes, so one char is one byte."""
-    found: list[tuple[int, int]] = []
+def scan(words: list[bytes], built) -> tuple[np.ndarray, set[str]]:
+    """Word numbers inside any occurrence, and the items found."""
+    automaton, numbers = built
     items: set[str] = set()
+    edge = np.zeros(len(words) + 1, dtype=np.int64)
     if words:
-        text = f" {b' '.join(words).decode('latin-1')} "
-        for end, (size, n, ids) in automaton.iter(text):
-            found.append((end - size + 1, n))
+        for last, (n, ids) in automaton.iter(tuple(map(numbers.get, words, repeat(0)))):
+            edge[last - n + 1] += 1
+            edge[last + 1] -= 1
             items.update(ids)
-    if not found:
-        return np.zeros(0, dtype=np.int32), items
-    starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])[:-1]])
-    first = np.searchsorted(starts, [at for at, _ in found])
-    edge = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(edge, first, 1)
-    np.add.at(edge, first + np.array([n for _, n in found]), -1)
     return np.flatnonzero(np.cumsum(edge)[:-1] > 0).astype(np.int32), items
 
 

@@ -209,9 +209,11 @@ def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, id_col: s
     )
 
 
-def mirror_hosts(pages: DataFrame) -> DataFrame:
-    """The list the query uses: mobile mirrors, i.e. hosts whose first label is ``m`` (their pages repeat the main site)."""
-    return pages.select(host_of(F.col("url")).alias("key")).where(F.col("key").startswith("m.")).distinct()
+def insecure_hosts(pages: DataFrame) -> DataFrame:
+    """The list that the query uses: hosts that serve more than half of their pages without TLS."""
+    url = F.col("url")
+    hosts = pages.select(host_of(url).alias("key"), F.lower(url).startswith("http://").cast("int").alias("plain")).where("key <> ''")
+    return hosts.groupBy("key").agg(F.sum("plain").alias("plain"), F.count(F.lit(1)).alias("n")).where("2 * plain > n").select("key")
 
 
 def oracle_sql() -> str:
@@ -219,8 +221,9 @@ def oracle_sql() -> str:
     rows = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
     return f"""
 WITH rules(rh, rp, rv) AS (VALUES {rows}),
-rest AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS t FROM pages),
-parts AS (SELECT r, page_id, translate(regexp_extract(t, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rest AS (SELECT row_number() OVER () AS r, page_id, starts_with(lower(url), 'http://') AS plain, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS t FROM pages),
+parts AS (SELECT r, page_id, plain, translate(regexp_extract(t, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+listed AS (SELECT host FROM parts WHERE host <> '' GROUP BY host HAVING 2 * sum(CASE WHEN plain THEN 1 ELSE 0 END) > count(*)),
 fit AS (SELECT r, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS v FROM parts, rules
   WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN starts_with(host, 'm.') THEN 'block' ELSE 'allow' END) AS verdict FROM parts LEFT JOIN fit USING (r)"""
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM parts LEFT JOIN fit USING (r)"""

@@ -259,13 +259,20 @@ def test_url_verdicts(spark, monkeypatch, shard_keys, limit):
     urls = ["http://A.example.org/es/x?q#f", "https://example.org/en/12", "http://b.org/zz", "http://x.com/fr/a", "http://x.com/de/a", "http://notorg/", "http://m.bad.net/a", None, "nothing",
             "ftp://h", "http://h?x://y/", "http://xexample.org/es/", "http://m.bad.net", "http://\ud83d\ude00.net/p"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, url_filter.RULES, url_filter.mirror_hosts(pages)).collect()}
+    listed = pages.select(url_filter.host_of(F.col("url")).alias("key")).where("key LIKE 'm.%'")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, url_filter.RULES, listed).collect()}
     assert len(got) == len(urls)
     assert got[0] == ("a.example.org", "/es/x", "example.org/es/", "block") and got[1][2:] == ("example.org/en/1", "block") and got[2][2:] == ("org/", "allow")
     assert got[3][2:] == ("com/fr/", "allow") and got[4][2:] == ("com/de/", "block") and got[5] == ("notorg", "/", None, "allow")
     assert got[6] == ("m.bad.net", "/a", None, "block") and got[7] == ("", "", None, "allow") == got[8] and got[9] == ("h", "", None, "allow")
     assert got[10] == ("h", "", None, "allow") and got[11][2:] == ("org/", "allow") and got[12][3] == "block"
-    assert url_filter.judge_urls(pages.limit(0), url_filter.RULES, url_filter.mirror_hosts(pages.limit(0))).count() == 0
+    assert url_filter.judge_urls(pages.limit(0), url_filter.RULES, listed.limit(0)).count() == 0
+
+
+def test_insecure_hosts(spark):
+    urls = ["http://a.b/1", "HTTP://A.b/2", "https://a.b/3", "http://c.d", "https://c.d/x", "ftp://e.f", "http://g.h?x", None, "nothing", "http:///p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r["key"] for r in url_filter.insecure_hosts(pages).collect()} == {"a.b", "g.h"}
 
 
 # ---------------------------------------------------------------- WARC
@@ -585,7 +592,7 @@ def test_null_ids_and_repeated_rows_are_rows_each(spark, name):
         "license": lambda: license_scan.license_report(rows),
         "quality": lambda: quality.quality_report(rows),
         "leaks": lambda: dec.leak_report(rows, spark.createDataFrame([(1, "with ten or more words in it"), (None, "another")], "item_id long, text string")).drop("spans"),
-        "urls": lambda: url_filter.judge_urls(rows, url_filter.RULES, url_filter.mirror_hosts(rows)),
+        "urls": lambda: url_filter.judge_urls(rows, url_filter.RULES, url_filter.insecure_hosts(rows)),
     }[name]
     got = [tuple(r) for r in run().collect()]
     assert len(got) == 6 and sum(r[0] is None for r in got) == 3
@@ -596,7 +603,7 @@ def test_null_ids_and_repeated_rows_are_rows_each(spark, name):
 # ---------------------------------------------------------------- decontamination
 
 
-@pytest.mark.parametrize("block", [20_000, 7])
+@pytest.mark.parametrize("block", [500_000, 7])
 def test_leaks_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(dec, "BLOCK_WINDOWS", block)
     rng = random.Random(8)
