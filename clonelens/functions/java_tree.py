@@ -8,6 +8,7 @@ are not promised; the counted statement and expression nodes are. Texts that do
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -706,27 +707,24 @@ def parse(code: str | None) -> Node | None:
 
 
 def features(code: str | None) -> dict[str, float]:
-    """The 28 features; all zero when the text does not parse."""
-    out = dict.fromkeys(FEATURES, 0.0)
+    """The 28 features: one count over the preorder nodes, and ratios of the counts; all zero when the text does not
+    parse."""
     tree = parse(code)
     if tree is None:
-        return out
-    first = None
-    out["parse_success"] = 1.0
-    for node, depth in tree.walk():
-        out["total_nodes"] += 1
-        out["max_depth"] = max(out["max_depth"], float(depth))
-        if node.kind in COUNTED:
-            out[f"n_{node.kind}"] += 1
-        if first is None and node.kind == "MethodDeclaration":
-            first = node
-    out["n_parameters"] = float(first.parameters) if first else 0.0
-    total = out["total_nodes"]
-    out["ratio_control_flow"] = sum(out[f"n_{c}"] for c in CONTROL) / total
-    out["ratio_method_invocations"] = out["n_MethodInvocation"] / total
-    out["ratio_assignments"] = out["n_Assignment"] / total
-    out["ratio_returns"] = out["n_ReturnStatement"] / total
-    return out
+        return dict.fromkeys(FEATURES, 0.0)
+    kinds, depths = zip(*((node.kind, depth) for node, depth in tree.walk()))
+    seen, total = Counter(kinds), len(kinds)
+    methods = (node for node, _ in tree.walk() if node.kind == "MethodDeclaration")
+    counts = {f"n_{kind}": seen[kind] for kind in COUNTED}
+    shares = {
+        "ratio_control_flow": sum(seen[kind] for kind in CONTROL),
+        "ratio_method_invocations": seen["MethodInvocation"],
+        "ratio_assignments": seen["Assignment"],
+        "ratio_returns": seen["ReturnStatement"],
+    }
+    found = {"parse_success": 1, "total_nodes": total, "max_depth": max(depths), "n_parameters": getattr(next(methods, None), "parameters", 0)}
+    found |= counts | {name: n / total for name, n in shares.items()}
+    return {name: float(found[name]) for name in FEATURES}
 
 
 FEATURE_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in FEATURES])

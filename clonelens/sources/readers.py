@@ -72,12 +72,12 @@ def whole_files(spark: SparkSession, folders: list[str], pattern: str = "*.java"
 
 
 def strict_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType = BALANCED) -> DataFrame:
-    """Blank lines are skipped; bad JSON or a missing field raises when the rows are read."""
-    raw = spark.read.text(path).where(F.trim("value") != "")
-    row = F.from_json("value", schema, {"mode": "FAILFAST"})
-    missing = F.array_except(F.array(*map(F.lit, schema.fieldNames())), F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")))
-    bad = F.raise_error(F.concat(F.lit("missing fields: "), F.array_join(missing, ", ")))
-    return raw.select(F.when(F.size(missing) > 0, bad.cast(schema)).otherwise(row).alias("r")).select("r.*")
+    """Blank lines are skipped; bad JSON or a missing field raises when the rows are read. Each line is parsed once."""
+    found = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(found.alias("m"))
+    missing = F.array_except(F.array(*map(F.lit, schema.fieldNames())), F.map_keys("m"))
+    checked = F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("missing fields: "), F.array_join(missing, ", "))).cast("map<string,string>")).otherwise(F.col("m"))
+    return rows.select(checked.alias("m")).select(*(F.col("m")[f.name].cast(f.dataType).alias(f.name) for f in schema))
 
 
 def lenient_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType = BALANCED) -> DataFrame:
