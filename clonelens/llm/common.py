@@ -102,7 +102,7 @@ def discard(*tables: DataFrame) -> None:
         _delete(table.sparkSession, path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound what one Arrow batch of whole texts holds; results do not depend on it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 

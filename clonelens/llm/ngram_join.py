@@ -129,7 +129,7 @@ def words_of(table: pa.Scalar | bytes) -> np.ndarray:
 
 def frequent_shingles(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray, int]:
     """The most frequent shingles, rarest first, eighths of the logarithm of their counts, and the rank of the first that
-    is hot. Every text is counted, in chunks of 4 million shingles a task; a
+    is hot. Every text is counted, in chunks of 2 million shingles a task; a
     chunk passes on what it holds FREQUENT_LEAST times. The order they give is used by both sides of the join, so
     its precision affects the work only, never the result."""
 
@@ -146,7 +146,7 @@ def frequent_shingles(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarr
             for text in batch.column(0):
                 held.append(shingles(text.as_py(), join.words))
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield counts()
                     held, size = [], 0
         if held:
@@ -525,12 +525,25 @@ def one_per_class(docs: DataFrame, join: Join) -> DataFrame:
     dropped = told.join(first, "class").select(own.alias("own"), (own == F.col("stays")).alias("stays"))
     # grouped by row, not by class: a class of any size is spread over all tasks
     dropped = materialise(dropped.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.max("stays").alias("stays")), "dropped")
-    near_id, near_key = free_names(docs, "near_id", "near_key")
-    out = dropped.where("not stays").select(F.col("own.doc_id").alias(near_id), F.col("own.text_key").alias(near_key))
-    again = dropped.where("stays and n > 1").select(F.col("own.doc_id").alias(near_id), F.col("own.text_key").alias(near_key))
+    near_id, near_key, slot = free_names(docs, "near_id", "near_key", "near_slot")
+    named = dropped.select(F.col("own.doc_id").alias(near_id), F.col("own.text_key").alias(near_key), "stays", "n")
+    named = named.withColumn(slot, F.xxhash64(near_id, near_key))
     keyed = docs.withColumn(near_id, F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).withColumn(near_key, text_key())
-    kept = keyed.join(out, [near_id, near_key], "left_anti")
+    keyed = keyed.withColumn(slot, F.xxhash64(near_id, near_key))
+    # most rows are in no class of several: only the others are shuffled with their texts
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(named.where("not stays or n > 1"), slot))
+
+    def split(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slots = batch.column(batch.schema.get_field_index(slot)).to_numpy()
+                yield batch.filter(pa.array(in_table(table.value, slots) == inside))
+
+        return keyed.mapInArrow(run, keyed.schema)
+
+    kept = split(True).join(named.where("not stays").select(near_id, near_key), [near_id, near_key], "left_anti").select(*keyed.columns)
+    again = named.where("stays and n > 1").select(near_id, near_key)
     if not again.isEmpty():  # equal rows: one of them
         once = kept.join(again, [near_id, near_key], "left_semi").dropDuplicates([near_id, near_key])
         kept = kept.join(again, [near_id, near_key], "left_anti").select(*keyed.columns).union(once.select(*keyed.columns))
-    return kept.select(*docs.columns)
+    return split(False).select(*docs.columns).union(kept.select(*docs.columns))
