@@ -96,6 +96,12 @@ def held_words(words: Column, vocabulary: list[str]) -> Column:
     return F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(words, " "))
 
 
+def computed(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """df with a column that is computed once: a filter on it is not pushed below a generator, which would repeat the
+    column's expression in every place that the filter names it."""
+    return df.select("*", F.inline(F.array(F.struct(column.alias(name)))))
+
+
 def vocabulary_of(templates: list[tuple[str, str]]) -> list[str]:
     return sorted({w for _, t in templates for w in template_words(t)})
 
@@ -112,8 +118,8 @@ def frequency_order(held: DataFrame, templates: list[tuple[str, str]]) -> list[s
 
 def likely_texts(docs: DataFrame, order: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """The texts that hold enough words of a template: doc_id, text_hash, text, and their words in order."""
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", normalised(F.col("text")).alias("words"))
-    words = words.withColumn("held", held_words(F.col("words"), order)).where(F.size("held") >= min(needed_words(t, threshold) for _, t in templates))
+    words = computed(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), "words", normalised(F.col("text")))
+    words = computed(words, "held", held_words(F.col("words"), order)).where(F.size("held") >= min(needed_words(t, threshold) for _, t in templates))
     enough = [F.size(F.array_intersect("held", F.array(*map(F.lit, template_words(t))))) >= needed_words(t, threshold) for _, t in templates]
     return words.where(reduce(lambda x, y: x | y, enough)).drop("held")
 
@@ -121,7 +127,7 @@ def likely_texts(docs: DataFrame, order: list[str], templates: list[tuple[str, s
 def block_words(texts: DataFrame, order: list[str]) -> DataFrame:
     """One row per line with a template word: doc_id, text_hash, and its template words in order."""
     lines = texts.select("doc_id", "text_hash", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select("doc_id", "text_hash", held_words(normalised(F.col("line")), order).alias("held")).where(F.size("held") > 0)
+    return computed(lines, "held", held_words(normalised(F.col("line")), order)).drop("line").where(F.size("held") > 0)
 
 
 def piece_words(texts: DataFrame, order: list[str], longest: int) -> DataFrame:
@@ -130,7 +136,7 @@ def piece_words(texts: DataFrame, order: list[str], longest: int) -> DataFrame:
     words = texts.where(F.contains("text", F.lit("\n"))).withColumn("words", F.split("words", " "))
     starts = F.sequence(F.lit(1), F.size("words"), F.lit(PIECE))
     pieces = words.select("doc_id", "text_hash", F.explode(F.transform(starts, lambda i: F.slice("words", i, PIECE + longest - 1))).alias("piece"))
-    return pieces.select("doc_id", "text_hash", "piece", F.array_intersect(F.array(*map(F.lit, order)), F.col("piece")).alias("held"))
+    return computed(pieces, "held", F.array_intersect(F.array(*map(F.lit, order)), F.col("piece")))
 
 
 def prefix_index(docs: DataFrame, order: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
@@ -160,7 +166,7 @@ def match_blocks(docs: DataFrame, held: DataFrame, templates: list[tuple[str, st
         near = words.join(F.broadcast(index), "word").where((size >= F.col("need")) & (room >= F.col("need")))
         return near.withColumn("overlap", F.size(F.array_intersect("held", "t_words"))).where(F.col("overlap") >= F.col("need"))
 
-    texts = likely_texts(docs, order, templates, threshold)
+    texts = materialise(likely_texts(docs, order, templates, threshold), "license-texts")  # lines and pieces read them
     lines = candidates(block_words(texts, order))
     longest = max(run_words(t, threshold) for _, t in templates)
     runs = F.sequence(F.lit(1), F.greatest(F.size("piece") - F.col("t_run") + 1, F.lit(1)))
