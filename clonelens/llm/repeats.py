@@ -52,7 +52,10 @@ REACH = 128
 GRAM = 16
 #: Bytes of the repeated strings that the report's further columns tell of.
 PASSAGE = 200
-SLICE = 1 << 20
+#: Starting places parsed at once: a worker holds some ten arrays of eight bytes for each, and two tables of powers.
+SLICE = 1 << 17
+#: Hashes that a worker holds before it sends their counts.
+HELD = 1 << 18
 #: Starting places whose strings are first compared by their common bytes.
 PIECE = 32
 CONTEXT_SCHEMA = "context bigint, n int"
@@ -217,10 +220,14 @@ def count_contexts(docs: DataFrame, how: Parsing) -> DataFrame:
 
         for batch in batches:
             for value in batch.column(1):
-                for _, data in slices(value.as_py(), how):
-                    held.append(parse_slice(data, how).counted)
+                before = -1
+                for at, data in slices(value.as_py(), how):
+                    p = parse_slice(data, how)
+                    # a phrase that the end of a slice divides is one place, not two
+                    held.append(p.counted[int(p.trigger[0] + at == before) :])
+                    before = p.trigger[-1] + at
                     size += len(held[-1])
-                if size > 1_000_000:
+                if size > HELD:
                     yield sums()
                     held, size = [], 0
         if held:
@@ -263,15 +270,18 @@ def split_texts(docs: DataFrame, table, inside: bool, key: str = "doc_key") -> D
     """The rows of docs(key, ...) whose key may be (inside) or is not (else) in a table of ``key_slots``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
         for batch in batches:
-            # the first 15 hexadecimal digits of a key
-            slots = np.fromiter((int.from_bytes(x[:8], "big") >> 4 for x in batch.column(batch.schema.get_field_index(key)).to_pylist()), dtype=np.int64, count=batch.num_rows)
-            yield batch.filter(pa.array(in_table(bits, slots) == inside))
+            yield _split(batch, table.value, inside, key)
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def _split(batch: pa.RecordBatch, bits: np.ndarray, inside: bool, key: str) -> pa.RecordBatch:
+    # the first 15 hexadecimal digits of a key
+    slots = np.fromiter((int.from_bytes(x[:8], "big") >> 4 for x in batch.column(batch.schema.get_field_index(key)).to_pylist()), dtype=np.int64, count=batch.num_rows)
+    return batch.filter(pa.array(in_table(bits, slots) == inside))
+
+
 def bring_bytes(docs: DataFrame, chosen: DataFrame, how: Parsing) -> DataFrame:
     """chosen(context, entry, doc_key, first, last, trigger) to context, entry, the trigger's place in the entry, hashes of
     the common bytes of its pieces (null where a piece has no string), and the bytes the entry covers. Texts without a
@@ -405,34 +415,49 @@ def repeat_report(docs: DataFrame, depth: int = DEPTH, passage: int = PASSAGE) -
     """The digest columns of the contract: doc_id, n_bytes, n_removed, n_spans, kept_sha256; then n_passages (maximal runs
     of strings of ``passage`` bytes, starting at triggers, that start elsewhere too) and n_passage_bytes in them.
 
-    Only texts that lose bytes are shuffled; of the others, the digest is."""
+    Only texts that lose bytes are shuffled; of the others, the digest is. A stage runs one Python function at most: each
+    further one is another worker process for every task, kept by Spark for the tasks to come."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def report(batch: pa.RecordBatch, spans: list) -> pa.RecordBatch:
+        rows = []
+        for text, own in zip(batch.column(2), spans):
+            data = (text.as_py() or "").encode()
+            kept, runs = cut(data, own)
+            rows.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, [pa.int64()] * 3 + [pa.string()])]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "doc_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    def with_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column(2), batch.column(3).to_pylist()):
-                data = (text.as_py() or "").encode()
-                kept, runs = cut(data, spans)
-                rows.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, [pa.int64()] * 3 + [pa.string()])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "doc_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield report(batch, batch.column(3).to_pylist())
+
+    def without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [cut(b"", own)[1] for own in batch.column(6).to_pylist()]
-            columns = [pa.array([len(x) for x in found], pa.int64()), pa.array([sum(b - a for a, b in x) for x in found], pa.int64())]
-            names = [n for n in batch.schema.names if n not in ("doc_key", "passages")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *columns], names=[*names, "n_passages", "n_passage_bytes"])
+            rest = _split(batch, table.value, False, "doc_key")
+            yield report(rest, [None] * rest.num_rows)
 
     docs = docs.select(F.col("doc_id").cast("bigint"), _digest(F.col("text")).alias("doc_key"), "text")
     spans, passages = repeated_spans(docs, Parsing(depth, passage=passage))
     table = docs.sparkSession.sparkContext.broadcast(key_slots(spans))
-    cuts = split_texts(docs, table, True).join(spans, "doc_key", "left").select("doc_id", "doc_key", "text", "spans")
-    rest = split_texts(docs, table, False).select("doc_id", "doc_key", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    cuts = split_texts(docs, table, True).join(spans.hint("merge"), "doc_key", "left").select("doc_id", "doc_key", "text", "spans")
     kind = "doc_id bigint, doc_key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    told = cuts.mapInArrow(run, kind).union(rest.mapInArrow(run, kind)).join(passages, "doc_key", "left")
-    names = ["doc_id", "doc_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passages"]
-    return told.select(*names).mapInArrow(total, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, n_passage_bytes bigint")
+    told = cuts.mapInArrow(with_spans, kind).union(docs.mapInArrow(without_spans, kind)).join(passages, "doc_key", "left")
+    return told.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passages").select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *_totals("passages")
+    )
+
+
+def _totals(passages: str) -> list[Column]:
+    """n_passages, the maximal runs of sorted spans (0 for null), and n_passage_bytes, the bytes in them."""
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("size"), F.lit(-1).alias("last"))
+
+    def further(a: Column, x: Column) -> Column:
+        new = F.when(x["first"] > a["last"], 1).otherwise(0)
+        size = F.greatest(F.lit(0), x["last"] - F.greatest(x["first"], a["last"]))
+        return F.struct((a["n"] + new).alias("n"), (a["size"] + size).alias("size"), F.greatest(a["last"], x["last"]).alias("last"))
+
+    total = F.aggregate(passages, start, further)
+    return [F.coalesce(total[c], F.lit(0)).cast("bigint").alias(name) for c, name in (("n", "n_passages"), ("size", "n_passage_bytes"))]
 
 
 def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -452,5 +477,5 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     keyed = docs.withColumn(key, _digest(F.col("text")))
     found = spans.select(F.col("doc_key").alias(own), F.col("spans").alias(cuts))
-    told = split_texts(keyed, table, True, key).join(found, F.col(key) == F.col(own), "left").drop(key, own)
+    told = split_texts(keyed, table, True, key).join(found.hint("merge"), F.col(key) == F.col(own), "left").drop(key, own)
     return told.mapInArrow(run, docs.schema).union(split_texts(keyed, table, False, key).drop(key))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -265,6 +266,36 @@ def test_repeats_edges(spark):
     assert sorted(((r["doc_id"] or 0), r["n_removed"]) for r in repeats.repeat_report(null_ids).collect()) == [(0, 450), (0, 450), (1, 0)]
 
 
+def test_a_phrase_divided_by_slices_is_no_passage(spark):
+    text = letters(random.Random(16), 2_300_000)
+    assert [tuple(r)[1:4] + tuple(r)[5:] for r in repeats.repeat_report(docs(spark, [text])).collect()] == [(len(text), 0, 0, 0, 0)]
+
+
+def test_report_runs_one_python_function_per_stage(spark):
+    texts = repeat_texts(random.Random(15))
+
+    def functions(node, found):
+        """Of the stage that node ends; those of the stages below go to found."""
+        below = node.children()
+        own = max((functions(below.apply(i), found) for i in range(below.size())), default=0) + (node.nodeName() == "MapInArrow")
+        found.append(own)
+        return 0 if "Exchange" in node.nodeName() else own
+
+    for frame in (repeats.repeat_report(docs(spark, texts)), repeats.without_repeats(docs(spark, texts, True))):
+        functions(frame._jdf.queryExecution().executedPlan().initialPlan(), found := [])
+        assert max(found) == 1
+
+
+def test_a_worker_holds_little_of_a_large_text():
+    data = np.random.default_rng(3).integers(97, 122, 3_000_000, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    try:
+        assert sum(len(repeats.parse_slice(x).counted) for _, x in repeats.slices(data)) > 10_000
+        assert tracemalloc.get_traced_memory()[1] < 30_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_spans_are_what_the_suffix_array_says(spark):
     rng = random.Random(13)
     passage = "".join(rng.choice("ab") for _ in range(300))
