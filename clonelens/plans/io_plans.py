@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -200,18 +199,15 @@ def tokenizer_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jdbc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clone metadata in a database, read through JDBC: NULL is the text ``null``. The database is an embedded one in the
-    driver's memory, so this query runs in local mode only; ``readers.jdbc_clones`` takes any URL."""
-    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
-    url = f"jdbc:derby:memory:clones{uuid.uuid4().hex};create=true"
+    """Clone metadata in a database, read through JDBC: NULL is the text ``null``. The database is an embedded one in a file of
+    the shared folder, which must be mounted by all machines; ``readers.jdbc_clones`` takes any URL."""
     i = F.col("doc_id")
     rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
         i.cast("string").alias("FUNCTION_ID_ONE"), (i + 1).cast("string").alias("FUNCTION_ID_TWO"), (1 + i % 4).cast("string").alias("SYNTACTIC_TYPE"),
         F.lit(None).cast("int").alias("SIMILARITY_LINE"), F.format_string("0.%02d", i % 100).alias("SIMILARITY_TOKEN"), F.lit("more").alias("OTHER"),
     )
-    types = ", ".join(f"{c} VARCHAR(40)" for c, t in rows.dtypes if t == "string")
-    rows.coalesce(4).write.jdbc(url, "CLONES", mode="overwrite", properties={"driver": DERBY, "createTableColumnTypes": types})
-    return readers.jdbc_clones(spark, url, driver=DERBY)
+    columns = ", ".join(f"{c} {'VARCHAR(40)' if t == 'string' else 'INTEGER'}" for c, t in rows.dtypes)
+    return readers.jdbc_clones(spark, sinks.derby_archive(rows, "CLONES", columns, _folder(spark)), driver=DERBY)
 
 
 DERBY = "org.apache.derby.jdbc.EmbeddedDriver"

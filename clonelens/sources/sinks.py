@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import glob
 import json
+import os
+import shutil
+import tempfile
+import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +27,52 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def derby_archive(df: DataFrame, table: str, columns: str, path: str) -> str:
+    """A table of an embedded database in one file, and the URL by which any number of processes read it at once; path is a
+    folder that all machines mount. An embedded database belongs to the process that opens it, so tasks can't fill a
+    common one: they write CSV, the driver's database imports it file by file on disk, and its files are stored without
+    compression, which lets readers fetch a page by its place. columns: names and SQL types, in the order of df's."""
+    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getUri().getScheme() != "file":
+        raise ValueError(f"embedded databases are read from mounted folders only: {path}")
+    shared, own = p.toUri().getPath(), os.path.realpath(tempfile.mkdtemp())
+    rows = f"{path}/rows"
+    # the import drops white space around what is not quoted, and takes an empty field without quotes as NULL
+    fields = [F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns]
+    df.select(F.concat_ws(",", *(F.coalesce(f, F.lit("")) for f in fields))).write.text(rows)
+    jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
+    connect = jvm.java.sql.DriverManager.getConnection
+    try:
+        db = connect(f"jdbc:derby:{own}/db;create=true")
+        try:
+            db.createStatement().execute(f"CREATE TABLE {table} ({columns})")
+            for part in sorted(glob.glob(f"{glob.escape(shared)}/rows/part-*.txt")):
+                if os.path.getsize(part):
+                    call = db.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, NULL, NULL, 'UTF-8', 0)")
+                    call.setString(1, table)
+                    call.setString(2, part)
+                    call.execute()
+                    call.close()
+        finally:
+            db.close()
+            try:
+                connect(f"jdbc:derby:{own}/db;shutdown=true")
+            except Py4JJavaError as e:
+                if e.java_exception.getSQLState() != "08006":  # the state of a shutdown that went well
+                    raise
+        with zipfile.ZipFile(f"{shared}/db.jar", "w", zipfile.ZIP_STORED) as archive:
+            for top, _, names in os.walk(f"{own}/db"):
+                for name in names:
+                    archive.write(f"{top}/{name}", os.path.relpath(f"{top}/{name}", own))
+                    os.remove(f"{top}/{name}")
+    finally:
+        shutil.rmtree(own, ignore_errors=True)
+        files.delete(jvm.org.apache.hadoop.fs.Path(rows), True)
+    return f"jdbc:derby:jar:({shared}/db.jar)db"
+
+
 def csv_table(df: DataFrame, path: str) -> None:
     """CSV with a header; an empty table writes nothing."""
     if not df.isEmpty():

@@ -1,7 +1,12 @@
 """Readers, sinks, unification, models and streams."""
 
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +87,43 @@ def test_sinks(spark, tmp_path):
     assert len(sinks.tokenizer_record()["operators"]) == 25
 
 
+def test_derby_archive(spark, tmp_path):
+    rows = [("1", None, "more"), ('a "q", b\nx', 2, ""), (None, 3, " spaced "), ("\\N", -4, "é")]
+    frame = spark.createDataFrame(rows, "A string, B int, C string").repartition(7)
+    url = sinks.derby_archive(frame, "T", "A VARCHAR(40), B INTEGER, C VARCHAR(40)", f"file://{tmp_path}/db")
+    found = spark.read.format("jdbc").options(url=url, dbtable="T", driver="org.apache.derby.jdbc.EmbeddedDriver").load()
+    assert found.columns == ["A", "B", "C"] and sorted(map(tuple, found.collect()), key=repr) == sorted(rows, key=repr)
+    assert os.listdir(tmp_path / "db") == ["db.jar"]
+    empty = sinks.derby_archive(frame.limit(0), "T", "A VARCHAR(40), B INTEGER, C VARCHAR(40)", f"{tmp_path}/none")
+    assert spark.read.format("jdbc").options(url=empty, dbtable="T", driver="org.apache.derby.jdbc.EmbeddedDriver").load().count() == 0
+    with pytest.raises(Exception):  # a value that is too long is no row less
+        sinks.derby_archive(frame, "T", "A VARCHAR(2), B INTEGER, C VARCHAR(40)", f"{tmp_path}/short")
+
+
+def test_jdbc_scan_with_executors_of_their_own(spark, tmp_path):
+    spark.range(0, 300, numPartitions=3).select(F.col("id").alias("doc_id")).write.parquet(str(tmp_path / "labels.parquet"))
+    home = tmp_path / "home"  # executors' logs go to work in Spark's home
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    code = f"""
+from pyspark.sql import SparkSession
+conf = {{"spark.master": "local-cluster[2,1,600]", "spark.executor.memory": "500m", "spark.ui.enabled": "false", "spark.checkpoint.dir": "file://{tmp_path}/shared"}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+from clonelens.plans.io_plans import jdbc_scan
+found = jdbc_scan(spark, "{tmp_path}")
+rows = found.union(found).repartition(4).collect()
+print("rows", len(rows), len(set(rows)), sorted(rows)[0])
+spark.stop()
+"""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))}
+    env |= {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYTHONPATH": here}
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "rows 600 300 Row(FUNCTION_ID_ONE='0', FUNCTION_ID_TWO='1', SYNTACTIC_TYPE='1', SIMILARITY_LINE='null', SIMILARITY_TOKEN='0.00')" in done.stdout, done.stderr[-3000:]
+
+
 def test_models_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([([float(i % 2), float(i % 3)], "T1" if i % 2 else "T0", i) for i in range(60)], "v array<double>, cls string, id long")
     data = models.labelled(rows, F.col("v"), "cls")
