@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bit_table, components, discard, free_names, in_table, materialise, utf8
+from .common import bit_table, classes, discard, free_names, in_table, materialise, utf8
 
 #: Frequent shingles kept for the order, at most: it is a fixed bound on what is broadcast, not on what is joined.
 FREQUENT = 1 << 18
@@ -484,14 +484,14 @@ def similarity_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     rows = shared_rows(nodes, hot, join)
     near = materialise(near_pairs(leader_pairs(rows, join), nodes, join), "leader-pairs")
     first = links(docs, near, nodes, join)
-    groups = components(first)
+    groups = classes(first)
     pairs, large, read = matrix_pairs(rows, nodes, groups, hot, join)
     rest = materialise(pairs.join(near, ["a", "b"], "left_anti"), "matrix-pairs")
     discard(rows)
     found, roots = first, groups
     if not rest.isEmpty():
         found = materialise(first.union(links(docs, rest, nodes, join)), "links-so-far")
-        roots = components(found)
+        roots = classes(found)
     now = roots.select(F.col("node").alias("x"), F.col("root").alias("own"))
     apart = large.join(now, F.col("node") == F.col("x"), "left").drop("x").join(now.withColumnRenamed("own", "theirs"), F.col("grp") == F.col("x"), "left")
     apart = materialise(apart.where(F.coalesce("own", "node") != F.coalesce("theirs", "grp")).select("node", "grp", "size"), "apart")
@@ -499,7 +499,7 @@ def similarity_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
         tried = near.union(rest)
         again = materialise(open_large(apart, nodes, groups, join, False).distinct().join(tried, ["a", "b"], "left_anti"), "matrix-pairs")
         if not again.isEmpty():
-            roots = components(found.union(links(docs, again, nodes, join)))
+            roots = classes(found.union(links(docs, again, nodes, join)))
     named = nodes.select("node", "key").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class"))
     out = materialise(sets.select("doc_id", "text_key", "n_shingles", "key").join(named, "key", "left").drop("key"), "classes")
     discard(near, rest, apart, nodes, sets, *read)

@@ -43,6 +43,41 @@ def test_components_raise_when_not_settled(spark):
     assert common.components(chain).where("root <> 0").count() == 0
 
 
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    """The same rows as by rounds; up to DIRECT_EDGES edges with a few jobs, whatever the number of shuffle partitions."""
+    rng = random.Random(5)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(5000 - i, 4999 - i) for i in range(700)] + [(9000, 9001 + i) for i in range(300)] + [(7, 7), (9000, 9001), (-3, 1 << 60)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    wanted = sorted(map(tuple, common.components(frame).collect()))
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(make):
+        before = set(tracker.getJobIdsForGroup())
+        out = make()
+        return out, len(set(tracker.getJobIdsForGroup()) - before)
+
+    got, n = jobs(lambda: common.classes(frame))
+    assert sorted(map(tuple, got.collect())) == wanted and n <= 5
+    assert common.classes(spark.createDataFrame([], "a long, b long")).count() == 0
+    monkeypatch.setattr(common, "DIRECT_EDGES", 100)
+    got, more = jobs(lambda: common.classes(frame))
+    assert sorted(map(tuple, got.collect())) == wanted and more > n
+
+
+def test_join_settles_few_edges_on_the_driver(spark, monkeypatch):
+    """Near copies: the join's classes take no rounds of jobs, and are those that rounds give."""
+    rng, rounds = random.Random(11), []
+    plain = common.components
+    monkeypatch.setattr(common, "components", lambda *a, **b: rounds.append(1) or plain(*a, **b))
+    monkeypatch.setattr(ngram_join, "components", common.components, raising=False)
+    rows = list(enumerate(t for _ in range(4) for t in family(rng, 60, 8, 3)))
+    report = lambda: {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.component_report(docs(spark, [t for _, t in rows])).collect()}
+    got = report()
+    assert not rounds and got == plain_components(rows, Join())
+    monkeypatch.setattr(common, "DIRECT_EDGES", 0)
+    assert report() == got and rounds
+
+
 def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
